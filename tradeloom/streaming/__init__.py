@@ -1,0 +1 @@
+"""Empty on purpose: the report set is batch only, so there is no stream to run."""
