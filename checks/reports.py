@@ -382,6 +382,6 @@ WHERE total_orders >= {orders} AND (avg_rating < {rating} OR cancellation_rate >
 
 
 def expected() -> dict[str, str]:
-    return (
-        _exploration() | _revenue() | _customers() | _cohorts() | _delivery() | _sellers()
-    )
+    found = _exploration() | _revenue() | _customers() | _cohorts() | _delivery() | _sellers()
+    calls = (f"SELECT '{n}' AS call, count(*) AS row_count FROM ({found[n]})" for n in catalog.CALLS)
+    return found | {"procedure_calls": "\nUNION ALL\n".join(calls)}

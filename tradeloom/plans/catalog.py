@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradeloom.plans import cohorts, customers, delivery, exploration, revenue, sellers
+from tradeloom.plans import (
+    cohorts,
+    customers,
+    delivery,
+    exploration,
+    pages,
+    revenue,
+    sellers,
+    star,
+)
 from tradeloom.tables import Tables
 
 Report = Callable[[Tables], DataFrame]
@@ -18,6 +28,7 @@ CALL_MONTHS = ("1997-01", "1997-12")
 CALL_TOP = 10
 CALL_SEGMENT = "Champions"
 CALL_ALERT = (3.5, 10, 5)
+CALL_CATEGORY = "cat_5"
 
 # The files a full run writes: prefix -> reports in order.
 REPORT_FILES: dict[str, tuple[Report, ...]] = {
@@ -80,6 +91,51 @@ CALLS: dict[str, Report] = {
     "flag_underperforming_sellers": lambda t: sellers.flag_underperforming_sellers(t, *CALL_ALERT),
 }
 
+
+def procedure_calls(t: Tables) -> DataFrame:
+    """The sample calls, and how many rows each returns."""
+    counts = (
+        call(t).agg(F.count("*").alias("row_count")).select(F.lit(name).alias("call"), "*")
+        for name, call in CALLS.items()
+    )
+    return reduce(DataFrame.unionByName, counts)
+
+
+STAR: tuple[Report, ...] = (
+    star.dim_customer,
+    star.dim_product,
+    star.dim_seller,
+    star.dim_date,
+    star.bi_total_revenue,
+    star.bi_mom_growth,
+    star.bi_ytd_revenue,
+    star.bi_avg_order_value,
+    star.bi_retention_rate,
+    star.bi_late_rate,
+)
+
+PAGES: tuple[Report, ...] = (
+    pages.page_executive,
+    pages.page_executive_trend,
+    pages.page_revenue,
+    pages.page_revenue_trend,
+    pages.page_revenue_pareto,
+    pages.page_customers,
+    pages.page_customers_compare,
+    pages.page_delivery,
+    pages.page_delivery_trend,
+    pages.page_delivery_stages,
+    pages.page_sellers,
+    pages.page_sellers_scatter,
+)
+
+DRILL: dict[str, Report] = {
+    "category_drill": lambda t: pages.category_trend(t, CALL_CATEGORY),
+    "category_drill_sellers": lambda t: pages.category_sellers(t, CALL_CATEGORY),
+    "category_drill_rating": lambda t: pages.category_rating(t, CALL_CATEGORY),
+    "category_drill_delivery": lambda t: pages.category_delivery(t, CALL_CATEGORY),
+}
+
 # The forms used beyond the size limits, so that they are checked on small data too.
 DISTRIBUTED: dict[str, Report] = {
     "global_ntile": customers.rfm_scores_distributed,
@@ -88,8 +144,9 @@ DISTRIBUTED: dict[str, Report] = {
 
 
 def reports() -> dict[str, Report]:
-    named = [r for group in REPORT_FILES.values() for r in group] + [*SHARED, *KEY_ANSWERS]
-    return {r.__name__: r for r in named} | CALLS | DISTRIBUTED
+    filed = [r for group in REPORT_FILES.values() for r in group]
+    named = {r.__name__: r for r in [*filed, *SHARED, *KEY_ANSWERS, *STAR, *PAGES, procedure_calls]}
+    return named | CALLS | DRILL | {"star_schema": star.fact_sales} | DISTRIBUTED
 
 
 def plain_types(df: DataFrame) -> DataFrame:

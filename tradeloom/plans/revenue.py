@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import (
@@ -14,18 +16,22 @@ from tradeloom.functions.columns import (
     month_number,
     percent,
 )
+from tradeloom.sources.files import ORDER_MONTH
 from tradeloom.tables import Tables
 
 PARETO_LIMIT = 80
 
 
-def paid_orders(t: Tables, *columns: str) -> DataFrame:
+def paid_orders(t: Tables, *columns: str, where: Column | None = None) -> DataFrame:
     """Delivered orders with a payment: `paid` in total over `payments` valued rows.
 
     Payments are reduced to one row per order before the join, so counting orders is
     counting rows and no report needs a distinct count.
     """
-    delivered = t["orders"].where(F.col("order_status") == DELIVERED).select("order_id", *columns)
+    wanted = F.col("order_status") == DELIVERED
+    if where is not None:
+        wanted = wanted & where
+    delivered = t["orders"].where(wanted).select("order_id", *columns)
     payments = (
         t["order_payments"]
         .groupBy("order_id")
@@ -179,16 +185,15 @@ def monthly_revenue_report(t: Tables, start_month: str, end_month: str) -> DataF
     text would not. Customers are counted from (month, customer) groups, so that the query
     carries no distinct aggregate.
     """
-    first, last = _first_of_month(start_month), _first_of_month(end_month)
+    first, end = _month_start(start_month), _month_start(end_month, following=1)
     purchase = F.col("order_purchase_timestamp")
-    in_range = (purchase >= F.to_timestamp_ntz(F.lit(f"{start_month}-01"), F.lit("yyyy-MM-dd"))) & (
-        purchase < F.to_timestamp_ntz(F.lit(f"{_next_month(last)}-01"), F.lit("yyyy-MM-dd"))
+    in_range = (purchase >= F.lit(first).cast("timestamp_ntz")) & (
+        purchase < F.lit(end).cast("timestamp_ntz")
     )
-    if first > last:
-        in_range = F.lit(False)
+    if ORDER_MONTH in t["orders"].columns:  # a folder per month: read only those
+        in_range = in_range & F.col(ORDER_MONTH).between(start_month, end_month)
     per_customer = (
-        paid_orders(t, "order_purchase_timestamp", "customer_id")
-        .where(in_range)
+        paid_orders(t, "order_purchase_timestamp", "customer_id", where=in_range)
         .groupBy(month_number(purchase).alias("month_no"), "customer_id")
         .agg(
             F.count("*").alias("orders"),
@@ -215,13 +220,6 @@ def monthly_revenue_report(t: Tables, start_month: str, end_month: str) -> DataF
     )
 
 
-def _first_of_month(text: str) -> tuple[int, int]:
-    year, month = (int(part) for part in text.split("-"))
-    if not 1 <= month <= 12:
-        raise ValueError(f"not a month: {text}")
-    return year, month
-
-
-def _next_month(month: tuple[int, int]) -> str:
-    number = month[0] * 12 + month[1]
-    return f"{number // 12:04d}-{number % 12 + 1:02d}"
+def _month_start(text: str, following: int = 0) -> date:
+    number = date.fromisoformat(f"{text}-01").year * 12 + int(text[-2:]) - 1 + following
+    return date(number // 12, number % 12 + 1, 1)
