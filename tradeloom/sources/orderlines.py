@@ -6,164 +6,146 @@ times of its own: those follow from the order key by integer rules (see FIXTURES
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from tradeloom.schemas import MONEY
 from tradeloom.tables import Tables
 
-
-def _later(ts: Column, days: Column, hours: Column) -> Column:
-    return ts + F.make_dt_interval(days.cast("int"), hours.cast("int"))
+_schemas: dict[str, T.StructType] = {}
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """The schema is looked up in the file once, not before every query."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _customers(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    people = _read(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders = _read(spark, folder, "orders").selectExpr("o_orderkey", "o_custkey AS c_custkey")
+    people = _read(spark, folder, "customer").selectExpr(
+        "c_custkey", "c_nationkey AS n_nationkey", "c_mktsegment"
+    )
     nations = _read(spark, folder, "nation").select("n_nationkey", "n_name")
-    people = people.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("customer_id"),
-        F.col("o_custkey").alias("customer_unique_id"),
-        F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0").alias("customer_zip_code"),
-        F.lower("c_mktsegment").alias("customer_city"),
-        F.col("n_name").alias("customer_state"),
+    return orders.join(people.join(nations, "n_nationkey"), "c_custkey").selectExpr(
+        "o_orderkey AS customer_id",
+        "c_custkey AS customer_unique_id",
+        "lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') AS customer_zip_code",
+        "lower(c_mktsegment) AS customer_city",
+        "n_name AS customer_state",
     )
 
 
+def _later(ts: str, days: str = "0", hours: str = "0") -> str:
+    return f"{ts} + make_dt_interval(CAST({days} AS INT), CAST({hours} AS INT))"
+
+
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    k, day, none = F.col("o_orderkey"), F.col("o_orderdate"), F.lit(0)
-    purchase = _later(day, none, k % 24)
-    unfinished = (
-        F.when(k % 3 == 0, "canceled").when(k % 3 == 1, "shipped").otherwise("processing")
-    )
-    return _read(spark, folder, "orders").select(
-        k.alias("order_id"),
-        k.alias("customer_id"),
-        F.when(F.col("o_orderstatus") == "P", unfinished)
-        .otherwise("delivered")
-        .alias("order_status"),
-        purchase.alias("order_purchase_timestamp"),
-        F.when(k % 157 != 0, _later(purchase, none, k % 30)).alias("order_approved_at"),
-        F.when(k % 53 != 0, _later(purchase, (k * 3) % 7, k % 30)).alias(
-            "order_delivered_carrier_date"
-        ),
-        F.when(k % 97 != 0, _later(purchase, (k * 7) % 40 + 3, none)).alias(
-            "order_delivered_customer_date"
-        ),
-        _later(day, k % 15 + 20, none).alias("order_estimated_delivery_date"),
+    bought = _later("o_orderdate", hours="o_orderkey % 24")
+    approved = _later(bought, hours="o_orderkey % 30")
+    carrier = _later(bought, "3 * o_orderkey % 7", "o_orderkey % 30")
+    arrived = _later(bought, "3 + 7 * o_orderkey % 40")
+    unfinished = "element_at(array('canceled', 'shipped', 'processing'), CAST(o_orderkey % 3 AS INT) + 1)"
+    return _read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "o_orderkey AS customer_id",
+        f"IF(o_orderstatus = 'P', {unfinished}, 'delivered') AS order_status",
+        f"{bought} AS order_purchase_timestamp",
+        f"IF(o_orderkey % 157 <> 0, {approved}, NULL) AS order_approved_at",
+        f"IF(o_orderkey % 53 <> 0, {carrier}, NULL) AS order_delivered_carrier_date",
+        f"IF(o_orderkey % 97 <> 0, {arrived}, NULL) AS order_delivered_customer_date",
+        f"{_later('o_orderdate', '20 + o_orderkey % 15')} AS order_estimated_delivery_date",
     )
 
 
 def _order_items(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.col("l_quantity") * (F.col("l_suppkey") % 4 + 1)
-    return _read(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        price.cast(MONEY).alias("price"),
-        F.col("l_linenumber").cast(MONEY).alias("freight_value"),
+    return _read(spark, folder, "lineitem").selectExpr(
+        "l_orderkey AS order_id",
+        "l_linenumber AS order_item_id",
+        "l_partkey AS product_id",
+        "l_suppkey AS seller_id",
+        "l_shipdate AS shipping_limit_date",
+        "CAST(l_quantity * (1 + l_suppkey % 4) AS DECIMAL(10,2)) AS price",
+        "CAST(l_linenumber AS DECIMAL(10,2)) AS freight_value",
     )
 
 
 def _products(spark: SparkSession, folder: str) -> DataFrame:
-    k, size = F.col("p_partkey"), F.col("p_size").cast("int")
-    return _read(spark, folder, "part").select(
-        k.alias("product_id"),
-        F.when(k % 50 != 0, F.col("p_brand")).alias("product_category_name"),
-        F.length("p_name").alias("product_name_length"),
-        F.length("p_type").alias("product_description_length"),
-        (k % 6).cast("int").alias("product_photos_qty"),
-        (size * 100).alias("product_weight_g"),
-        size.alias("product_length_cm"),
-        size.alias("product_height_cm"),
-        size.alias("product_width_cm"),
+    return _read(spark, folder, "part").selectExpr(
+        "p_partkey AS product_id",
+        "IF(p_partkey % 50 <> 0, p_brand, NULL) AS product_category_name",
+        "length(p_name) AS product_name_length",
+        "length(p_type) AS product_description_length",
+        "CAST(p_partkey % 6 AS INT) AS product_photos_qty",
+        "CAST(p_size * 100 AS INT) AS product_weight_g",
+        "CAST(p_size AS INT) AS product_length_cm",
+        "CAST(p_size AS INT) AS product_height_cm",
+        "CAST(p_size AS INT) AS product_width_cm",
     )
 
 
 def _translation(spark: SparkSession, folder: str) -> DataFrame:
-    number = F.regexp_extract("p_brand", r"(\d+)$", 1)
-    return (
-        _read(spark, folder, "part")
-        .select("p_brand")
-        .distinct()
-        .where(number.cast("int") <= 20)
-        .select(
-            F.col("p_brand").alias("product_category_name"),
-            F.concat(F.lit("cat_"), number).alias("product_category_name_english"),
-        )
+    number = r"regexp_extract(p_brand, '(\\d+)$', 1)"
+    brands = _read(spark, folder, "part").select("p_brand").distinct()
+    return brands.where(f"CAST({number} AS INT) <= 20").selectExpr(
+        "p_brand AS product_category_name",
+        f"concat('cat_', {number}) AS product_category_name_english",
     )
 
 
 def _sellers(spark: SparkSession, folder: str) -> DataFrame:
-    nations = _read(spark, folder, "nation").select("n_nationkey", "n_name")
-    sellers = _read(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    return sellers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("seller_id"),
-        F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "0").alias("seller_zip_code"),
-        F.lower("s_name").alias("seller_city"),
-        F.col("n_name").alias("seller_state"),
+    nations = _read(spark, folder, "nation").selectExpr("n_nationkey AS s_nationkey", "n_name")
+    return _read(spark, folder, "supplier").join(nations, "s_nationkey").selectExpr(
+        "s_suppkey AS seller_id",
+        "lpad(CAST(s_suppkey % 100000 AS STRING), 5, '0') AS seller_zip_code",
+        "lower(s_name) AS seller_city",
+        "n_name AS seller_state",
     )
 
 
 def _order_payments(spark: SparkSession, folder: str) -> DataFrame:
-    k, priority = F.col("o_orderkey"), F.col("o_orderpriority")
     kind = (
-        F.when(priority == "1-URGENT", "voucher")
-        .when(priority == "2-HIGH", "boleto")
-        .otherwise("credit_card")
+        "CASE WHEN n = 2 OR o_orderpriority = '1-URGENT' THEN 'voucher'"
+        " WHEN o_orderpriority = '2-HIGH' THEN 'boleto' ELSE 'credit_card' END"
     )
-
-    def payment(sequence: int, type_: Column, value: Column) -> Column:
-        return F.struct(
-            F.lit(sequence).alias("payment_sequential"),
-            type_.alias("payment_type"),
-            (k % 10 + 1).cast("int").alias("payment_installments"),
-            value.cast(MONEY).alias("payment_value"),
-        )
-
-    main = payment(1, kind, F.col("o_totalprice"))
-    extra = payment(2, F.lit("voucher"), k % 90)
-    payments = F.when(k % 20 == 0, F.array(main, extra)).otherwise(F.array(main))
     return (
         _read(spark, folder, "orders")
-        .where(k % 1000 != 0)
-        .select(k.alias("order_id"), F.inline(payments))
+        .where("o_orderkey % 1000 <> 0")
+        .selectExpr("*", "explode(IF(o_orderkey % 20 = 0, array(1, 2), array(1))) AS n")
+        .selectExpr(
+            "o_orderkey AS order_id",
+            "n AS payment_sequential",
+            f"{kind} AS payment_type",
+            "CAST(1 + o_orderkey % 10 AS INT) AS payment_installments",
+            "CAST(IF(n = 1, o_totalprice, o_orderkey % 90) AS DECIMAL(10,2)) AS payment_value",
+        )
     )
 
 
 def _order_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    k, bucket = F.col("o_orderkey"), (F.col("o_orderkey") * 7919) % 101
-    written = _later(F.col("o_orderdate"), k % 15 + 25, F.lit(0))
+    first = "IF(o_orderkey % 50 <> 0, array(0), array())"
+    made = _later("o_orderdate", "25 + o_orderkey % 15")
+    bucket = "7919 * o_orderkey % 101"
     score = (
-        F.when(bucket < 55, 5).when(bucket < 75, 4).when(bucket < 83, 3).when(bucket < 90, 2)
-    ).otherwise(1)
-
-    def review(number: int, stars: Column) -> Column:
-        return F.struct(
-            (k * 2 + number).alias("review_id"),
-            stars.cast("byte").alias("review_score"),
-            F.when(k % 4 == 0, F.concat(F.lit("Order "), k.cast("string"))).alias(
-                "review_comment_title"
-            ),
-            F.when(k % 7 == 0, F.concat(F.lit('It was "fine",\nnumber '), k.cast("string"))).alias(
-                "review_comment_message"
-            ),
-            written.alias("review_creation_date"),
-            _later(written, F.lit(1), k % 24).alias("review_answer_timestamp"),
+        f"CASE WHEN n = 1 THEN 1 + o_orderkey % 5 WHEN {bucket} < 55 THEN 5"
+        f" WHEN {bucket} < 75 THEN 4 WHEN {bucket} < 83 THEN 3 WHEN {bucket} < 90 THEN 2 ELSE 1 END"
+    )
+    message = "concat('It was \"fine\",\\nnumber ', o_orderkey)"
+    return (
+        _read(spark, folder, "orders")
+        .selectExpr(
+            "*", f"explode(IF(o_orderkey % 180 = 0, concat({first}, array(1)), {first})) AS n"
+        )
+        .selectExpr(
+            "2 * o_orderkey + n AS review_id",
+            "o_orderkey AS order_id",
+            f"CAST({score} AS TINYINT) AS review_score",
+            "IF(o_orderkey % 4 = 0, concat('Order ', o_orderkey), NULL) AS review_comment_title",
+            f"IF(o_orderkey % 7 = 0, {message}, NULL) AS review_comment_message",
+            f"{made} AS review_creation_date",
+            f"{_later(made, '1', 'o_orderkey % 24')} AS review_answer_timestamp",
         )
-
-    first, second = review(0, score), review(1, k % 5 + 1)
-    some = F.when(k % 50 != 0, F.array(first)).otherwise(F.array())
-    reviews = F.when(k % 180 == 0, F.concat(some, F.array(second))).otherwise(some)
-    return _read(spark, folder, "orders").select(
-        F.inline(reviews), k.alias("order_id")
     )
 
 
