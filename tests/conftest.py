@@ -5,8 +5,10 @@ import os
 import sys
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -110,8 +112,8 @@ class Shop:
     def tables(self) -> Tables:
         frames = {}
         for name, spec in TABLES.items():
-            rows = [tuple(row.get(c) for c in spec.columns) for row in self.rows[name]]
-            frames[name] = self.spark.createDataFrame(rows, spec.schema)
+            arrow = pa.Table.from_pylist(self.rows[name], schema=to_arrow_schema(spec.schema))
+            frames[name] = self.spark.createDataFrame(arrow, spec.schema)
         return Tables.of(self.spark, **frames)
 
 

@@ -37,7 +37,7 @@ def values(kind: str, n: int) -> list:
 @pytest.mark.parametrize("kind", ["tied", "nulls", "spread"])
 def test_global_ntile_equals_the_window(spark, kind):
     df = frame(spark, values(kind, 3000)).cache()
-    found = global_ntile(df, 5, SCORES, sample_rows=60, collect_rows=40)
+    found = global_ntile(df, 5, SCORES, sample_rows=400, collect_rows=100)
     assert as_set(found) == as_set(local_ntile(df, 5, SCORES))
 
 
@@ -56,7 +56,7 @@ def test_keys_at_ranks(spark):
     df = frame(spark, values("spread", 2000))
     ordered = [r.id for r in df.orderBy("value", "id").collect()]
     ranks = [1, 2, 1000, 1999, 2000]
-    found = keys_at_ranks(df, SCORES["up"], ranks, 2000, sample_rows=50, collect_rows=30)
+    found = keys_at_ranks(df, SCORES["up"], ranks, 2000, sample_rows=200, collect_rows=60)
     assert [key[2] for key in found] == [ordered[r - 1] for r in ranks]
 
 

@@ -95,19 +95,20 @@ def keys_at_ranks(
     def literal(values: tuple) -> Column:
         return F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(values, types, "fvt")))
 
-    def candidates(searches: list[_Search]) -> DataFrame:
-        return keyed.where(reduce(or_, (s.condition(key, literal) for s in searches)))
-
     searches = [_Search(rank, total) for rank in ranks]
     attempt = 0
     while wide := [s for s in searches if s.rows > collect_rows]:
         attempt += 1
-        # One fraction per round, set by the narrowest search so that each gets a sample.
-        step = max(1, min(s.rows for s in wide) // sample_rows)
-        in_sample = F.pmod(F.xxhash64("t", F.lit(attempt)), F.lit(step)) == 0
-        sample = [tuple(r) for r in candidates(wide).where(in_sample).collect()]
-        sample.sort(key=_python_order)
-        probes = [_probe(s, [k for k in sample if s.covers(k)]) for s in wide]
+        # Every search samples its own candidates, about sample_rows of them.
+        spread = F.xxhash64("t", F.lit(attempt))
+        picks = [
+            s.condition(key, literal) & (F.pmod(spread, F.lit(max(1, s.rows // sample_rows))) == 0)
+            for s in wide
+        ]
+        sample = keyed.select("f", "v", "t", F.array(*picks).alias("picks"))
+        sample = sample.where(F.array_contains("picks", True)).collect()
+        sample.sort(key=lambda r: _python_order(r[:3]))
+        probes = [_probe(s, [tuple(r[:3]) for r in sample if r.picks[i]]) for i, s in enumerate(wide)]
         counters = [
             F.count_if(s.condition(key, literal) & (key <= literal(edge)))
             for s, edges in zip(wide, probes)
@@ -119,7 +120,8 @@ def keys_at_ranks(
         for search, edges in zip(wide, probes):
             _narrow(search, [(edge, next(counts)) for edge in edges])
 
-    found = [tuple(r) for r in candidates(searches).collect()]
+    left = reduce(or_, (s.condition(key, literal) for s in searches))
+    found = [tuple(r) for r in keyed.where(left).collect()]
     found.sort(key=_python_order)
     return [[k for k in found if s.covers(k)][s.rank - s.below - 1] for s in searches]
 

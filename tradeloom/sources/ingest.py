@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeloom.operators.scratch import written
-from tradeloom.operators.skew import SALT, find_hot_keys, spread_join
+from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, spread_join
 from tradeloom.schemas import TABLES, TableSpec
 from tradeloom.sources.files import find, read_table, table_path
 
@@ -100,22 +100,31 @@ def first_per_key(df: DataFrame, key: tuple[str, ...], order: Column | None = No
     return grouped.select(*(F.col(c) if c in key else F.col(f"row.{c}") for c in df.columns))
 
 
-def _with_parent(df: DataFrame, parents: DataFrame, column: str, id_column: str) -> DataFrame:
+def _marked(
+    df: DataFrame, parents: DataFrame, column: str, id_column: str, hot: HotKeys | None
+) -> DataFrame:
+    if hot is None:
+        hot = find_hot_keys(df, column)
     known = parents.select(column).distinct().withColumn("_known", F.lit(True))
-    joined = spread_join(df, known, column, find_hot_keys(df, column), [id_column], "left")
-    return joined.drop(SALT)
+    return spread_join(df, known, column, hot, [id_column], "left").drop(SALT)
 
 
-def with_parent(df: DataFrame, parents: DataFrame, column: str, id_column: str) -> DataFrame:
-    """Rows whose `column` is in `parents`, or NULL (a missing reference breaks no rule)."""
-    checked = _with_parent(df, parents, column, id_column)
+def with_parent(
+    df: DataFrame, parents: DataFrame, column: str, id_column: str, hot: HotKeys | None = None
+) -> DataFrame:
+    """Rows whose `column` is in `parents`, or NULL (a missing reference breaks no rule).
+
+    `hot` may come from an input of `df`, which is cheaper to look through.
+    """
     kept = F.col("_known").isNotNull() | F.col(column).isNull()
-    return checked.where(kept).select(df.columns)
+    return _marked(df, parents, column, id_column, hot).where(kept).select(df.columns)
 
 
-def orphans(df: DataFrame, parents: DataFrame, column: str, id_column: str) -> DataFrame:
-    checked = _with_parent(df, parents, column, id_column)
-    return checked.where(F.col("_known").isNull() & F.col(column).isNotNull()).select(df.columns)
+def orphans(
+    df: DataFrame, parents: DataFrame, column: str, id_column: str, hot: HotKeys | None = None
+) -> DataFrame:
+    lost = F.col("_known").isNull() & F.col(column).isNotNull()
+    return _marked(df, parents, column, id_column, hot).where(lost).select(df.columns)
 
 
 def stage(raw: DataFrame, spec: TableSpec) -> DataFrame:
@@ -181,7 +190,7 @@ def load_table(spark: SparkSession, source: str, target: str, spec: TableSpec) -
         parents = spark.createDataFrame([], TABLES[parent].schema)
         if find(spark, table_path(target, parent)):
             parents = read_table(spark, target, parent)
-        rows = with_parent(rows, parents, column, spec.key[0])
+        rows = with_parent(rows, parents, column, spec.key[0], find_hot_keys(staged, column))
     path = table_path(target, spec.name)
     before = 0
     if find(spark, path):
