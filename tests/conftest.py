@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+from contextlib import contextmanager
 from decimal import Decimal
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ def spark(tmp_path_factory):
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
@@ -37,15 +39,23 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture
-def forced(spark):
-    """Every size limit at zero: all inputs count as too large for the small-data plans."""
+@contextmanager
+def all_limits_at_zero(spark):
+    """All inputs count as too large for the small-data plans."""
     names = ("broadcastBytes", "localWindowBytes", "skewMinBytes")
     for name in names:
         spark.conf.set(f"spark.tradeloom.{name}", "0")
-    yield
-    for name in names:
-        spark.conf.unset(f"spark.tradeloom.{name}")
+    try:
+        yield
+    finally:
+        for name in names:
+            spark.conf.unset(f"spark.tradeloom.{name}")
+
+
+@pytest.fixture
+def forced(spark):
+    with all_limits_at_zero(spark):
+        yield
 
 
 def ts(text: str | None) -> dt.datetime | None:
