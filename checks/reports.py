@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.base import days, mean_money, money, month, percent, rounded, statement, whole
-from tradeloom.plans import catalog
+from tradeloom.plans import catalog, sellers
 from tradeloom.plans.customers import OTHER_SEGMENT, SEGMENTS
 
 _PAID = "x_paid AS (SELECT order_id, sum(paid_c) AS paid_c, count(paid_c) AS n FROM x_payments GROUP BY 1)"
@@ -56,10 +56,13 @@ _SELLERS = f"""x_metrics AS (
            AS cancellation_rate,
          count(*) FILTER (late) AS late_deliveries
   FROM x_fanned GROUP BY 1)"""
-_TIER = """CASE WHEN c > 5000000 AND avg_rating >= 4.0 AND cancellation_rate < 5 THEN 'Top Performer'
-       WHEN c > 2000000 AND avg_rating >= 3.5 THEN 'Good Performer'
-       WHEN avg_rating < 3.0 OR cancellation_rate > 15 THEN 'Underperformer'
-       ELSE 'Average' END"""
+_TIER = f"""CASE
+  WHEN avg_rating >= {sellers.TOP_RATING} AND cancellation_rate < {sellers.TOP_CANCELLATION}
+       AND c > 100 * {sellers.TOP_REVENUE} THEN 'Top Performer'
+  WHEN avg_rating >= {sellers.GOOD_RATING} AND c > 100 * {sellers.GOOD_REVENUE} THEN 'Good Performer'
+  WHEN avg_rating < {sellers.POOR_RATING} OR cancellation_rate > {sellers.POOR_CANCELLATION}
+       THEN 'Underperformer'
+  ELSE 'Average' END"""
 _COHORTS = (
     """x_active AS (
   SELECT DISTINCT person, year(bought_at) * 12 + month(bought_at) - 1 AS m

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tradeloom-", dir="/tmp")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(_SETTING, root)
     return root.rstrip("/")
 

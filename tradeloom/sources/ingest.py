@@ -6,6 +6,7 @@ left alone, and loading the same file again changes nothing.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -19,6 +20,7 @@ from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, spread_join
 from tradeloom.schemas import TABLES, TableSpec
 from tradeloom.sources.files import find, read_table, table_path
 
+_CONCURRENT = 4
 POSITION = "_position"
 REJECTED = "_rejected"
 
@@ -206,12 +208,22 @@ def load_table(spark: SparkSession, source: str, target: str, spec: TableSpec) -
 
 
 def load_folder(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Load every known file, parents first; one table's failure leaves the others alone."""
-    statuses = []
-    for spec in TABLES.values():
+    """Load every known file; one table's failure leaves the others alone.
+
+    Tables are independent jobs but for their parents, so those without one go first and a
+    few tables load at a time.
+    """
+
+    def load(spec: TableSpec) -> LoadStatus:
         try:
-            statuses.append(load_table(spark, source, target, spec))
+            return load_table(spark, source, target, spec)
         except Exception as error:
-            statuses.append(LoadStatus(spec.name, f"error: {type(error).__name__}"))
-    rows = [tuple(vars(s).values()) for s in statuses]
+            return LoadStatus(spec.name, f"error: {type(error).__name__}")
+
+    found: dict[str, LoadStatus] = {}
+    with ThreadPoolExecutor(_CONCURRENT) as pool:
+        for children in (False, True):
+            wave = [s for s in TABLES.values() if (s.parent is not None) == children]
+            found |= {status.table_name: status for status in pool.map(load, wave)}
+    rows = [tuple(vars(found[name]).values()) for name in TABLES]
     return spark.createDataFrame(rows, _STATUS_TYPES)
