@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tradeloom.llm import decontam
+from tradeloom.llm import decontam, exact_dedup, secrets_scan
 
 _OPERATORS = {
+    "op3_secret_ownership": secrets_scan,
     "op4_decontamination": decontam,
+    "op5_exact_dedup": exact_dedup,
 }
 
 
