@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from tradeloom.llm import decontam, exact_dedup, secrets_scan
+from tradeloom.llm import (
+    decontam,
+    exact_dedup,
+    line_dedup,
+    packing,
+    secrets_scan,
+)
 
 _OPERATORS = {
+    "op1_packing": packing,
     "op3_secret_ownership": secrets_scan,
     "op4_decontamination": decontam,
     "op5_exact_dedup": exact_dedup,
+    "op7_line_dedup": line_dedup,
 }
 
 

@@ -192,3 +192,8 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     skip = np.repeat(np.asarray(starts, np.int64) - (np.cumsum(lengths) - lengths), lengths)
     return skip + np.arange(total)
+
+
+def byte_range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes data[start:end] for every given range."""
+    return _range_hashes(_BYTE_VALUE[data], _BYTE_POWERS, starts, ends)
