@@ -6,8 +6,10 @@ from tradeloom.llm import (
     decontam,
     exact_dedup,
     line_dedup,
+    ngram_join,
     packing,
     secrets_scan,
+    substring_dedup,
 )
 
 _OPERATORS = {
@@ -16,6 +18,8 @@ _OPERATORS = {
     "op4_decontamination": decontam,
     "op5_exact_dedup": exact_dedup,
     "op7_line_dedup": line_dedup,
+    "op8_ngram_jaccard": ngram_join,
+    "op9_substring_dedup": substring_dedup,
 }
 
 

@@ -15,7 +15,7 @@ from tradeloom.operators.scratch import written
 from tradeloom.operators.sizing import input_bytes
 
 __all__ = [
-    "add_columns", "bucket_count", "by_bucket", "components", "map_batches", "packed",
+    "add_columns", "bucket_count", "by_bucket", "components", "importable", "map_batches", "packed", "packed_runs", "packed_schema",
     "rows_of", "written",
 ]
 
@@ -87,6 +87,35 @@ def packed(buckets: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch | No
     return pa.record_batch(columns, names=["bucket", *[f"a{i}" for i in range(len(arrays))]])
 
 
+def packed_runs(
+    buckets: np.ndarray, owner: np.ndarray, heads: list[np.ndarray], items: list[np.ndarray]
+) -> pa.RecordBatch | None:
+    """One row per bucket for entries that come in runs of one owner.
+
+    Per bucket: the `heads` of each owner that occurs, how many entries it has there, and the
+    entries' `items`. heads are indexed by owner, items by entry.
+    """
+    if not len(buckets):
+        return None
+    order = np.lexsort((owner, buckets))
+    buckets, owner = buckets[order], owner[order]
+    new_bucket = np.r_[True, buckets[1:] != buckets[:-1]]
+    run = np.flatnonzero(new_bucket | np.r_[True, owner[1:] != owner[:-1]])
+    many = np.diff(np.r_[run, len(owner)]).astype(np.uint32)
+    at = np.flatnonzero(new_bucket)
+    ends = np.r_[at[1:], len(buckets)]
+    first, last = np.searchsorted(run, at), np.searchsorted(run, ends)
+
+    def blobs(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+        values = np.ascontiguousarray(values)
+        return pa.array([values[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())
+
+    columns = [pa.array(buckets[at].astype(np.int32))]
+    columns += [blobs(h[owner[run]], first, last) for h in heads]
+    columns += [blobs(many, first, last), *[blobs(i[order], at, ends) for i in items]]
+    return pa.record_batch(columns, names=["bucket", *[f"a{i}" for i in range(len(columns) - 1)]])
+
+
 def packed_schema(arrays: int) -> str:
     return ", ".join(["bucket int", *[f"a{i} binary" for i in range(arrays)]])
 
