@@ -5,21 +5,27 @@ from __future__ import annotations
 from tradeloom.llm import (
     decontam,
     exact_dedup,
+    langid,
     line_dedup,
     ngram_join,
     packing,
+    ppm,
     secrets_scan,
     substring_dedup,
+    toxicity,
 )
 
 _OPERATORS = {
     "op1_packing": packing,
+    "op2_ppm_score": ppm,
     "op3_secret_ownership": secrets_scan,
     "op4_decontamination": decontam,
     "op5_exact_dedup": exact_dedup,
+    "op6_language_id": langid,
     "op7_line_dedup": line_dedup,
     "op8_ngram_jaccard": ngram_join,
     "op9_substring_dedup": substring_dedup,
+    "op10_toxic_spans": toxicity,
 }
 
 
