@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.llm import text as tx
-from tradeloom.llm.tasks import add_columns, map_batches, written
+from tradeloom.llm.tasks import add_columns, boxed, map_batches, unboxed, written
 
 WINDOWS_PER_BLOCK = 100_000
 SHINGLE = 5
@@ -261,8 +261,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> Data
     """The documents, all columns, that hold no window of any item."""
     pairs = written(item_windows(items, window), "windows")
     windows = written(pairs.groupBy("win").agg(F.first("size").alias("size"), F.first("words").alias("words")), "windows")
-    found = find_windows(docs, windows)
-    return found.where(F.size("_at") == 0).select(*docs.columns)
+    found = find_windows(boxed(docs), windows)
+    return unboxed(found.where(F.size("_at") == 0), docs.columns)
 
 
 def query(spark, folder: str) -> DataFrame:

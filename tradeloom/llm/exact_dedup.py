@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.llm import fuse
-from tradeloom.llm.tasks import importable, written
+from tradeloom.llm.tasks import boxed, importable, unboxed, written
 
 _KEYS_PER_SHARD = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -152,19 +152,20 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without those whose text another kept row has."""
-    names = docs.columns
     rows = deduplicate(*halves(docs)).where("kept")
     keys = rows.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in _BUCKET])
-    keyed = docs.withColumn("_norm", normalised())
-    keyed = keyed.withColumn("_d", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)))
-    keyed = keyed.withColumn("_s", F.xxhash64("_norm")).drop("_norm")
     keys = keys.hint("shuffle_hash")
+    keyed = boxed(docs).withColumn("_norm", normalised()).select(
+        "doc_id", "text", "_others",
+        F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_d"),
+        F.xxhash64("_norm").alias("_s"),
+    )
     match = keyed["doc_id"].eqNullSafe(keys["_id"])
     found = keyed.join(keys, match & (keyed["_d"] == keys["_digest"]) & (keyed["_s"] == keys["_second"]))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.take(1):  # rows that repeat an id can also repeat its text
+    if docs.groupBy("doc_id").count().where("count > 1").take(1):
+        # Rows that repeat an id can also repeat its text.
         found = found.dropDuplicates(["_id", "_digest", "_second"])
-    return found.select(*[found[c] for c in names])
+    return unboxed(found, docs.columns)
 
 
 def query(spark, folder: str) -> DataFrame:

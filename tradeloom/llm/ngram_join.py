@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 
 from tradeloom.llm import text as tx
 from tradeloom.llm.tasks import (
+    boxed,
     bucket_count,
     by_bucket,
     components,
     importable,
     map_batches,
     packed_schema,
+    unboxed,
     written,
 )
 from tradeloom.llm.text import U64, mix
@@ -479,11 +481,15 @@ def jaccard_components(docs: DataFrame, width: int, similarity: Fraction) -> Dat
 
 
 def near_unique(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The documents, all columns, of which one of each component stays: that of least doc_id."""
+    """The documents, all columns, of which one of each component stays: that of least doc_id.
+
+    A document without a doc_id has no rank and stays. Rows that share a doc_id share their fate.
+    """
     found = jaccard_components(docs, width, similarity)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
     ids = kept.select(F.col("doc_id").alias("_kept")).distinct().hint("shuffle_hash")
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
+    rows = boxed(docs).join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
+    return unboxed(rows, docs.columns)
 
 
 def query(spark, folder: str) -> DataFrame:

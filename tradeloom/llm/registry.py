@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tradeloom.llm import (
     decontam,
     exact_dedup,
@@ -30,8 +31,10 @@ _OPERATORS = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _OPERATORS.items()}
+    operators = {name: module.query for name, module in _OPERATORS.items()}
+    return operators | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE for name, module in _OPERATORS.items() if module.ORACLE}
+    found = {name: module.ORACLE for name, module in _OPERATORS.items() if module.ORACLE}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

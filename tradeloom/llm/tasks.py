@@ -15,8 +15,8 @@ from tradeloom.operators.scratch import written
 from tradeloom.operators.sizing import input_bytes
 
 __all__ = [
-    "add_columns", "bucket_count", "by_bucket", "components", "importable", "map_batches", "packed", "packed_runs", "packed_schema",
-    "rows_of", "written",
+    "add_columns", "boxed", "bucket_count", "by_bucket", "components", "importable", "map_batches", "packed", "packed_runs", "packed_schema",
+    "unboxed", "written",
 ]
 
 Batches = Iterator[pa.RecordBatch]
@@ -64,6 +64,18 @@ def add_columns(
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *new.fields]))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that no name of theirs can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("_others"))
+
+
+def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents that `boxed` made, with their columns in the given order."""
+    own = [F.col(c) if c in ("doc_id", "text") else F.col(f"_others.`{c}`").alias(c) for c in columns]
+    return rows.select(*own)
+
+
 def bucket_count(df: DataFrame, bytes_each: int, least: int = 64) -> int:
     """Buckets for data of the order of the input, so that each fits in a task's memory."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -141,10 +153,6 @@ def by_bucket(
     return df.groupBy("bucket").applyInArrow(run, schema)
 
 
-def rows_of(columns: dict[str, np.ndarray]) -> pa.Table:
-    return pa.table({k: pa.array(v) for k, v in columns.items()})
-
-
 def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 

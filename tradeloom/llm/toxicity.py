@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.llm import text as tx
-from tradeloom.llm.tasks import add_columns, map_batches, written
+from tradeloom.llm.tasks import add_columns, boxed, map_batches, unboxed, written
 from tradeloom.llm.text import U64, mix
 
 PREFIXES = range(3, 9)  # characters of word beginnings that are evidence
@@ -393,7 +393,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that are not predicted toxic."""
-    return scored(docs, train(docs, labels)).where("_score < 0.5").select(*docs.columns)
+    return unboxed(scored(boxed(docs), train(docs, labels)).where("_score < 0.5"), docs.columns)
 
 
 def query(spark, folder: str) -> DataFrame:
