@@ -350,7 +350,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
                 own = tx.Words(block, tx.WHITE, lower=True)
                 hashes, doc = own.hashes(), own.docs()
                 found, place = hits.find(hashes)
-                base = np.bincount(doc[found], np.log10(counts[place] + 1.0), block.n)
+                base = np.bincount(doc[found], np.log10(counts[place] + 1.0), block.n).astype(np.float64)
                 known = np.bincount(doc[found], minlength=block.n)
                 rare = np.ones(len(hashes), bool)
                 rare[found] = False

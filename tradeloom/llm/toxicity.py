@@ -350,21 +350,22 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     def run(batches):
         lexicon = Lexicon(hashes, grades)
         for batch in batches:
-            for block in tx.blocks(batch.column(1)):
+            for block in tx.blocks(batch.column(2)):
                 tokens = Tokens(block)
                 seq = sequences(tokens, lexicon.tag(tokens))
                 offsets = pa.array(seq.bounds.astype(np.int32))
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(block.first, block.n), pa.array(seq.n, pa.int64()),
+                        *[batch.column(c).slice(block.first, block.n) for c in (0, 1)], pa.array(seq.n, pa.int64()),
                         pa.ListArray.from_arrays(offsets, pa.array(seq.at.astype(np.int32))),
                         pa.ListArray.from_arrays(offsets, pa.array(seq.grade.astype(np.int32))),
                     ],
-                    names=["toxic", "n", "at", "grade"],
+                    names=["doc_id", "toxic", "n", "at", "grade"],
                 )
 
-    tagged = map_batches(rows, ["toxic", "text"], run, "toxic int, n long, at array<int>, grade array<int>")
-    found = tagged.orderBy("toxic", "n", "at", "grade").toArrow()  # at most `sample` rows of evidence
+    schema = "doc_id long, toxic int, n long, at array<int>, grade array<int>"
+    tagged = map_batches(rows, ["doc_id", "toxic", "text"], run, schema)
+    found = tagged.toArrow().sort_by("doc_id")  # about `sample` rows of evidence at most
     at, grade = found["at"].combine_chunks(), found["grade"].combine_chunks()
     bounds = np.r_[0, np.cumsum(at.value_lengths().to_numpy())].astype(np.int64)
     seq = Sequences(found["n"].to_numpy(), bounds, at.flatten().to_numpy().astype(np.int64), grade.flatten().to_numpy())
