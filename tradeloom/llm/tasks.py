@@ -20,6 +20,7 @@ __all__ = [
 ]
 
 Batches = Iterator[pa.RecordBatch]
+_UNKNOWN_BYTES = 1 << 55
 
 
 def importable(spark: SparkSession) -> None:
@@ -77,9 +78,12 @@ def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def bucket_count(df: DataFrame, bytes_each: int, least: int = 64) -> int:
-    """Buckets for data of the order of the input, so that each fits in a task's memory."""
+    """Buckets for data of the order of the texts, so that each fits in a task's memory."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, 2 * partitions, math.ceil(input_bytes(df) / bytes_each))
+    size = input_bytes(df)
+    if size >= _UNKNOWN_BYTES:  # the rows don't come from files
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, 2 * partitions, math.ceil(size / bytes_each))
 
 
 def packed(buckets: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch | None:
