@@ -20,6 +20,7 @@ __all__ = [
 ]
 
 Batches = Iterator[pa.RecordBatch]
+_ROWS_PER_FILE = 250_000
 _UNKNOWN_BYTES = 1 << 55
 
 
@@ -157,8 +158,9 @@ def by_bucket(
     return df.groupBy("bucket").applyInArrow(run, schema)
 
 
-def _empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def _few_files(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """Write a table of at most `rows` rows in files of a useful size, not one per shuffle task."""
+    return written(df.coalesce(max(1, math.ceil(rows / _ROWS_PER_FILE))), name)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -171,7 +173,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark: SparkSession = edges.sparkSession
     current = written(edges.where("u <> v").select("u", "v").distinct(), name)
     hops: list[DataFrame] = []
-    while not _empty(current):
+    while rows := current.count():
         seed = F.lit(len(hops))
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), seed).alias("h"), F.col(c).alias("id"))
@@ -179,13 +181,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             F.min(F.xxhash64("v", seed)).alias("h"), F.min_by("v", rank("v")).alias("v")
         )
         down = F.col("h") < F.xxhash64("u", seed)
-        hop = written(best.select("u", F.when(down, F.col("v")).otherwise(F.col("u")).alias("to")), name)
+        hop = _few_files(best.select("u", F.when(down, F.col("v")).otherwise(F.col("u")).alias("to")), 2 * rows, name)
         hops.append(hop)
         left = current.join(hop, "u").select(F.col("to").alias("a"), "v")
         right = hop.select(F.col("u").alias("v"), F.col("to").alias("b"))
         met = left.join(right, "v").where("a <> b")
         pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        current = written(pairs.distinct(), name)
+        current = _few_files(pairs.distinct(), rows, name)
     if not hops:
         return spark.createDataFrame([], "node long, root long")
     roots = hops[-1].select(F.col("u").alias("node"), F.col("to").alias("root"))
