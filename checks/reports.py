@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from checks.base import days, mean_money, money, month, percent, rounded, statement, whole
-from tradeloom.plans import catalog, sellers
-from tradeloom.plans.customers import OTHER_SEGMENT, SEGMENTS
+from tradeloom.plans import catalog
 
 _PAID = "x_paid AS (SELECT order_id, sum(paid_c) AS paid_c, count(paid_c) AS n FROM x_payments GROUP BY 1)"
 _SALES = """x_sales AS (
@@ -17,15 +16,25 @@ _CATEGORY = """x_category AS (
   SELECT category, sum(price_c) AS c FROM x_items JOIN x_labels USING (product_id) GROUP BY 1)"""
 
 
-def _when(bounds: dict[str, tuple[int, int]]) -> str:
-    return " AND ".join(f"{score} BETWEEN {low} AND {high}" for score, (low, high) in bounds.items())
-
-
-_SEGMENT = (
-    "CASE "
-    + " ".join(f"WHEN {_when(bounds)} THEN '{name}'" for name, bounds in SEGMENTS)
-    + f" ELSE '{OTHER_SEGMENT}' END"
-)
+_PARETO = f"""
+SELECT revenue_rank, category, {money("c")} AS revenue, share AS cumulative_pct,
+       CASE WHEN share <= 80 THEN 'TOP 80%' ELSE 'TAIL 20%' END AS pareto_segment
+FROM (SELECT category, c, rank() OVER (ORDER BY c DESC) AS revenue_rank,
+             {percent("run", "(SELECT sum(c) FROM x_category)")} AS share
+      FROM (SELECT *, sum(c) OVER (ORDER BY c DESC, category ROWS UNBOUNDED PRECEDING) AS run
+            FROM x_category))
+ORDER BY revenue_rank, category"""
+# The segment rules, stated here apart from the engine.
+_CHAMPION = "r_score BETWEEN 4 AND 5 AND f_score BETWEEN 4 AND 5 AND m_score BETWEEN 4 AND 5"
+_SEGMENT = f"""CASE
+  WHEN {_CHAMPION} THEN 'Champions'
+  WHEN r_score BETWEEN 3 AND 5 AND f_score BETWEEN 3 AND 5 AND m_score BETWEEN 3 AND 5 THEN 'Loyal Customers'
+  WHEN r_score BETWEEN 4 AND 5 AND f_score BETWEEN 1 AND 2 THEN 'New Customers'
+  WHEN r_score BETWEEN 3 AND 5 AND f_score BETWEEN 2 AND 5 AND m_score BETWEEN 2 AND 5 THEN 'Potential Loyalists'
+  WHEN r_score BETWEEN 1 AND 2 AND f_score BETWEEN 4 AND 5 AND m_score BETWEEN 4 AND 5 THEN 'At Risk'
+  WHEN r_score BETWEEN 1 AND 2 AND f_score BETWEEN 3 AND 5 THEN 'Cant Lose Them'
+  WHEN r_score BETWEEN 1 AND 2 AND f_score BETWEEN 1 AND 2 AND m_score BETWEEN 1 AND 2 THEN 'Lost'
+  ELSE 'Needs Attention' END"""
 _RFM = (
     _PAID,
     _SALES,
@@ -56,12 +65,11 @@ _SELLERS = f"""x_metrics AS (
            AS cancellation_rate,
          count(*) FILTER (late) AS late_deliveries
   FROM x_fanned GROUP BY 1)"""
-_TIER = f"""CASE
-  WHEN avg_rating >= {sellers.TOP_RATING} AND cancellation_rate < {sellers.TOP_CANCELLATION}
-       AND c > 100 * {sellers.TOP_REVENUE} THEN 'Top Performer'
-  WHEN avg_rating >= {sellers.GOOD_RATING} AND c > 100 * {sellers.GOOD_REVENUE} THEN 'Good Performer'
-  WHEN avg_rating < {sellers.POOR_RATING} OR cancellation_rate > {sellers.POOR_CANCELLATION}
-       THEN 'Underperformer'
+# The tier rules, stated here apart from the engine.
+_TIER = """CASE
+  WHEN c / 100.0 > 50000 AND avg_rating >= 4.0 AND cancellation_rate < 5 THEN 'Top Performer'
+  WHEN c / 100.0 > 20000 AND avg_rating >= 3.5 THEN 'Good Performer'
+  WHEN cancellation_rate > 15 OR avg_rating < 3.0 THEN 'Underperformer'
   ELSE 'Average' END"""
 _COHORTS = (
     """x_active AS (
@@ -133,17 +141,8 @@ FROM (SELECT *, lag(c) OVER (ORDER BY month) AS p FROM x_month)""",
             f"""x_month AS (
   SELECT {month("bought_at")} AS month, sum(paid_c) AS c, count(*) AS orders FROM x_sales GROUP BY 1)""",
         ),
-        "category_pareto": statement(
-            f"""
-SELECT revenue_rank, category, {money("c")} AS revenue, share AS cumulative_pct,
-       CASE WHEN share > 80 THEN 'TAIL 20%' ELSE 'TOP 80%' END AS pareto_segment
-FROM (SELECT category, c, rank() OVER (ORDER BY c DESC) AS revenue_rank,
-             {percent("run", "(SELECT sum(c) FROM x_category)")} AS share
-      FROM (SELECT *, sum(c) OVER (ORDER BY c DESC, category ROWS UNBOUNDED PRECEDING) AS run
-            FROM x_category))
-ORDER BY revenue_rank, category LIMIT 30""",
-            _CATEGORY,
-        ),
+        "category_pareto": statement(_PARETO + " LIMIT 30", _CATEGORY),
+        "category_shares": statement(_PARETO, _CATEGORY),
         "quarterly_revenue": statement(
             f"""
 SELECT year(bought_at) AS year, quarter(bought_at) AS quarter, {money("sum(paid_c)")} AS revenue,
@@ -191,7 +190,7 @@ GROUP BY 1""",
 def _customers() -> dict[str, str]:
     base = f"customer_id, recency_days, frequency, {money('c')} AS monetary"
     scores = f"SELECT {base}, r_score, f_score, m_score FROM x_scores"
-    is_champion = _when(SEGMENTS[0][1])
+    is_champion = _CHAMPION
     return {
         "rfm_base": statement(f"SELECT {base} FROM x_rfm", *_RFM),
         "rfm_scores": statement(scores, *_RFM),
@@ -293,8 +292,8 @@ SELECT count(*) AS total_delivered, {mean("arrived_at", "due_at")} AS avg_days_v
         "key_delivery": statement(f"SELECT {overall} FROM x_arrived", _ARRIVED),
         "delivery_segments": statement(
             f"""
-SELECT CASE WHEN NOT late THEN 'On Time' WHEN {gap} < 4 THEN 'Slightly Late (1-3d)'
-            WHEN {gap} < 8 THEN 'Late (4-7d)' ELSE 'Very Late (7d+)' END AS delivery_segment,
+SELECT CASE WHEN NOT late THEN 'On Time' WHEN {gap} <= 3 THEN 'Slightly Late (1-3d)'
+            WHEN {gap} <= 7 THEN 'Late (4-7d)' ELSE 'Very Late (7d+)' END AS delivery_segment,
        count(*) AS order_count, {percent("count(*)", "(SELECT count(*) FROM x_arrived)")} AS pct,
        {mean("bought_at", "arrived_at")} AS avg_actual_days
 FROM x_arrived GROUP BY 1""",

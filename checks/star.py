@@ -87,7 +87,7 @@ SELECT {revenue} AS total_revenue, count(DISTINCT order_id) AS orders, {per_orde
         "page_executive_trend": growth,
         "page_revenue": all_states,
         "page_revenue_trend": reports["monthly_revenue_mom"],
-        "page_revenue_pareto": reports["category_pareto"],
+        "page_revenue_pareto": reports["category_shares"],
         "page_customers": (
             "SELECT customer_segment, customer_count, pct_customers, total_revenue, pct_revenue"
             f" FROM ({reports['rfm_segment_summary']})"

@@ -42,7 +42,7 @@ def spark(tmp_path_factory):
 @contextmanager
 def all_limits_at_zero(spark):
     """All inputs count as too large for the small-data plans."""
-    names = ("broadcastBytes", "localWindowBytes", "skewMinBytes")
+    names = ("broadcastBytes", "skewMinBytes")
     for name in names:
         spark.conf.set(f"spark.tradeloom.{name}", "0")
     try:

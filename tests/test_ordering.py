@@ -10,7 +10,6 @@ from tradeloom.operators.ordering import (
     dense_rank_of,
     global_ntile,
     keys_at_ranks,
-    local_ntile,
     tile_ranks,
 )
 from pyspark.sql import Window
@@ -19,6 +18,18 @@ from pyspark.sql import functions as F
 SCORES = {"up": Order("value", "id"), "down": Order("value", "id", descending=True)}
 
 
+def local_ntile(df, tiles, scores):
+    """The plain window form."""
+
+    def sorting(order):
+        value = F.col(order.column)
+        value = value.desc_nulls_last() if order.descending else value.asc_nulls_first()
+        return value, F.col(order.tie_break).asc_nulls_first()
+
+    tiled = (F.ntile(tiles).over(Window.orderBy(*sorting(o))).alias(n) for n, o in scores.items())
+    return df.select("*", *tiled)
+
+
 def frame(spark, values):
     data = [(f"id{i:05d}", v) for i, v in enumerate(values)]
     random.Random(3).shuffle(data)
@@ -41,6 +52,13 @@ def test_global_ntile_equals_the_window(spark, kind):
     assert as_set(found) == as_set(local_ntile(df, 5, SCORES))
 
 
+@pytest.mark.parametrize("sizes", [{}, {"sample_rows": 100, "collect_rows": 60}])
+def test_a_null_id_among_ties(spark, sizes):
+    data = [(None if i == 7 else f"id{i:03d}", i % 3) for i in range(300)]
+    df = spark.createDataFrame(data, "id string, value int").repartition(3)
+    assert as_set(global_ntile(df, 5, SCORES, **sizes)) == as_set(local_ntile(df, 5, SCORES))
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 5, 13])
 def test_few_rows(spark, n):
     df = frame(spark, values("tied", n))
@@ -56,7 +74,7 @@ def test_keys_at_ranks(spark):
     df = frame(spark, values("spread", 2000))
     ordered = [r.id for r in df.orderBy("value", "id").collect()]
     ranks = [1, 2, 1000, 1999, 2000]
-    found = keys_at_ranks(df, SCORES["up"], ranks, 2000, sample_rows=200, collect_rows=60)
+    (found,) = keys_at_ranks(df, [SCORES["up"]], ranks, 2000, sample_rows=200, collect_rows=60)
     assert [key[2] for key in found] == [ordered[r - 1] for r in ranks]
 
 

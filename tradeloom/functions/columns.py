@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +12,21 @@ CANCELED = "canceled"
 
 
 def ratio(numerator: Column, denominator: Column, places: int = 2) -> Column:
-    """Quotient of two whole numbers, rounded half up; NULL if the denominator is 0.
+    """Quotient of two whole numbers, rounded half up once; NULL if the denominator is 0.
 
-    Both casts are exact up to 2**53, so the one rounding of the division is the only
-    error and ties still round away from zero.
+    Whole decimals only, so it is exact for all totals: the shifted numerator is divided with
+    a remainder, and the remainder decides the rounding.
     """
-    quotient = F.try_divide(numerator.cast("double"), denominator.cast("double"))
-    return F.round(quotient, places).cast(f"decimal(20,{places})")
+    whole = "decimal(38,0)"
+    n, d = numerator.cast(whole), F.nullif(denominator.cast(whole), F.lit(0).cast(whole))
+    shifted = (F.abs(n) * F.lit(10**places).cast("decimal(10,0)")).cast(whole)
+    by = F.abs(d)
+    quotient = F.call_function("div", shifted, by).cast("decimal(20,0)")
+    rest = shifted - (quotient * by).cast(whole)
+    up = F.when(rest >= by - rest, F.lit(1)).otherwise(F.lit(0))
+    sign = F.when((n < 0) != (d < 0), F.lit(-1)).otherwise(F.lit(1))
+    units = ((quotient + up) * sign).cast("decimal(20,0)")
+    return F.when(d.isNotNull(), units * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(20,{places})")
 
 
 def cents(money: Column) -> Column:

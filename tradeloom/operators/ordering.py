@@ -23,20 +23,13 @@ COLLECT_ROWS = 20_000
 class Order:
     """Order by a numeric column, ties broken by an ascending unique id.
 
-    NULLs come first ascending and last descending.
+    NULL values come first ascending and last descending; of equal values a NULL id comes first.
     """
 
     column: str
     tie_break: str
     descending: bool = False
 
-    def sort_columns(self) -> list[Column]:
-        value = F.col(self.column)
-        return [
-            value.desc_nulls_last() if self.descending else value.asc_nulls_first(),
-            F.col(self.tie_break).asc(),
-        ]
-
     def parts(self) -> list[Column]:
         """Three columns whose ascending struct order is this order."""
         value = F.col(self.column)
@@ -47,8 +40,9 @@ class Order:
 
 @dataclass
 class _Search:
-    """The rows in (low, high] still hold the wanted rank; `below` rows precede them."""
+    """The rows in (low, high] of one order still hold the wanted rank; `below` rows precede them."""
 
+    order: int
     rank: int
     rows: int
     below: int = 0
@@ -70,47 +64,52 @@ class _Search:
 
 def _python_order(key: tuple) -> tuple:
     flag, value, tie_break = key
-    return (flag, 0 if value is None else value, tie_break)
+    known = tie_break is not None
+    return (flag, 0 if value is None else value, known, tie_break if known else "")
 
 
 def keys_at_ranks(
     df: DataFrame,
-    order: Order,
+    orders: list[Order],
     ranks: list[int],
     total: int,
     sample_rows: int = SAMPLE_ROWS,
     collect_rows: int = COLLECT_ROWS,
-) -> list[tuple]:
-    """The exact sort keys at the given 1-based ranks.
+) -> list[list[tuple]]:
+    """The exact sort keys at the given 1-based ranks of each order.
 
     Each round samples the candidate rows, picks two keys around every wanted rank and
-    counts the rows up to them, which narrows the candidates by about sqrt(sample_rows).
-    Once few enough are left they are sorted on the driver. The sample is chosen by a hash,
-    so it steers only how fast the search ends, never its result.
+    counts the rows up to them, which narrows the candidates by about sqrt(sample_rows). All
+    ranks of all orders share the two passes of a round. Once few enough candidates are left
+    they are sorted on the driver. The sample is chosen by a hash, so it steers only how fast
+    the search ends, never its result.
     """
-    keyed = df.select(*(c.alias(n) for c, n in zip(order.parts(), "fvt")))
-    types = [keyed.schema[n].dataType for n in "fvt"]
-    key = F.struct("f", "v", "t")
+    names = [f"k{i}" for i in range(len(orders))]
+    keyed = df.select(
+        *(F.struct(*(c.alias(n) for c, n in zip(o.parts(), "fvt"))).alias(k) for o, k in zip(orders, names))
+    )
+    types = {k: [field.dataType for field in keyed.schema[k].dataType] for k in names}
 
-    def literal(values: tuple) -> Column:
-        return F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(values, types, "fvt")))
+    def inside(s: _Search) -> Column:
+        return s.condition(F.col(names[s.order]), _literal(types[names[s.order]]))
 
-    searches = [_Search(rank, total) for rank in ranks]
+    searches = [_Search(i, rank, total) for i in range(len(orders)) for rank in ranks]
     attempt = 0
     while wide := [s for s in searches if s.rows > collect_rows]:
         attempt += 1
         # Every search samples its own candidates, about sample_rows of them.
-        spread = F.xxhash64("t", F.lit(attempt))
-        picks = [
-            s.condition(key, literal) & (F.pmod(spread, F.lit(max(1, s.rows // sample_rows))) == 0)
-            for s in wide
-        ]
-        sample = keyed.select("f", "v", "t", F.array(*picks).alias("picks"))
+        picks = []
+        for s in wide:
+            spread = F.xxhash64(names[s.order], F.lit(attempt))
+            picks.append(inside(s) & (F.pmod(spread, F.lit(max(1, s.rows // sample_rows))) == 0))
+        sample = keyed.select(*names, F.array(*picks).alias("picks"))
         sample = sample.where(F.array_contains("picks", True)).collect()
-        sample.sort(key=lambda r: _python_order(r[:3]))
-        probes = [_probe(s, [tuple(r[:3]) for r in sample if r.picks[i]]) for i, s in enumerate(wide)]
+        probes = []
+        for i, s in enumerate(wide):
+            own = sorted((tuple(r[s.order]) for r in sample if r.picks[i]), key=_python_order)
+            probes.append(_probe(s, own))
         counters = [
-            F.count_if(s.condition(key, literal) & (key <= literal(edge)))
+            F.count_if(inside(s) & (F.col(names[s.order]) <= _literal(types[names[s.order]])(edge)))
             for s, edges in zip(wide, probes)
             for edge in edges
         ]
@@ -120,10 +119,21 @@ def keys_at_ranks(
         for search, edges in zip(wide, probes):
             _narrow(search, [(edge, next(counts)) for edge in edges])
 
-    left = reduce(or_, (s.condition(key, literal) for s in searches))
-    found = [tuple(r) for r in keyed.where(left).collect()]
-    found.sort(key=_python_order)
-    return [[k for k in found if s.covers(k)][s.rank - s.below - 1] for s in searches]
+    left = keyed.where(reduce(or_, (inside(s) for s in searches))).collect()
+    found: list[list[tuple]] = [[] for _ in orders]
+    for i, keys in enumerate(found):
+        own = [s for s in searches if s.order == i]
+        rows = sorted((tuple(r[i]) for r in left), key=_python_order)
+        for s in own:
+            keys.append([k for k in rows if s.covers(k)][s.rank - s.below - 1])
+    return found
+
+
+def _literal(types: list):
+    def of(values: tuple) -> Column:
+        return F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(values, types, "fvt")))
+
+    return of
 
 
 def _probe(search: _Search, sample: list[tuple]) -> list[tuple]:
@@ -167,34 +177,23 @@ def global_ntile(
     if total == 0:
         return df.select("*", *(F.lit(1).alias(name) for name in scores))
     ranks = tile_ranks(total, tiles)
+    wanted = sorted({r for r in ranks if r > 0})
+    orders = list(scores.values())
+    edges = keys_at_ranks(df, orders, wanted, total, **search_sizes) if wanted else [[]] * len(orders)
     columns = []
-    for name, order in scores.items():
-        wanted = sorted({r for r in ranks if r > 0})
-        edges = dict(zip(wanted, keys_at_ranks(df, order, wanted, total, **search_sizes)))
+    for name, order, keys in zip(scores, orders, edges):
         parts = order.parts()
-        types = df.select(*parts).schema
+        literal = _literal([field.dataType for field in df.select(*parts).schema])
         key = F.struct(*(p.alias(n) for p, n in zip(parts, "fvt")))
+        at = dict(zip(wanted, keys))
         tile = F.lit(1)
         for rank in ranks:
-            if rank in edges:
-                literals = zip(edges[rank], types, "fvt")
-                edge = F.struct(*(F.lit(v).cast(t.dataType).alias(n) for v, t, n in literals))
-                tile = tile + (key > edge).cast("int")
+            if rank in at:
+                tile = tile + (key > literal(at[rank])).cast("int")
         columns.append(tile.alias(name))
     return df.select("*", *columns)
 
 
-def local_ntile(df: DataFrame, tiles: int, scores: dict[str, Order]) -> DataFrame:
-    """The plain window form, for inputs small enough for one task."""
-    return df.select(
-        "*",
-        *(
-            F.ntile(tiles).over(Window.orderBy(*order.sort_columns())).alias(name)
-            for name, order in scores.items()
-        ),
-    )
-
-
 def dense_rank_of(
     rows: DataFrame, population: DataFrame, column: str, name: str, descending: bool = False
 ) -> DataFrame:

@@ -9,7 +9,6 @@ MB = 1024 * 1024
 # Session settings that move the limits, with their defaults in bytes of scanned input.
 LIMITS = {
     "spark.tradeloom.broadcastBytes": 32 * MB,  # sides up to this size may be broadcast
-    "spark.tradeloom.localWindowBytes": 32 * MB,  # unpartitioned windows up to this input
     "spark.tradeloom.skewMinBytes": 1024 * MB,  # below this a hot key cannot hurt
 }
 

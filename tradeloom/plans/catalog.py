@@ -73,6 +73,7 @@ SHARED: tuple[Report, ...] = (
     cohorts.first_purchase,
     cohorts.cohort_activity,
     cohorts.cohort_size,
+    revenue.category_shares,
     sellers.seller_metrics,
     sellers.seller_tier,
 )
@@ -136,10 +137,10 @@ DRILL: dict[str, Report] = {
     "category_drill_delivery": lambda t: pages.category_delivery(t, CALL_CATEGORY),
 }
 
-# The forms used beyond the size limits, so that they are checked on small data too.
+# The operators behind the scores and ranks, under their own names.
 DISTRIBUTED: dict[str, Report] = {
-    "global_ntile": customers.rfm_scores_distributed,
-    "global_dense_rank": sellers.seller_scorecard_distributed,
+    "global_ntile": customers.rfm_scores,
+    "global_dense_rank": sellers.seller_scorecard,
 }
 
 

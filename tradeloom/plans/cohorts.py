@@ -30,45 +30,41 @@ def first_purchase(t: Tables) -> DataFrame:
 
 
 def _active_months(t: Tables) -> DataFrame:
-    """(person, months): one set per person, no longer than the calendar.
+    """Distinct (person, month_no) of delivered orders.
 
-    Both groupings merge sets on the map side, and the first month is the least of a set:
-    no join of orders with first orders, and no window per person.
+    Whole rows are grouped both times, so plain hash aggregates do it, and a person with very
+    many orders collapses on the map side.
     """
-    per_customer = (
-        _delivered_months(t).groupBy("customer_id").agg(F.collect_set("month_no").alias("months"))
-    )
     return (
-        per_customer.join(_people(t), "customer_id")
-        .select("person", F.explode("months").alias("month_no"))
-        .groupBy("person")
-        .agg(F.collect_set("month_no").alias("months"))
+        _delivered_months(t)
+        .distinct()
+        .join(_people(t), "customer_id")
+        .select("person", "month_no")
+        .distinct()
     )
 
 
+def _with_first(t: Tables) -> DataFrame:
+    """(person, month_no, first): the months and the first one, in the partitioning of the person."""
+    months = _active_months(t).repartition("person")
+    first = months.groupBy("person").agg(F.min("month_no").alias("first"))
+    return months.join(first.withColumnRenamed("person", "_person"), F.col("person").eqNullSafe(F.col("_person")))
+
+
 def cohort_activity(t: Tables) -> DataFrame:
     """One row per person and active month."""
-    return (
-        _active_months(t)
-        .select(
-            F.col("person").alias("customer_id"),
-            F.array_min("months").alias("first"),
-            F.explode("months").alias("month_no"),
-        )
-        .select(
-            "customer_id",
-            month_label(F.col("first")).alias("cohort_month"),
-            month_label(F.col("month_no")).alias("order_month"),
-            (F.col("month_no") - F.col("first")).alias("month_index"),
-        )
+    return _with_first(t).select(
+        F.col("person").alias("customer_id"),
+        month_label(F.col("first")).alias("cohort_month"),
+        month_label(F.col("month_no")).alias("order_month"),
+        (F.col("month_no") - F.col("first")).alias("month_index"),
     )
 
 
 def _cohort_counts(t: Tables) -> DataFrame:
     """(first, month_index, active, size) per cohort and index; people are rows by now."""
     counts = (
-        _active_months(t)
-        .select(F.array_min("months").alias("first"), F.explode("months").alias("month_no"))
+        _with_first(t)
         .groupBy("first", (F.col("month_no") - F.col("first")).alias("month_index"))
         .agg(F.count("*").alias("active"))
     )

@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import money_mean, money_percent, percent, ratio
-from tradeloom.operators.ordering import Order, global_ntile, local_ntile
-from tradeloom.operators.scratch import written
-from tradeloom.operators.sizing import within
+from tradeloom.operators.ordering import Order, global_ntile
 from tradeloom.plans.revenue import paid_orders
 from tradeloom.tables import Tables
 
@@ -66,15 +64,11 @@ def rfm_base(t: Tables) -> DataFrame:
 
 
 def rfm_scores(t: Tables) -> DataFrame:
-    """Three quintile scores; 5 is best. Ties are broken by person id."""
-    if within(t["customers"], "spark.tradeloom.localWindowBytes"):
-        return local_ntile(rfm_base(t), TILES, SCORES)
-    return rfm_scores_distributed(t)
+    """Three quintile scores; 5 is best. Ties are broken by person id.
 
-
-def rfm_scores_distributed(t: Tables) -> DataFrame:
-    """The same scores from exact tile edges, with no task that sees all people."""
-    return global_ntile(written(rfm_base(t), "rfm_base"), TILES, SCORES)
+    The scores come from exact tile edges, at every size, with no task that sees all people.
+    """
+    return global_ntile(t.shared("rfm_base", rfm_base), TILES, SCORES)
 
 
 def _accepts(bounds: dict[str, tuple[int, int]]) -> Column:

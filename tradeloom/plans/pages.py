@@ -19,7 +19,7 @@ from tradeloom.operators.skew import lookup_join
 from tradeloom.plans.customers import rfm_segment_summary
 from tradeloom.plans.delivery import delivered_orders, late_rate_trend, stage_breakdown, state_delivery
 from tradeloom.plans.exploration import product_categories
-from tradeloom.plans.revenue import category_pareto, monthly_revenue_mom, state_revenue
+from tradeloom.plans.revenue import category_shares, monthly_revenue_mom, state_revenue
 from tradeloom.plans.sellers import seller_tier, seller_top_bottom
 from tradeloom.plans.star import bi_mom_growth, sales
 from tradeloom.tables import Tables
@@ -58,7 +58,7 @@ def page_revenue_trend(t: Tables) -> DataFrame:
 
 
 def page_revenue_pareto(t: Tables) -> DataFrame:
-    return category_pareto(t)
+    return category_shares(t)
 
 
 def page_customers(t: Tables) -> DataFrame:

@@ -80,8 +80,8 @@ def category_revenue(t: Tables) -> DataFrame:
     )
 
 
-def category_pareto(t: Tables, top: int = 30) -> DataFrame:
-    """Running share of revenue; the category that crosses the limit is in the tail."""
+def category_shares(t: Tables) -> DataFrame:
+    """Running share of revenue of every category; the one that crosses the limit is in the tail."""
     by_revenue = Window.orderBy(F.desc("revenue"))
     running = Window.orderBy(F.desc("revenue"), "category").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -102,10 +102,14 @@ def category_pareto(t: Tables, top: int = 30) -> DataFrame:
             F.when(F.col("cumulative_pct") <= PARETO_LIMIT, "TOP 80%").otherwise("TAIL 20%"),
         )
         .orderBy("revenue_rank", "category")
-        .limit(top)
     )
 
 
+def category_pareto(t: Tables, top: int = 30) -> DataFrame:
+    """The categories of most revenue."""
+    return category_shares(t).limit(top)
+
+
 def quarterly_revenue(t: Tables) -> DataFrame:
     purchase = F.col("order_purchase_timestamp")
     return (

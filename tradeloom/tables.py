@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tradeloom.operators.scratch import written
 from tradeloom.operators.skew import HotKeys, find_hot_keys
 
 
@@ -17,6 +20,8 @@ class Tables:
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
         self._hot: dict[tuple[str, str], HotKeys] = {}
+        self._shared: dict[str, DataFrame] = {}
+        self._lock = Lock()
 
     @classmethod
     def of(cls, spark: SparkSession, **frames: DataFrame) -> Tables:
@@ -38,3 +43,10 @@ class Tables:
         if (table, key) not in self._hot:
             self._hot[table, key] = find_hot_keys(self[table], key)
         return self._hot[table, key]
+
+    def shared(self, name: str, make: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A frame that several reports read: computed once and written to scratch."""
+        with self._lock:
+            if name not in self._shared:
+                self._shared[name] = written(make(self), name)
+            return self._shared[name]
