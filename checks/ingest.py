@@ -132,6 +132,35 @@ def create_tables(t: Tables) -> DataFrame:
     return files.load(t.spark, folder)["orders"]
 
 
+def ingest_append(t: Tables) -> DataFrame:
+    """Half of the orders saved by month, then a file with all of them loaded on top."""
+    target = scratch_path(t.spark, "tables")
+    frames = {n: t[n] for n in TABLES}
+    half = t["orders"].where(F.col("order_id").cast("long") % 2 == 0)
+    half = half.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES["orders"].schema))
+    files.save(Tables.of(t.spark, **(frames | {"orders": half})), target)
+    ingest.load_table(t.spark, write_files(t, ["orders"]), target, TABLES["orders"])
+    return files.load(t.spark, target)["orders"].select(TABLES["orders"].columns)
+
+
+def ingest_parts(t: Tables) -> DataFrame:
+    """Seller files with other column orders, and one whose rows all have a field too many."""
+    spec = TABLES["sellers"]
+    raw = as_text(t, spec)
+    folder = f"{scratch_path(t.spark, 'files')}"
+    part = F.col("seller_id").cast("long") % 3
+    write_text(raw.where(part == 0), f"{folder}/a_sellers_dataset.csv")
+    write_text(raw.where(part == 1).select(*reversed(raw.columns)), f"{folder}/b_sellers_dataset.csv")
+    names = ",".join(raw.columns)
+    lines = raw.where(part == 2).select(F.concat_ws(",", *raw.columns, F.lit("more")).alias(names))
+    # With another separator a line is one field, and its commas are not quoted.
+    lines.coalesce(1).write.option("sep", "|").csv(f"{folder}/c_sellers_dataset.csv", header=True)
+    target = scratch_path(t.spark, "loaded")
+    status = ingest.load_table(t.spark, folder, target, spec)
+    rows = files.load(t.spark, target)["sellers"]
+    return rows.withColumn("rows_malformed", F.lit(status.rows_malformed).cast("long"))
+
+
 def write_report_csv(t: Tables) -> DataFrame:
     path = f"{scratch_path(t.spark, 'results')}/report.csv"
     report = monthly_revenue_mom(t)
@@ -156,6 +185,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         orphan_check,
         orphan_check_rejected,
         ingest_skip,
+        ingest_append,
+        ingest_parts,
         load_verification,
         bulk_load_csv,
         create_tables,
@@ -185,12 +216,14 @@ _COUNTED = {
 def _loaded(name: str) -> str:
     view, key = _COUNTED[name]
     return f"""SELECT '{name}' AS table_name, 'loaded' AS status, count(*) AS rows_read,
-  0::BIGINT AS rows_without_key, 0::BIGINT AS values_rejected, count(DISTINCT {key}) AS rows_loaded
+  0::BIGINT AS rows_malformed, 0::BIGINT AS rows_without_key, count(*) - count(DISTINCT {key}) AS rows_duplicate,
+  0::BIGINT AS rows_orphan, 0::BIGINT AS rows_stored, count(DISTINCT {key}) AS rows_loaded,
+  0::BIGINT AS values_rejected, '' AS rejects
 FROM {view}"""
 
 
 def _skipped(name: str, why: str) -> str:
-    return f"SELECT '{name}', 'skipped: {why}', 0, 0, 0, 0"
+    return f"SELECT '{name}', 'skipped: {why}', 0, 0, 0, 0, 0, 0, 0, 0, ''"
 
 
 def _text(ts: str) -> str:
@@ -253,6 +286,13 @@ FROM x_reviews r JOIN (SELECT o_orderkey AS order_id,
                 ]
             )
         ),
+        "ingest_append": statement(f"""
+SELECT order_id::VARCHAR AS order_id, customer_id::VARCHAR AS customer_id, order_status, {times}
+FROM x_orders"""),
+        "ingest_parts": statement("""
+SELECT seller_id::VARCHAR AS seller_id, zip AS seller_zip_code, city AS seller_city, state AS seller_state,
+       (SELECT count(*) FROM x_sellers WHERE seller_id % 3 = 2) AS rows_malformed
+FROM x_sellers WHERE seller_id % 3 <> 2"""),
         "load_verification": statement(verification),
         "ingest_project": _products("product_name_lenght product_description_lenght"),
         "ingest_rename": _products("product_name_length product_description_length"),

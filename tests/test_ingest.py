@@ -8,6 +8,7 @@ from tests.conftest import rows
 from tradeloom.schemas import TABLES
 from tradeloom.sources import files, ingest
 
+KINDS = ("malformed", "without_key", "duplicate", "orphan", "stored", "loaded")
 BOM = "﻿"
 CUSTOMERS = (
     "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state,note\n"
@@ -69,7 +70,12 @@ def test_load_folder(spark, source, tmp_path):
     }
     assert found["orders"]["rows_without_key"] == 1
     assert found["orders"]["values_rejected"] == 1
-    assert found["order_payments"]["values_rejected"] == 2
+    assert found["orders"]["rejects"] == "order_purchase_timestamp:1"
+    assert found["orders"]["rows_orphan"] == 1
+    assert found["customers"]["rows_duplicate"] == 1
+    assert found["order_payments"]["rejects"] == "payment_installments:1,payment_value:1"
+    for r in found.values():
+        assert r["rows_read"] == sum(r[f"rows_{k}"] for k in KINDS)
 
     t = files.load(spark, target)
     customers = {r["customer_id"]: r for r in rows(t["customers"])}
@@ -86,7 +92,7 @@ def test_load_folder(spark, source, tmp_path):
     translation = rows(t["product_category_translation"].orderBy("product_category_name"))
     assert [r["product_category_name_english"] for r in translation] == ["house", "audio"]
     for name in ("customers", "orders", "order_payments", "order_reviews"):
-        stored = [(f.name, f.dataType) for f in t[name].schema]
+        stored = [(f.name, f.dataType) for f in t[name].schema if f.name != files.ORDER_MONTH]
         assert stored == [(f.name, f.dataType) for f in TABLES[name].schema]
 
 
@@ -95,6 +101,8 @@ def test_loading_again_changes_nothing(spark, source, tmp_path):
     ingest.load_folder(spark, source, target)
     again = rows(ingest.load_folder(spark, source, target))
     assert sum(r["rows_loaded"] for r in again) == 0
+    assert all(r["rows_read"] == sum(r[f"rows_{k}"] for k in KINDS) for r in again)
+    assert sum(r["rows_stored"] for r in again) == 10
     assert files.load(spark, target)["orders"].count() == 2
 
 
@@ -120,7 +128,7 @@ def test_one_bad_table_does_not_stop_the_rest(spark, source, tmp_path, monkeypat
 
     monkeypatch.setattr(ingest, "load_table", failing)
     found = {r["table_name"]: r for r in rows(ingest.load_folder(spark, source, str(tmp_path / "o")))}
-    assert found["orders"]["status"] == "error: RuntimeError"
+    assert found["orders"]["status"] == "error: RuntimeError: broken"
     assert found["order_reviews"]["status"] == "loaded"
 
 
@@ -142,3 +150,26 @@ def test_bulk_load_goes_by_position(spark, tmp_path):
     found = ingest.bulk_load(spark, str(tmp_path / "p.csv"), TABLES["order_payments"])
     assert [r["order_id"] for r in rows(found)] == ["o1", "o1"]
     assert found.schema.names == TABLES["order_payments"].columns
+
+
+def test_rows_of_a_wrong_length_and_other_column_orders(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    header = "seller_id,seller_zip_code_prefix,seller_city,seller_state\n"
+    (source / "a_sellers_dataset.csv").write_text(header + "s1,1,x,AA\ns2,2,y\ns3,3,z,BB,more\n")
+    (source / "b_sellers_dataset.csv").write_text("seller_state,seller_id,seller_city,seller_zip_code_prefix\nCC,s4,w,4\n")
+    status = ingest.load_table(spark, str(source), str(tmp_path / "out"), TABLES["sellers"])
+    assert (status.rows_read, status.rows_malformed, status.rows_loaded) == (4, 2, 2)
+    found = {r["seller_id"]: r for r in rows(files.load(spark, str(tmp_path / "out"))["sellers"])}
+    assert found["s4"]["seller_zip_code"] == "4" and found["s4"]["seller_state"] == "CC" and set(found) == {"s1", "s4"}
+
+
+def test_orders_loaded_onto_saved_months_are_read(spark, source, tmp_path):
+    target = str(tmp_path / "out")
+    ingest.load_folder(spark, source, target)
+    more = tmp_path / "more"
+    more.mkdir()
+    (more / "shop_orders_dataset.csv").write_text(ORDERS.replace("o1,", "o7,"))
+    status = ingest.load_table(spark, str(more), target, TABLES["orders"])
+    assert (status.rows_loaded, status.rows_stored, status.rows_orphan) == (1, 1, 1)
+    assert {r["order_id"] for r in rows(files.load(spark, target)["orders"])} == {"o1", "o3", "o7"}

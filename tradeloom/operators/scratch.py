@@ -6,21 +6,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_LOCK = Lock()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only on a local master."""
-    root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tradeloom-", dir="/tmp")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set(_SETTING, root)
+    """The folder named by the session; a temporary one only where all tasks run in this process."""
+    with _LOCK:
+        root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+        if root is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError(f"set {_SETTING} to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="tradeloom-", dir="/tmp")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+            spark.conf.set(_SETTING, root)
     return root.rstrip("/")
 
 
@@ -38,6 +42,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back.
 

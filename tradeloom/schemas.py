@@ -6,19 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(10, 2)
-_TYPES = {
-    "s": T.StringType(),
-    "i": T.IntegerType(),
-    "b": T.ByteType(),
-    "m": MONEY,
-    "t": T.TimestampNTZType(),
-}
+TEXT, WHOLE, SMALL = T.StringType(), T.IntegerType(), T.ByteType()
+MONEY, TIME = T.DecimalType(10, 2), T.TimestampNTZType()
 
 
-def _struct(columns: str) -> T.StructType:
-    fields = (entry.split(":") for entry in columns.split())
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
 @dataclass(frozen=True)
@@ -44,9 +37,12 @@ TABLES: dict[str, TableSpec] = {
         TableSpec(
             "customers",
             "*customers_dataset.csv",
-            _struct(
-                "customer_id:s customer_unique_id:s customer_zip_code:s customer_city:s"
-                " customer_state:s"
+            _schema(
+                customer_id=TEXT,
+                customer_unique_id=TEXT,
+                customer_zip_code=TEXT,
+                customer_city=TEXT,
+                customer_state=TEXT,
             ),
             ("customer_id",),
             {"customer_zip_code_prefix": "customer_zip_code"},
@@ -54,17 +50,28 @@ TABLES: dict[str, TableSpec] = {
         TableSpec(
             "sellers",
             "*sellers_dataset.csv",
-            _struct("seller_id:s seller_zip_code:s seller_city:s seller_state:s"),
+            _schema(
+                seller_id=TEXT,
+                seller_zip_code=TEXT,
+                seller_city=TEXT,
+                seller_state=TEXT,
+            ),
             ("seller_id",),
             {"seller_zip_code_prefix": "seller_zip_code"},
         ),
         TableSpec(
             "products",
             "*products_dataset.csv",
-            _struct(
-                "product_id:s product_category_name:s product_name_length:i"
-                " product_description_length:i product_photos_qty:i product_weight_g:i"
-                " product_length_cm:i product_height_cm:i product_width_cm:i"
+            _schema(
+                product_id=TEXT,
+                product_category_name=TEXT,
+                product_name_length=WHOLE,
+                product_description_length=WHOLE,
+                product_photos_qty=WHOLE,
+                product_weight_g=WHOLE,
+                product_length_cm=WHOLE,
+                product_height_cm=WHOLE,
+                product_width_cm=WHOLE,
             ),
             ("product_id",),
             {
@@ -75,16 +82,24 @@ TABLES: dict[str, TableSpec] = {
         TableSpec(
             "product_category_translation",
             "product_category_name_translation.csv",
-            _struct("product_category_name:s product_category_name_english:s"),
+            _schema(
+                product_category_name=TEXT,
+                product_category_name_english=TEXT,
+            ),
             ("product_category_name",),
         ),
         TableSpec(
             "orders",
             "*orders_dataset.csv",
-            _struct(
-                "order_id:s customer_id:s order_status:s order_purchase_timestamp:t"
-                " order_approved_at:t order_delivered_carrier_date:t"
-                " order_delivered_customer_date:t order_estimated_delivery_date:t"
+            _schema(
+                order_id=TEXT,
+                customer_id=TEXT,
+                order_status=TEXT,
+                order_purchase_timestamp=TIME,
+                order_approved_at=TIME,
+                order_delivered_carrier_date=TIME,
+                order_delivered_customer_date=TIME,
+                order_estimated_delivery_date=TIME,
             ),
             ("order_id",),
             parent=("customer_id", "customers"),
@@ -92,27 +107,40 @@ TABLES: dict[str, TableSpec] = {
         TableSpec(
             "order_items",
             "*order_items_dataset.csv",
-            _struct(
-                "order_id:s order_item_id:i product_id:s seller_id:s shipping_limit_date:t"
-                " price:m freight_value:m"
+            _schema(
+                order_id=TEXT,
+                order_item_id=WHOLE,
+                product_id=TEXT,
+                seller_id=TEXT,
+                shipping_limit_date=TIME,
+                price=MONEY,
+                freight_value=MONEY,
             ),
             ("order_id", "order_item_id"),
         ),
         TableSpec(
             "order_payments",
             "*order_payments_dataset.csv",
-            _struct(
-                "order_id:s payment_sequential:i payment_type:s payment_installments:i"
-                " payment_value:m"
+            _schema(
+                order_id=TEXT,
+                payment_sequential=WHOLE,
+                payment_type=TEXT,
+                payment_installments=WHOLE,
+                payment_value=MONEY,
             ),
             ("order_id", "payment_sequential"),
         ),
         TableSpec(
             "order_reviews",
             "*order_reviews_dataset.csv",
-            _struct(
-                "review_id:s order_id:s review_score:b review_comment_title:s"
-                " review_comment_message:s review_creation_date:t review_answer_timestamp:t"
+            _schema(
+                review_id=TEXT,
+                order_id=TEXT,
+                review_score=SMALL,
+                review_comment_title=TEXT,
+                review_comment_message=TEXT,
+                review_creation_date=TIME,
+                review_answer_timestamp=TIME,
             ),
             ("review_id", "order_id"),
             multiline=True,

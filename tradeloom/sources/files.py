@@ -34,19 +34,22 @@ def load(spark: SparkSession, folder: str) -> Tables:
     )
 
 
-def save(t: Tables, folder: str) -> None:
-    """Parquet per table, orders in one folder per purchase month.
+def write_table(df: DataFrame, folder: str, name: str, mode: str) -> None:
+    """The one layout of a stored table: orders in one folder per purchase month.
 
     The rebalance gives each month few files and splits a month that is too large for one.
     """
-    for name in TABLES:
-        df = t[name]
-        if name == "orders":
-            month = month_label(month_number(F.col("order_purchase_timestamp")))
-            df = df.withColumn(ORDER_MONTH, month).hint("rebalance", ORDER_MONTH)
-            df.write.mode("overwrite").partitionBy(ORDER_MONTH).parquet(table_path(folder, name))
-        else:
-            df.write.mode("overwrite").parquet(table_path(folder, name))
+    if name == "orders":
+        month = month_label(month_number(F.col("order_purchase_timestamp")))
+        df = df.withColumn(ORDER_MONTH, month).hint("rebalance", ORDER_MONTH)
+        df.write.mode(mode).partitionBy(ORDER_MONTH).parquet(table_path(folder, name))
+    else:
+        df.write.mode(mode).parquet(table_path(folder, name))
+
+
+def save(t: Tables, folder: str) -> None:
+    for name, spec in TABLES.items():
+        write_table(t[name].select(spec.columns), folder, name, "overwrite")
 
 
 def save_bucketed(t: Tables, prefix: str, buckets: int) -> None:

@@ -1,11 +1,14 @@
 """CSV files into typed tables: text read, projection, casts, key and reference checks.
 
 A load has insert-ignore semantics: the first row of a key wins, keys already stored are
-left alone, and loading the same file again changes nothing.
+left alone, and loading the same file again changes nothing. Every row that is read is accounted
+for: loaded, malformed, without a key, a duplicate, an orphan or already stored.
 """
 
 from __future__ import annotations
 
+import csv
+import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -15,24 +18,64 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradeloom.operators.scratch import written
+from tradeloom.operators.scratch import discard, scratch_path
 from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, spread_join
 from tradeloom.schemas import TABLES, TableSpec
-from tradeloom.sources.files import find, read_table, table_path
+from tradeloom.sources.files import find, read_table, table_path, write_table
 
 _CONCURRENT = 4
 POSITION = "_position"
 REJECTED = "_rejected"
+MALFORMED = "_malformed"
+_LOG = logging.getLogger(__name__)
 
 
-def read_text(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The header line of one file, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        reader = spark._jvm.java.io.InputStreamReader(stream, "UTF-8")
+        return (spark._jvm.java.io.BufferedReader(reader).readLine() or "").removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
+def _part_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files behind a file, a folder of part files, or a pattern."""
+    found = []
+    for p in find(spark, path):
+        inside = find(spark, f"{p.rstrip('/')}/*")
+        found += [f for f in inside if not f.rpartition("/")[2].startswith(("_", "."))] if inside else [p]
+    return found
+
+
+def read_text(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """All columns as text under their header names; quotes are doubled inside quotes.
 
-    Only files with free text need `multiline`, which reads each file in one task.
+    Part files may order their columns differently: files are read by groups of equal headers.
+    A row whose number of fields is not that of its header is marked in `MALFORMED`. Only files
+    with free text need `multiline`, which reads each file in one task.
     """
-    return spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8"
-    )
+    groups: dict[str, list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        for file in _part_files(spark, one):
+            groups.setdefault(_first_line(spark, file), []).append(file)
+    frames = []
+    for header, files in groups.items():
+        names = next(csv.reader([header]), [])
+        if not names:
+            continue
+        fields = [T.StructField(name, T.StringType()) for name in [*names, MALFORMED]]
+        frames.append(
+            spark.read.csv(
+                files, schema=T.StructType(fields), header=True, enforceSchema=True, quote='"', escape='"',
+                multiLine=multiline, encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED,
+            )
+        )
+    if not frames:
+        return spark.createDataFrame([], T.StructType([T.StructField(MALFORMED, T.StringType())]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(with_position, frames))
 
 
 def with_position(raw: DataFrame) -> DataFrame:
@@ -130,10 +173,11 @@ def orphans(
 
 
 def stage(raw: DataFrame, spec: TableSpec) -> DataFrame:
-    """Typed rows with their position and rejects, ready for the key checks."""
-    positions = with_position(raw)
+    """Typed rows with their position, rejects and whether they are malformed, for the key checks."""
+    positions = raw if POSITION in raw.columns else with_position(raw)
+    extra = [c for c in (POSITION, MALFORMED) if c in positions.columns]
     named = project(raw, spec).columns
-    return typed(empty_to_null(rename(positions.select(*named, POSITION), spec)), spec)
+    return typed(empty_to_null(rename(positions.select(*named, *extra), spec)), spec)
 
 
 def bulk_read(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
@@ -156,17 +200,25 @@ def bulk_load(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
 
 @dataclass
 class LoadStatus:
+    """rows_read is the sum of the other rows_ counts; rejects lists column:values that did not fit."""
+
     table_name: str
     status: str
     rows_read: int = 0
+    rows_malformed: int = 0
     rows_without_key: int = 0
-    values_rejected: int = 0
+    rows_duplicate: int = 0
+    rows_orphan: int = 0
+    rows_stored: int = 0
     rows_loaded: int = 0
+    values_rejected: int = 0
+    rejects: str = ""
 
 
 _STATUS_TYPES = (
-    "table_name string, status string, rows_read bigint, rows_without_key bigint,"
-    " values_rejected bigint, rows_loaded bigint"
+    "table_name string, status string, rows_read bigint, rows_malformed bigint,"
+    " rows_without_key bigint, rows_duplicate bigint, rows_orphan bigint, rows_stored bigint,"
+    " rows_loaded bigint, values_rejected bigint, rejects string"
 )
 
 
@@ -179,31 +231,59 @@ def load_table(spark: SparkSession, source: str, target: str, spec: TableSpec) -
     if raw.isEmpty():
         return LoadStatus(spec.name, "skipped: empty")
     # Parsed once; the counts and the checks below read the staged columns they need.
-    staged = written(stage(raw, spec), f"stage_{spec.name}")
-    has_key = reduce(and_, (F.col(c).isNotNull() for c in spec.key))
+    path = scratch_path(spark, f"stage_{spec.name}")
+    stage(raw, spec).write.parquet(path)
+    try:
+        return _load_staged(spark, spark.read.parquet(path), target, spec)
+    finally:
+        discard(spark, path)
+
+
+def _load_staged(spark: SparkSession, staged: DataFrame, target: str, spec: TableSpec) -> LoadStatus:
+    sound = F.col(MALFORMED).isNull()
+    has_key = sound & reduce(and_, (F.col(c).isNotNull() for c in spec.key))
+    rejects = [F.count_if(has_key & F.array_contains(REJECTED, c)).alias(f"reject_{c}") for c in spec.columns]
     counts = staged.agg(
         F.count("*").alias("read"),
-        F.count_if(~has_key).alias("without_key"),
-        F.sum(F.size(REJECTED)).alias("rejected"),
+        F.count_if(~sound).alias("malformed"),
+        F.count_if(sound & ~has_key).alias("without_key"),
+        *rejects,
     ).first()
-    rows = first_per_key(staged.where(has_key), spec.key, F.col(POSITION)).select(spec.columns)
+    rejected = {c: counts[f"reject_{c}"] for c in spec.columns if counts[f"reject_{c}"]}
+    keyed = counts["read"] - counts["malformed"] - counts["without_key"]
+
+    # The checked rows are written once, each with what became of it.
+    first = first_per_key(staged.where(has_key), spec.key, F.col(POSITION)).select(spec.columns)
+    fate = first.withColumn("_fate", F.lit("loaded"))
     if spec.parent is not None:
         column, parent = spec.parent
         parents = spark.createDataFrame([], TABLES[parent].schema)
         if find(spark, table_path(target, parent)):
             parents = read_table(spark, target, parent)
-        rows = with_parent(rows, parents, column, spec.key[0], find_hot_keys(staged, column))
-    path = table_path(target, spec.name)
-    before = 0
-    if find(spark, path):
-        stored = read_table(spark, target, spec.name)
-        before = stored.count()
-        rows = rows.join(stored.select(*spec.key), list(spec.key), "left_anti")
-        rows = rows.select(spec.columns)
-    rows.write.mode("append").parquet(path)
-    loaded = read_table(spark, target, spec.name).count() - before
+        marked = _marked(first, parents, column, spec.key[0], find_hot_keys(staged, column))
+        lost = F.col("_known").isNull() & F.col(column).isNotNull()
+        fate = marked.select(*spec.columns, F.when(lost, "orphan").otherwise("loaded").alias("_fate"))
+    if find(spark, table_path(target, spec.name)):
+        # Stored keys are reduced by the new ones first, so a small file moves few of them.
+        new = fate.select(*spec.key)
+        stored = read_table(spark, target, spec.name).select(*spec.key).join(new, list(spec.key), "left_semi")
+        there = stored.distinct().withColumn("_there", F.lit(True))
+        seen = F.when((F.col("_fate") == "loaded") & F.col("_there").isNotNull(), "stored").otherwise(F.col("_fate"))
+        fate = fate.join(there, list(spec.key), "left").select(*spec.columns, seen.alias("_fate"))
+    path = scratch_path(spark, f"checked_{spec.name}")
+    fate.write.parquet(path)
+    try:
+        checked = spark.read.parquet(path)
+        fates = {r["_fate"]: r["count"] for r in checked.groupBy("_fate").count().collect()}
+        rows = checked.where("_fate = 'loaded'").select(spec.columns)
+        if fates.get("loaded") or not find(spark, table_path(target, spec.name)):
+            write_table(rows, target, spec.name, "append")
+    finally:
+        discard(spark, path)
     return LoadStatus(
-        spec.name, "loaded", counts["read"], counts["without_key"], counts["rejected"], loaded
+        spec.name, "loaded", counts["read"], counts["malformed"], counts["without_key"],
+        keyed - sum(fates.values()), fates.get("orphan", 0), fates.get("stored", 0), fates.get("loaded", 0),
+        sum(rejected.values()), ",".join(f"{c}:{n}" for c, n in rejected.items()),
     )
 
 
@@ -218,7 +298,8 @@ def load_folder(spark: SparkSession, source: str, target: str) -> DataFrame:
         try:
             return load_table(spark, source, target, spec)
         except Exception as error:
-            return LoadStatus(spec.name, f"error: {type(error).__name__}")
+            _LOG.exception("loading %s failed", spec.name)
+            return LoadStatus(spec.name, f"error: {type(error).__name__}: {error}"[:500])
 
     found: dict[str, LoadStatus] = {}
     with ThreadPoolExecutor(_CONCURRENT) as pool:

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import logging
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tradeloom.operators.scratch import written
 from tradeloom.plans.catalog import REPORT_FILES, Report
 from tradeloom.tables import Tables
 
 _CONCURRENT = 4
+_AT = "_report_position"
+_LOG = logging.getLogger(__name__)
 
 
 def write_report(report: DataFrame, path: str) -> int:
     """Write a bounded report as one CSV file with a header; an empty one is not written.
 
-    The rows are computed once, into scratch; catalogue reports have at most a row per month
-    and cohort, state, category or listed seller.
+    The rows are computed once, by as many tasks as they take, and only the finished rows meet in
+    one file, in the order of the report; catalogue reports have at most a row per month and
+    cohort, state, category or listed seller.
     """
-    rows = written(report.coalesce(1), "report")
+    rows = written(report.withColumn(_AT, F.monotonically_increasing_id()), "report")
     count = rows.count()
     if count:
-        writer = rows.coalesce(1).write.mode("overwrite")
+        writer = rows.orderBy(_AT).drop(_AT).coalesce(1).write.mode("overwrite")
         writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
     return count
 
@@ -45,7 +50,8 @@ def run_all_reports(t: Tables, folder: str) -> DataFrame:
             rows = write_report(report(t), f"{folder.rstrip('/')}/{file}")
             return file, report.__name__, "written" if rows else "no rows", rows
         except Exception as error:
-            return file, report.__name__, f"error: {type(error).__name__}", 0
+            _LOG.exception("report %s failed", file)
+            return file, report.__name__, f"error: {type(error).__name__}: {error}"[:500], 0
 
     with ThreadPoolExecutor(_CONCURRENT) as pool:
         results = list(pool.map(run, work))
