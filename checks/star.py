@@ -23,6 +23,20 @@ _MONTHS = """x_months AS (
        USING (m))"""
 
 
+def _grouped(source: str, group: str) -> tuple[str, str]:
+    """Monthly revenue per group over every month of the calendar."""
+    return (
+        f"""x_by AS (
+  SELECT {group} AS g, date_trunc('month', order_date) AS m, sum(price_c) AS c
+  FROM x_fact JOIN {source} GROUP BY 1, 2)""",
+        """x_grid AS (
+  SELECT g, m, c, lag(c) OVER (PARTITION BY g ORDER BY m) AS p,
+         sum(c) OVER (PARTITION BY g, year(m) ORDER BY m ROWS UNBOUNDED PRECEDING) AS ytd
+  FROM (SELECT DISTINCT g FROM x_by) CROSS JOIN (SELECT DISTINCT date_trunc('month', date) AS m FROM x_dates)
+  LEFT JOIN x_by USING (g, m))""",
+    )
+
+
 def expected(reports: dict[str, str]) -> dict[str, str]:
     revenue = f"{money('sum(price_c)')}"
     per_order = mean_money("sum(price_c)", "count(DISTINCT order_id)")
@@ -64,6 +78,22 @@ SELECT date, year(date) AS year, quarter(date) AS quarter, month(date) AS month,
         ),
         "bi_total_revenue": statement(f"SELECT {revenue} AS total_revenue FROM x_fact", _SALES),
         "bi_mom_growth": growth,
+        "bi_mom_growth_by_state": statement(
+            f"""
+SELECT g AS customer_state, {month("m")} AS month, {money("coalesce(c, 0)")} AS total_revenue,
+       coalesce({rounded("coalesce(c, 0) - coalesce(p, 0)", "coalesce(p, 0)", 4)}, 0) AS mom_growth
+FROM x_grid""",
+            _SALES,
+            _DATES,
+            *_grouped("(SELECT DISTINCT person AS customer_id, state FROM x_customers) USING (customer_id)", "state"),
+        ),
+        "bi_ytd_revenue_by_category": statement(
+            f"""
+SELECT g AS category, {month("m")} AS month, {money("coalesce(ytd, 0)")} AS ytd_revenue FROM x_grid""",
+            _SALES,
+            _DATES,
+            *_grouped("x_labels USING (product_id)", "category"),
+        ),
         "bi_ytd_revenue": statement(
             f"SELECT {month('m')} AS month, {money('coalesce(ytd, 0)')} AS ytd_revenue FROM x_months",
             _SALES,

@@ -109,7 +109,9 @@ STAR: tuple[Report, ...] = (
     star.dim_date,
     star.bi_total_revenue,
     star.bi_mom_growth,
+    star.bi_mom_growth_by_state,
     star.bi_ytd_revenue,
+    star.bi_ytd_revenue_by_category,
     star.bi_avg_order_value,
     star.bi_retention_rate,
     star.bi_late_rate,

@@ -161,47 +161,71 @@ def late_rate(fact: DataFrame, *by: str) -> DataFrame:
     return fact.groupBy(*by).agg(rate.alias("late_rate"))
 
 
-def _revenue_by_month(fact: DataFrame, dates: DataFrame) -> DataFrame:
-    """Every month of the calendar; NULL revenue where nothing was sold."""
-    monthly = total_revenue(fact, month_number(F.col("order_date")).alias("month_no"))
-    months = dates.select(month_number(F.col("date")).alias("month_no")).distinct()
-    return months.join(monthly, "month_no", "left")
-
-
-def mom_growth(fact: DataFrame, dates: DataFrame) -> DataFrame:
+def _revenue_by_month(fact: DataFrame, dates: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Every month of the calendar, for each value of `by`; NULL revenue where nothing was sold."""
+    monthly = total_revenue(fact, *by, month_number(F.col("order_date")).alias("month_no"))
+    if not by:
+        months = dates.select(month_number(F.col("date")).alias("month_no")).distinct()
+        return months.join(monthly, "month_no", "left")
+    calendar = dates.agg(F.collect_set(month_number(F.col("date")))).scalar()
+    grid = monthly.select(*by).distinct().select(*by, F.explode(calendar).alias("month_no"))
+    same = [grid[c].eqNullSafe(monthly[c]) for c in (*by, "month_no")]
+    return grid.join(monthly, same, "left").select(*(grid[c] for c in (*by, "month_no")), "total_revenue")
+
+
+def mom_growth(fact: DataFrame, dates: DataFrame, *by: str) -> DataFrame:
     """Growth against the previous calendar month as a fraction; 0 if that had no revenue."""
-    monthly = _revenue_by_month(fact, dates)
+    monthly = _revenue_by_month(fact, dates, by)
     current = F.coalesce("total_revenue", F.lit(0))
-    previous = F.coalesce(F.lag("total_revenue").over(Window.orderBy("month_no")), F.lit(0))
+    before = Window.partitionBy(*by).orderBy("month_no")
+    previous = F.coalesce(F.lag("total_revenue").over(before), F.lit(0))
     growth = ratio(cents(F.col("current") - F.col("previous")), cents(F.col("previous")), 4)
     return (
-        monthly.select("month_no", current.alias("current"), previous.alias("previous"))
+        monthly.select(*by, "month_no", current.alias("current"), previous.alias("previous"))
         .select(
+            *by,
             month_label(F.col("month_no")).alias("month"),
             F.col("current").alias("total_revenue"),
             F.coalesce(growth, F.lit(0)).alias("mom_growth"),
         )
-        .orderBy("month")
+        .orderBy(*by, "month")
     )
 
 
-def ytd_revenue(fact: DataFrame, dates: DataFrame) -> DataFrame:
+def ytd_revenue(fact: DataFrame, dates: DataFrame, *by: str) -> DataFrame:
     year = F.floor(F.col("month_no") / 12)
     to_date = (
-        Window.partitionBy(year)
+        Window.partitionBy(*by, year)
         .orderBy("month_no")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        _revenue_by_month(fact, dates)
+        _revenue_by_month(fact, dates, by)
         .select(
+            *by,
             month_label(F.col("month_no")).alias("month"),
             F.coalesce(F.sum("total_revenue").over(to_date), F.lit(0)).alias("ytd_revenue"),
         )
-        .orderBy("month")
+        .orderBy(*by, "month")
     )
 
 
+def _daily_by(fact: DataFrame, dimension: DataFrame, key: str, column: str) -> DataFrame:
+    """Revenue per day and attribute; a hot key is one row per day when it meets its dimension."""
+    daily = fact.groupBy(key, "order_date").agg(F.sum("revenue").alias("revenue"))
+    return daily.join(dimension.select(key, column), key).select(column, "order_date", "revenue")
+
+
+def bi_mom_growth_by_state(t: Tables) -> DataFrame:
+    daily = _daily_by(sales(t), dim_customer(t), "customer_id", "customer_state")
+    return mom_growth(daily, dim_date(t), "customer_state")
+
+
+def bi_ytd_revenue_by_category(t: Tables) -> DataFrame:
+    daily = _daily_by(sales(t), dim_product(t), "product_id", "category")
+    return ytd_revenue(daily, dim_date(t), "category")
+
+
 def bi_total_revenue(t: Tables) -> DataFrame:
     return total_revenue(sales(t))
 
