@@ -269,7 +269,7 @@ FROM x_reviews r JOIN (SELECT o_orderkey AS order_id,
         f"SELECT '{prefix}_q{i}.csv' AS file, '{report.__name__}' AS report,"
         f" if(count(*) > 0, 'written', 'no rows') AS status, count(*) AS row_count"
         f" FROM ({reports[report.__name__]})"
-        for prefix, group in catalog.REPORT_FILES.items()
+        for prefix, group in catalog.RUN.items()
         for i, report in enumerate(group, start=1)
     )
     orphaned = "SELECT order_id, customer_id, order_status FROM x_orders WHERE customer_id % 11"

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 
 from tests.conftest import rows
+from tradeloom import jobs
 from tradeloom.schemas import TABLES
 from tradeloom.sources import files, ingest
 
@@ -173,3 +174,11 @@ def test_orders_loaded_onto_saved_months_are_read(spark, source, tmp_path):
     status = ingest.load_table(spark, str(more), target, TABLES["orders"])
     assert (status.rows_loaded, status.rows_stored, status.rows_orphan) == (1, 1, 1)
     assert {r["order_id"] for r in rows(files.load(spark, target)["orders"])} == {"o1", "o3", "o7"}
+
+
+def test_jobs(spark, source, tmp_path):
+    target, result = str(tmp_path / "out"), str(tmp_path / "result")
+    found = {r["table_name"]: r["status"] for r in rows(jobs.run(spark, ["load", source, target]))}
+    assert found["orders"] == "loaded"
+    assert jobs.run(spark, ["report", target, result, "rfm_base"]) is None
+    assert spark.read.parquet(result).columns == ["customer_id", "recency_days", "frequency", "monetary"]

@@ -85,6 +85,8 @@ KEY_ANSWERS: tuple[Report, ...] = (
     delivery.key_delivery,
 )
 
+RUN: dict[str, tuple[Report, ...]] = REPORT_FILES | {"key_answers": KEY_ANSWERS}
+
 CALLS: dict[str, Report] = {
     "monthly_revenue_report": lambda t: revenue.monthly_revenue_report(t, *CALL_MONTHS),
     "category_performance": lambda t: sellers.category_performance(t, CALL_TOP),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.operators.scratch import written
-from tradeloom.plans.catalog import REPORT_FILES, Report
+from tradeloom.plans.catalog import RUN, Report
 from tradeloom.tables import Tables
 
 _CONCURRENT = 4
@@ -32,15 +32,20 @@ def write_report(report: DataFrame, path: str) -> int:
     return count
 
 
+def write_wide_report(report: DataFrame, path: str) -> None:
+    """Write a report of customer or seller grain as Parquet, in as many files as it has tasks."""
+    report.write.mode("overwrite").parquet(path)
+
+
 def run_all_reports(t: Tables, folder: str) -> DataFrame:
-    """Write every report to `<folder>/<prefix>_q<position>.csv` and list what happened.
+    """Write every report and key answer to `<folder>/<prefix>_q<position>.csv`; list what happened.
 
     A failing report does not stop the others. Reports are independent jobs, so a few run at
     a time and share the executors.
     """
     work = [
         (f"{prefix}_q{position}.csv", report)
-        for prefix, reports in REPORT_FILES.items()
+        for prefix, reports in RUN.items()
         for position, report in enumerate(reports, start=1)
     ]
 
