@@ -1,12 +1,16 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The context trie is grown breadth first, one pass over all training texts per level, and every
-count is exact. Orders 0 to 2 hold all contexts; a context of order 3 to ORDER becomes a node if it
-makes up at least 1 / `_NODES` of the training symbols, so a level has at most `_NODES` nodes at
-any corpus size. A node's row is the full distribution of the next symbol: seen symbols share
-n / (n + q), the escape has q / (n + q) for q distinct symbols (method C), and what escapes goes
-to the next shorter context, in which symbols that the longer ones have seen are excluded.
-A text's code length is the sum over its bytes, A-Z lower-cased, and one end symbol.
+Every context of up to ORDER symbols that occurs in the training texts is in the model, with exact
+counts. Seen symbols share n / (n + q), the escape has q / (n + q) for q distinct symbols (method
+C), and what escapes goes to the next shorter context, in which symbols that the longer ones have
+seen are excluded. A text's code length is the sum over its bytes, A-Z lower-cased, and one end
+symbol.
+
+The contexts of order 0 to ROOT, a bounded number, are counted in one pass and sent to all tasks. The
+longer ones are spread over buckets by their last three symbols, so a context and its suffixes
+meet. Texts are dealt to chunks of a bounded size; a chunk sends each distinct gram (ORDER symbols
+and the next one) once to its bucket, with its count in training texts, gets its log-probability
+back, and sums these over its texts.
 
 For comparison each text also gets an add-one word model's score. Its word counts are exact:
 the most frequent words, a bounded list, are looked up where the text is; all others meet in
@@ -29,6 +33,7 @@ from tradeloom.llm import text as tx
 from tradeloom.llm.tasks import (
     bucket_count,
     by_bucket,
+    importable,
     map_batches,
     packed,
     packed_runs,
@@ -39,7 +44,9 @@ from tradeloom.llm.text import U64, mix
 
 SYMBOLS = 257  # the end of a text, which also stands before it, and 256 bytes
 ORDER = 6
-_NODES = 200_000  # nodes of a level, at most; they are numbered from 1
+ROOT = 2  # contexts up to this order are sent to all tasks
+_BITS = 9  # of a symbol in a code
+_CHUNK_BYTES = 16 << 20  # input bytes per chunk of texts whose grams are collapsed
 _HEAVY = 1 << 17  # words that are looked up in place
 _CHUNK = 2_000_000  # distinct entries a task holds
 _BUCKET_BYTES = 8 << 20  # input bytes per bucket of words
@@ -56,9 +63,24 @@ def symbols(block: tx.Block) -> tuple[np.ndarray, np.ndarray]:
     return out, tx.spans(starts, lengths + 1)
 
 
-def _triples(s: np.ndarray) -> np.ndarray:
-    """The code of s[i], s[i + 1], s[i + 2] at every i."""
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+def grams(s: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """The codes of the symbols at the places, after `order` others.
+
+    A code holds the context backwards, then the symbol: a shorter context is a prefix of it.
+    """
+    code = s[at - 1].astype(np.int64) if order else np.zeros(len(at), np.int64)
+    for k in range(2, order + 1):
+        code <<= _BITS
+        code |= s[at - k]
+    code <<= _BITS
+    code |= s[at]
+    return code
+
+
+def _shortened(codes: np.ndarray, dropped: int) -> np.ndarray:
+    """The codes with contexts that lack the `dropped` earliest symbols."""
+    symbol = codes & ((1 << _BITS) - 1)
+    return (codes >> (_BITS * (dropped + 1))) << _BITS | symbol
 
 
 class _Counter:
@@ -67,6 +89,7 @@ class _Counter:
     def __init__(self):
         self._codes: list[np.ndarray] = []
         self._counts: list[np.ndarray] = []
+        self._most = _CHUNK
         self.held = 0
 
     def add(self, codes: np.ndarray, counts: np.ndarray | None = None) -> None:
@@ -80,8 +103,9 @@ class _Counter:
         self._codes.append(codes)
         self._counts.append(counts)
         self.held += len(codes)
-        if self.held > _CHUNK and len(self._codes) > 1:
+        if self.held > self._most and len(self._codes) > 1:
             self.merge()
+            self._most = max(_CHUNK, 2 * self.held)
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self._codes:
@@ -122,156 +146,195 @@ def _sum_codes(rows: DataFrame, codes_of, buckets: int = 64) -> tuple[np.ndarray
 
 
 @dataclass
-class Trie:
-    """Nodes and, for each, a row of log10 probabilities of the next symbol.
+class Level:
+    """Counts of the symbols after the contexts of one order.
 
-    nodes[k]  code -> node of order k, 0 if none. The code of a context of two or three symbols
-              is made of them; from order 4 on it is (node of all but the last symbol, symbol).
-    rows[k]   next-symbol rows of the nodes of order k; at order 1 every symbol is a node
-    column    of each symbol in the rows; all that training never saw share the last one
+    codes, counts  of (context, symbol), sorted
+    contexts       sorted; with each one's sum `n` of counts, its number `q` of symbols and the
+                   sum `below` of the counts that these symbols have in its suffix
     """
 
-    nodes: dict[int, _Nodes]
-    rows: dict[int, np.ndarray]
-    column: np.ndarray
-
-    def log10(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of the symbol at each place, given those before it."""
-        triples, nxt = _triples(s), self.column[s[at]]
-        out = np.empty(len(at), np.float32)
-        left = np.arange(len(at))
-        for order in range(max(self.rows), 0, -1):
-            node = context(self.nodes, s, triples, at[left], order)
-            found = left if order == 1 else left[node > 0]
-            if order > 1:
-                left, node = left[node == 0], node[node > 0]
-            out[found] = self.rows[order].ravel()[node * self.rows[order].shape[1] + nxt[found]]
-            if not len(left):
-                break
-        return out.astype(np.float64)
-
-
-def context(nodes: dict, s: np.ndarray, triples: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """The node of the `order` symbols before each place."""
-    if order == 1:
-        return s[at - 1].astype(np.int64)
-    if order == 2:
-        return nodes[2][s[at - 2] * SYMBOLS + s[at - 1]]
-    node = nodes[3][triples[at - order]]
-    for k in range(4, order + 1):
-        node = nodes[k][node * SYMBOLS + s[at - order + k - 1]]
-    return node
-
-
-class _Nodes:
-    """Codes that are nodes, as a dense lookup that each process makes for itself once."""
-
-    def __init__(self, codes: np.ndarray, space: int):
-        self.codes, self.space, self._table = codes, space, None
-
-    def __getstate__(self):
-        return {"codes": self.codes, "space": self.space, "_table": None}
+    codes: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    n: np.ndarray
+    q: np.ndarray
+    below: np.ndarray
+
+
+def _find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `wanted` are among the sorted values, and their places."""
+    if not len(values):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return values[at] == wanted, at
+
+
+def levels(codes: np.ndarray, counts: np.ndarray, order: int, shorter: list[Level]) -> list[Level]:
+    """All levels up to `order` from the sorted codes of that order, given those in `shorter`."""
+    tables = [(codes, counts)]
+    for _ in range(order - len(shorter)):
+        codes = _shortened(codes, 1)
+        by = np.argsort(codes, kind="stable")
+        codes, counts = codes[by], counts[by]
+        head = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+        codes, counts = codes[head], np.add.reduceat(counts, head) if len(head) else counts
+        tables.append((codes, counts))
+    made = list(shorter)
+    for codes, counts in reversed(tables):
+        context = codes >> _BITS
+        head = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(codes) else np.zeros(0, np.int64)
+        n = np.add.reduceat(counts, head) if len(head) else counts
+        below = np.zeros(len(head), np.int64)
+        if made and len(head):
+            _, at = _find(made[-1].codes, _shortened(codes, 1))
+            below = np.add.reduceat(made[-1].counts[at], head)
+        made.append(Level(codes, counts, context[head], n, np.diff(np.r_[head, len(codes)]), below))
+    return made
+
+
+def log10(made: list[Level], codes: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the symbols of codes of the longest order in their contexts."""
+    out = np.zeros(len(codes))
+    left = np.arange(len(codes))
+    excluded = np.zeros((2, len(codes)), np.int64)  # counts and symbols that longer contexts have seen
+    for order in range(len(made) - 1, -1, -1):
+        level = made[order]
+        own = _shortened(codes[left], len(made) - 1 - order)
+        seen, at = _find(level.contexts, own >> _BITS)
+        now, at = left[seen], at[seen]
+        n, q = level.n[at] - excluded[0, now], level.q[at] - excluded[1, now]
+        q = np.where(level.q[at] == SYMBOLS, 0, q)  # nothing is left to escape to
+        excluded[:, now] = level.below[at], level.q[at]
+        hit, place = _find(level.codes, own[seen])
+        part = np.where(hit, level.counts[np.minimum(place, len(level.counts) - 1)] if len(place) else 0, q)
+        new = n > 0
+        out[now[new]] += np.log10(part[new] / (n + q)[new])
+        done = np.zeros(len(codes), bool)
+        done[now[hit]] = True
+        left = left[~done[left]]
+        if not len(left):
+            break
+    if len(left):
+        out[left] -= np.log10(SYMBOLS - excluded[1, left])
+    return out
 
-    def __getitem__(self, code: np.ndarray) -> np.ndarray:
-        if self._table is None:
-            self._table = _numbered(self.codes, self.space)
-        return self._table[code].astype(np.int64)
 
+class Trie:
+    """The levels of order 0 to ROOT, which all longer contexts end in."""
+
+    def __init__(self, made: list[Level]):
+        self.levels = made
+
+    @property
+    def rows(self) -> dict[int, np.ndarray]:
+        """log10 rows of the contexts of order 0 and 1: symbols that training saw, then one other."""
+        used = self.levels[0].codes
+        others = np.setdiff1d(np.arange(SYMBOLS), used)
+        columns = np.r_[used, others[:1]]
+        made = {}
+        for order, contexts in ((0, np.zeros(1, np.int64)), (1, np.arange(SYMBOLS))):
+            codes = (contexts[:, None] << _BITS | columns).ravel()
+            made[order] = log10(self.levels[: order + 1], codes).reshape(len(contexts), -1)
+            if not len(others):
+                made[order] = np.c_[made[order], np.full(len(contexts), -300.0)]
+        return made
 
-def _numbered(codes: np.ndarray, space: int) -> np.ndarray:
-    table = np.zeros(space, np.int32)
-    table[codes] = np.arange(1, len(codes) + 1)
-    return table
 
+def grow(rows: DataFrame) -> Trie:
+    """The bounded part of the model of the texts of `rows`."""
+    codes, counts = _sum_codes(rows, lambda s, at: grams(s, at, ROOT))
+    return Trie(levels(codes, counts, ROOT, []))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Integers by byte planes, of which those of the high bytes compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _whole(planes: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _gram_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return _word_bucket(mix((codes >> (_BITS * (ORDER - ROOT))).view(U64)), buckets)
+
+
+def _sent(texts: pa.Table, buckets: int) -> pa.Table:
+    """The distinct grams of a chunk and how often its training texts hold them, packed by bucket."""
+    counter = _Counter()
+    out = texts.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
+    for block in tx.blocks(texts.column("text")):
+        s, at = symbols(block)
+        held = np.repeat(out[block.first : block.first + block.n], np.diff(block.offsets) + 1)
+        counter.add(grams(s, at[~held], ORDER))
+        other = np.unique(grams(s, at[held], ORDER))
+        counter.add(other, np.zeros(len(other), np.int64))
+    codes, counts = counter.merge()
+    bucket = _gram_bucket(codes, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, codes, counts = bucket[order], codes[order], counts[order]
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[at[1:], len(codes)]
+    delta = [np.diff(codes[a:b], prepend=0) for a, b in zip(at, ends, strict=True)]
+    chunk = texts.column("chunk")[0].as_py()
+    return pa.table({
+        "bucket": pa.array(bucket[at].astype(np.int32)),
+        "a0": pa.array([np.int64(chunk).tobytes()] * len(at), pa.binary()),
+        "a1": pa.array([np.int64(n).tobytes() for n in ends - at], pa.binary()),
+        "a2": pa.array([_planes(d) for d in delta], pa.binary()),
+        "a3": pa.array([_planes(counts[a:b].astype(np.uint32)) for a, b in zip(at, ends, strict=True)], pa.binary()),
+    })
+
+
+def _answered(entries: DataFrame, trie) -> DataFrame:
+    """(chunk, codes, log10) of the grams, per chunk and bucket."""
+
+    def meet(chunk, many, codes, counts) -> pa.Table:
+        ends = np.cumsum(many)
+        spans = list(zip(ends - many, ends, strict=True))
+        every = np.concatenate([np.cumsum(_whole(codes[8 * a : 8 * b], np.int64)) for a, b in spans])
+        times = np.concatenate([_whole(counts[4 * a : 4 * b], np.uint32) for a, b in spans]).astype(np.int64)
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        grams, n = ordered[head], np.add.reduceat(times[order], head)
+        made = levels(grams[n > 0], n[n > 0], ORDER, trie.value.levels)
+        answers = np.empty(len(every), np.float32)
+        answers[order] = np.repeat(log10(made, grams), np.diff(np.r_[head, len(every)]))
+        return pa.table({
+            "chunk": chunk, "codes": pa.array([codes[8 * a : 8 * b].tobytes() for a, b in spans], pa.binary()),
+            "log10": pa.array([answers[a:b].tobytes() for a, b in spans], pa.binary()),
+        })
 
-def _dense(codes: np.ndarray, counts: np.ndarray, nodes: int) -> np.ndarray:
-    """Counts as (node, symbol), with an empty row for node 0."""
-    out = np.zeros((nodes + 1) * SYMBOLS, np.float64)
-    out[codes] = counts
-    return out.reshape(-1, SYMBOLS)
+    kinds = [np.int64, np.int64, np.uint8, np.uint8]
+    return by_bucket(entries, kinds, meet, "chunk long, codes binary, log10 binary")
 
 
-def _rows(chain: list[np.ndarray]) -> np.ndarray:
-    """log10 rows of contexts from their counts, longest context first, then those of its suffixes.
+class _Answers:
+    """Looks up the log-probabilities of a chunk's grams, by open hashing."""
 
-    The columns are the symbols that training saw; one more is made for each of the others.
-    """
-    left = np.ones(len(chain[0]))  # what has escaped so far
-    seen = np.zeros(chain[0].shape, bool)
-    p = np.zeros(chain[0].shape)
-    others = SYMBOLS - p.shape[1]
-    for counts in chain:
-        new = np.where(seen, 0.0, counts)
-        n, q = new.sum(1), (new > 0).sum(1)
-        seen |= counts > 0
-        if not others:
-            q = np.where(seen.all(1), 0, q)  # nothing is left to escape to
-        total = np.where(n > 0, n + q, 1.0)
-        p += (left / total)[:, None] * new
-        left = np.where(n > 0, left * q / total, left)
-    unseen = (left / others if others else np.zeros(len(left)))[:, None]
-    return np.log10(np.maximum(np.concatenate([p, unseen], 1), 1e-300)).astype(np.float32)
+    _SPREAD = U64(0x9E3779B97F4A7C15)
 
+    def __init__(self, table: pa.Table):
+        parts = [np.cumsum(_whole(np.frombuffer(c, np.uint8), np.int64)) for c in table.column("codes").to_pylist()]
+        hashes = np.concatenate(parts).view(U64) * self._SPREAD
+        order = np.argsort(hashes)
+        self._hashes = hashes[order]
+        self._values = np.frombuffer(b"".join(table.column("log10").to_pylist()), np.float32)[order]
+        bits = max(1, int(len(order)).bit_length())
+        self._shift = U64(64 - bits)
+        sizes = np.bincount((self._hashes >> self._shift).astype(np.int64), minlength=1 << bits)
+        self._first = (np.cumsum(sizes) - sizes).astype(np.int32)
 
-def grow(rows: DataFrame) -> Trie:
-    """The trie of the texts of `rows`."""
-    sc = rows.sparkSession.sparkContext
-    codes, counts = _sum_codes(rows, lambda s, at: _triples(s)[at - 2].astype(np.int64))
-    least = max(int(counts.sum()) / _NODES, 1e-9)
-
-    one = np.bincount(codes % SYMBOLS**2, counts, SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
-    pair_codes = np.unique(codes // SYMBOLS)
-    nodes = {2: _Nodes(pair_codes, SYMBOLS**2)}
-    two = _dense(nodes[2][codes // SYMBOLS] * SYMBOLS + codes % SYMBOLS, counts, len(pair_codes))
-    tables = {0: one.sum(0)[None, :], 1: one, 2: two}
-    # ends[k]: the symbols of each node of order k; the first row is that of node 0.
-    ends = {2: np.stack([np.r_[0, pair_codes // SYMBOLS], np.r_[0, pair_codes % SYMBOLS]], 1)}
-
-    for order in range(3, ORDER + 1):
-        kept = codes[counts >= least]
-        space = SYMBOLS**3 if order == 3 else len(tables[order - 1]) * SYMBOLS
-        nodes[order] = _Nodes(kept, space)
-        if order == 3:
-            first = np.stack([kept // SYMBOLS**2, kept // SYMBOLS % SYMBOLS], 1)
-        else:
-            first = ends[order - 1][kept // SYMBOLS]
-        ends[order] = np.concatenate([np.zeros((1, order), np.int64), np.c_[first, kept % SYMBOLS]])
-        sent = sc.broadcast(dict(nodes))
-
-        def after(s: np.ndarray, at: np.ndarray, sent=sent, order=order) -> np.ndarray:
-            node = context(sent.value, s, _triples(s), at, order)
-            return (node * SYMBOLS + s[at])[node > 0]
-
-        codes, counts = _sum_codes(rows, after)
-        tables[order] = _dense(codes, counts, len(kept))
-
-    # The node of each node's symbols but the first: the next shorter context.
-    shorter = {1: np.zeros(SYMBOLS, np.int64), 2: ends[2][:, 1]}
-    for order in range(3, ORDER + 1):
-        own = ends[order]
-        s = own[:, 1:].ravel()
-        place = np.arange(1, len(own) + 1) * (order - 1)
-        triples = _triples(np.r_[s, 0, 0, 0])
-        shorter[order] = context(nodes, np.r_[s, 0], triples, place, order - 1)
-
-    def chain(order: int, at: np.ndarray) -> list[np.ndarray]:
-        counts = [tables[order][at]]
-        while order:
-            at = shorter[order][at]
-            order -= 1
-            counts.append(tables[order][at])
-        return counts
-
-    used = np.flatnonzero(tables[0][0] > 0)
-    column = np.full(SYMBOLS, len(used))
-    column[used] = np.arange(len(used))
-    tables = {order: table[:, used] for order, table in tables.items()}
-    made = {}
-    for order in range(1, ORDER + 1):
-        size, step = len(tables[order]), 4096
-        parts = [_rows(chain(order, np.arange(a, min(a + step, size)))) for a in range(0, size, step)]
-        made[order] = np.concatenate(parts)
-    return Trie(nodes, made, column)
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        hashes = codes.view(U64) * self._SPREAD
+        at = self._first[(hashes >> self._shift).view(np.int64)]
+        left = np.flatnonzero(self._hashes[at] != hashes)
+        while len(left):  # every gram is there
+            at[left] += 1
+            left = left[self._hashes[at[left]] != hashes[left]]
+        return self._values[at]
 
 
 def word_counts(rows: DataFrame, buckets: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -324,12 +387,16 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     rows = docs.select("doc_id", "text", (crc % modulus == held_out).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     buckets = bucket_count(docs, _BUCKET_BYTES)
+    chunks = -(-bucket_count(docs, 1) // _CHUNK_BYTES)
     ends = train.count()
     tokens, distinct, heavy, heavy_counts = word_counts(train, buckets)
     trie = spark.sparkContext.broadcast(grow(train))
     words = spark.sparkContext.broadcast((heavy, heavy_counts))
 
-    def run(batches):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(summed(table.combine_chunks().to_batches(), _Answers(answers))))
+
+    def summed(batches, answers):
         heavy, counts = words.value
         hits = _Heavy(heavy)
         held: list[tuple] = []
@@ -346,7 +413,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
             for block in tx.blocks(batch.column(3)):
                 s, at = symbols(block)
                 starts = np.r_[0, np.cumsum(np.diff(block.offsets) + 1)[:-1]]
-                log10 = np.add.reduceat(trie.value.log10(s, at), starts)
+                log10 = np.add.reduceat(answers[grams(s, at, ORDER)].astype(np.float64), starts)
                 own = tx.Words(block, tx.WHITE, lower=True)
                 hashes, doc = own.hashes(), own.docs()
                 found, place = hits.find(hashes)
@@ -383,10 +450,16 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     def entries(made: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([*made.columns, *[pa.nulls(made.num_rows, k) for k in kinds]], names=names)
 
+    # The chunk depends on the row alone, as the rows are dealt twice.
     typed = rows.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text",
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"),
     )
-    scored = written(map_batches(typed, ["row", "doc_id", "held_out", "text"], run, schema), "scored")
+    importable(spark)
+    dealt = typed.groupBy("chunk")
+    answers = _answered(dealt.applyInArrow(lambda texts: _sent(texts, buckets), packed_schema(4)), trie)
+    made = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    scored = written(made, "scored")
     rest = _rare_words(scored.where("bucket IS NOT NULL"), buckets).withColumnRenamed("row", "own")
     own = scored.where("bucket IS NULL")
     end_known = int(ends > 0)
@@ -485,22 +558,10 @@ def brute_force(documents: list, modulus: int = 7, held_out: int = 2) -> dict:
         for at in range(ORDER, len(s)):
             for k in range(ORDER + 1) if not out[i] else ():
                 seen[tuple(s[at - k : at])][s[at]] += 1
-    least = max(sum(seen[()].values()) / _NODES, 1e-9)
-    made = lambda context: sum(seen[context[:-1]][context[-1]] for _ in (0,)) >= least
-
-    def is_node(context: tuple) -> bool:
-        if len(context) <= 1:
-            return True
-        if len(context) == 2:
-            return context in seen
-        return context[:-1] in seen and is_node(context[:-1]) and made(context)
-
     def symbol(s: list, at: int) -> float:
         p, gone = 1.0, set()
         for k in range(ORDER, -1, -1):
             context = tuple(s[at - k : at])
-            if not is_node(context):
-                continue
             own = {x: c for x, c in seen[context].items() if x not in gone} if context in seen else {}
             if not own:
                 continue
