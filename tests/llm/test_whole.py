@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import random
 import zlib
 
 import pytest
@@ -20,3 +22,11 @@ def test_rare_contexts_count(spark):
     wanted = ppm.brute_force(rows)
     got = {r["doc_id"]: r["score"] for r in ppm.score(frame(spark, rows)).collect()}
     assert got == {i: pytest.approx(w[5], rel=1e-5) for i, w in wanted.items()}
+
+
+def test_broadcast_part_is_sparse(spark):
+    """No table of all symbols after each context reaches the driver."""
+    rng = random.Random(3)
+    text = "".join(chr(rng.randrange(1, 128)) for _ in range(300_000))
+    trie = ppm.grow(frame(spark, [(1, text)]).select("text"))
+    assert len(pickle.dumps(trie)) < 16_000_000
