@@ -9,7 +9,7 @@ import zlib
 import pytest
 
 from tests.llm.conftest import LONG, frame
-from tradeloom.llm import ppm
+from tradeloom.llm import ppm, toxicity
 
 
 def test_rare_contexts_count(spark):
@@ -30,3 +30,20 @@ def test_broadcast_part_is_sparse(spark):
     text = "".join(chr(rng.randrange(1, 128)) for _ in range(300_000))
     trie = ppm.grow(frame(spark, [(1, text)]).select("text"))
     assert len(pickle.dumps(trie)) < 16_000_000
+
+
+def test_rare_toxic_word_is_learnt(spark):
+    """A word that 120 of 4,000 toxic documents hold, and under 5 of the sampled 60."""
+    plain = [f"{a}{b}" for a in "abcdefgh" for b in "jklmnopq"]
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(plain) for _ in range(12))
+    rows, labels, rare = [], [], [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5][:120]
+    for i in range(8000):
+        word = "" if i >= 4000 else " grimlok grimlok" if i in rare else " vile vile"
+        rows.append((i, text() + word))
+        labels.append((i, int(i < 4000)))
+    rows.append((9000, text() + " grimlok grimlok"))
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=200)
+    got = {r["doc_id"]: r["_score"] for r in toxicity.scored(docs, model).collect()}
+    assert all(got[i] >= 0.5 for i in [*rare, 9000]) and sum(got[i] >= 0.5 for i in range(4000, 8000)) < 40

@@ -1,9 +1,10 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from them.
 
-Training uses a bounded sample of labelled documents (about `sample` rows at most, three tenths
-of them toxic), chosen by hash. Words and word beginnings of 3 to 8 characters that toxic documents hold far more often
-than others label the tokens: in a toxic document a token with such evidence is toxic, every
-other token is not. The field has two states, a weight per grade of evidence, a bias and
+Words and word beginnings of 3 to 8 characters that toxic documents hold far more often than
+others are evidence; they are counted over all labelled documents that are not held out. The
+field is fitted to a bounded sample of these (about `sample` rows at most, three tenths of them
+toxic), chosen by hash. Evidence labels the tokens: in a toxic document a token with evidence is
+toxic, every other token is not. The field has two states, a weight per grade of evidence, a bias and
 transitions, and is fitted to the labelled sequences by maximum likelihood.
 
 Tokens without evidence all look alike, so the forward and backward recursions step from one
@@ -26,13 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.llm import text as tx
-from tradeloom.llm.tasks import add_columns, boxed, map_batches, unboxed, written
+from tradeloom.llm.tasks import (
+    add_columns,
+    boxed,
+    bucket_count,
+    by_bucket,
+    map_batches,
+    packed,
+    packed_schema,
+    unboxed,
+    written,
+)
 from tradeloom.llm.text import U64, mix
 
 PREFIXES = range(3, 9)  # characters of word beginnings that are evidence
 SAMPLE = 20_000  # labelled documents to learn from, at most
-_MIN_SHARE = 1 / 400  # of the toxic sample that must hold a piece of evidence
-_MIN_DOCS = 5
+LEXICON = 1 << 20  # pieces of evidence, at most
+_MIN_DOCS = 5  # toxic documents that must hold a piece of evidence
+_BUCKET_BYTES = 8 << 20  # input bytes per bucket of features
+_HELD = 2_000_000  # distinct features a task holds
 _RATIOS = (8.0, 20.0, 60.0, 180.0)  # grades: how much more often toxic documents hold it
 
 
@@ -58,59 +71,115 @@ class Tokens:
             yield long, mix(hashes + U64(chars))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, sample: int) -> DataFrame:
-    """(doc_id, toxic, text) of about `sample` labelled rows at most that are not held out, written.
+def known_labels(labels: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """(id, toxic) of the labelled documents that are not held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = known.where("toxic IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    return known.where(F.crc32(F.col("id").cast("string").cast("binary")) % modulus != held_out)
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of the rows with a label."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return found.join(known, F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text")
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, sizes: dict[int, int], sample: int) -> DataFrame:
+    """About `sample` labelled rows at most, written.
 
     Each class has a quota; a class that exceeds it is thinned by a hash of the doc_id.
     """
-    doc_id = F.col("doc_id").cast("long")
-    known = labels.select(doc_id.alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    known = known.where("toxic IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % modulus != held_out)
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     grain = 1 << 20
     quota = {1: sample * 3 // 10, 0: sample * 7 // 10}
     share = {t: min(grain, quota[t] * grain // max(n, 1)) for t, n in sizes.items()}
     limit = F.when(F.col("toxic") == 1, share.get(1, 0)).otherwise(share.get(0, 0))
     chosen = F.broadcast(known.where(F.pmod(F.xxhash64("id"), F.lit(grain)) < limit))
-    found = docs.select(doc_id.alias("doc_id"), "text")
-    return written(found.join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text"), "sample")
+    return written(labelled(docs, chosen), "sample")
+
+
+class _Held:
+    """Toxic and clean documents per feature, kept sorted and distinct."""
+
+    def __init__(self):
+        self._parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
+    def add(self, *part: np.ndarray) -> None:
+        self._parts.append(part)
+        self.size += len(part[0])
 
-def evidence(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature hashes and their grades (1, 2, ...)."""
+    def merge(self) -> tuple[np.ndarray, ...]:
+        if not self.size:
+            return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        features, toxic, clean = (np.concatenate(c) for c in zip(*self._parts, strict=True))
+        order = np.argsort(features, kind="stable")
+        features = features[order]
+        head = np.flatnonzero(np.r_[True, features[1:] != features[:-1]])
+        part = features[head], *(np.add.reduceat(c[order], head) for c in (toxic, clean))
+        self._parts, self.size = [part], len(head)
+        return part
+
+
+def evidence(rows: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted feature hashes and their grades (1, 2, ...), from all `rows`.
+
+    Beyond LEXICON features those stay that tell most: by the logarithm of the ratio times the
+    toxic documents.
+    """
 
     def run(batches):
+        held, limit = _Held(), _HELD
         for batch in batches:
             toxic = batch.column(0).to_numpy()
             for block in tx.blocks(batch.column(1)):
                 tokens = Tokens(block)
                 doc = tokens.words.docs()
                 for token, hashes in tokens.features():
-                    pairs = np.unique(np.stack([hashes, doc[token].astype(U64)], 1), axis=0)
-                    f, at = np.unique(pairs[:, 0], return_index=True)
-                    many = np.diff(np.r_[at, len(pairs)])
-                    bad = np.add.reduceat(toxic[block.first + pairs[:, 1].astype(np.int64)], at) if len(f) else many
-                    yield pa.record_batch(
-                        [pa.array(f.view(np.int64)), pa.array(bad, pa.int64()), pa.array(many - bad, pa.int64())],
-                        names=["feature", "toxic", "clean"],
-                    )
-
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return np.zeros(0, U64), np.zeros(0, np.int8)
-    counts = map_batches(sample, ["toxic", "text"], run, "feature long, toxic long, clean long")
-    counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
-    least = max(_MIN_DOCS, sizes[1] * _MIN_SHARE)
-    kept = counts.where(F.col("toxic") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= _RATIOS[0])
-    rows = kept.select("feature", "ratio").collect()  # at most the sample's features / least
-    hashes = np.array([r["feature"] for r in rows], np.int64).view(U64)
-    grades = np.searchsorted(_RATIOS, [r["ratio"] for r in rows], "right").astype(np.int8)
+                    d = doc[token]
+                    order = np.lexsort((d, hashes))
+                    f, d = hashes[order], d[order]
+                    new = np.r_[True, (f[1:] != f[:-1]) | (d[1:] != d[:-1])] if len(f) else np.zeros(0, bool)
+                    f, bad = f[new], toxic[block.first + d[new]].astype(np.int64)
+                    if len(f):
+                        at = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+                        bad, many = np.add.reduceat(bad, at), np.diff(np.r_[at, len(f)])
+                        held.add(f[at], bad, many - bad)
+                if held.size > limit:
+                    features, *counts = held.merge()
+                    limit = 2 * held.size
+                    if held.size > _HELD:
+                        yield packed(_bucket(features, buckets), [features, *counts])
+                        held, limit = _Held(), _HELD
+        features, *counts = held.merge()
+        made = packed(_bucket(features, buckets), [features, *counts])
+        if made is not None:
+            yield made
+
+    most = -(-LEXICON // buckets)
+
+    def total(features, toxic, clean) -> pa.Table:
+        held = _Held()
+        held.add(features, toxic, clean)
+        features, toxic, clean = held.merge()
+        ratio = ((toxic + 0.5) / (sizes[1] + 1)) / ((clean + 0.5) / (sizes[0] + 1))
+        kept = np.flatnonzero((toxic >= _MIN_DOCS) & (ratio >= _RATIOS[0]))
+        weight = toxic[kept] * np.log(ratio[kept])
+        kept = kept[np.lexsort((features[kept], -weight))[:most]]
+        grades = np.searchsorted(_RATIOS, ratio[kept], "right").astype(np.int8)
+        return pa.table({"features": [features[kept].tobytes()], "grades": [grades.tobytes()]})
+
+    sent = map_batches(rows, ["toxic", "text"], run, packed_schema(3))
+    parts = by_bucket(sent, [U64, np.int64, np.int64], total, "features binary, grades binary").collect()
+    hashes = np.frombuffer(b"".join(bytes(p["features"]) for p in parts), U64)
+    grades = np.frombuffer(b"".join(bytes(p["grades"]) for p in parts), np.int8)
     order = np.argsort(hashes)
     return hashes[order], grades[order]
 
 
+def _bucket(features: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(features) >> U64(40)).astype(np.int64) * buckets >> 24
+
+
 class Lexicon:
     """Looks up the grade of evidence of each token; 0 is none."""
 
@@ -342,10 +411,16 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model | None:
     """A model of the labelled rows that are not held out; None without both classes."""
-    rows = labelled_sample(docs, labels, modulus, held_out, sample)
-    hashes, grades = evidence(rows)
-    if not rows.select("toxic").distinct().count() > 1:
+    known = known_labels(labels, modulus, held_out)
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return None
+    rows = labelled_sample(docs, known, sizes, sample)
+    if rows.select("toxic").distinct().count() < 2:
         return None
+    every = labelled(docs, known)
+    found = {r["toxic"]: r["count"] for r in every.groupBy("toxic").count().collect()}
+    hashes, grades = evidence(every, found, bucket_count(docs, _BUCKET_BYTES))
 
     def run(batches):
         lexicon = Lexicon(hashes, grades)
