@@ -14,6 +14,7 @@ from tradeloom.llm import (
     secrets_scan,
     substring_dedup,
     toxicity,
+    warc,
 )
 
 _OPERATORS = {
@@ -27,6 +28,7 @@ _OPERATORS = {
     "op8_ngram_jaccard": ngram_join,
     "op9_substring_dedup": substring_dedup,
     "op10_toxic_spans": toxicity,
+    "op11_warc_packages": warc,
 }
 
 
