@@ -6,6 +6,7 @@ import corpus_pipeline
 from tradeloom.llm import (
     decontam,
     exact_dedup,
+    hard_negatives,
     langid,
     line_dedup,
     ngram_join,
@@ -29,6 +30,7 @@ _OPERATORS = {
     "op9_substring_dedup": substring_dedup,
     "op10_toxic_spans": toxicity,
     "op11_warc_packages": warc,
+    "op13_hard_negatives": hard_negatives,
 }
 
 
