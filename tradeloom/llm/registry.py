@@ -13,6 +13,7 @@ from tradeloom.llm import (
     packing,
     ppm,
     secrets_scan,
+    spelling,
     substring_dedup,
     toxicity,
     warc,
@@ -30,6 +31,7 @@ _OPERATORS = {
     "op9_substring_dedup": substring_dedup,
     "op10_toxic_spans": toxicity,
     "op11_warc_packages": warc,
+    "op12_spelling_variants": spelling,
     "op13_hard_negatives": hard_negatives,
 }
 
