@@ -45,7 +45,7 @@ def test_a_hot_order_keeps_its_table_unbucketed(spark, forced):
 
 def test_run_all_reports(spark, tmp_path):
     found = rows(run_all_reports(orderlines.load(spark, SMALL), str(tmp_path)))
-    assert len(found) == 26 and {r["status"] for r in found} == {"written"}
+    assert len(found) == 30 and {r["status"] for r in found} == {"written"}
     for r in found:
         parts = glob.glob(f"{tmp_path}/{r['file']}/part-*.csv")
         assert len(parts) == 1

@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 from tradeloom.operators.scratch import discard, scratch_path
 from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, spread_join
 from tradeloom.schemas import TABLES, TableSpec
+from tradeloom.sources import csv_records
 from tradeloom.sources.files import find, read_table, table_path, write_table
 
 _CONCURRENT = 4
+_OPEN_AT_ONCE = 32
 POSITION = "_position"
 REJECTED = "_rejected"
 MALFORMED = "_malformed"
@@ -54,28 +56,39 @@ def read_text(spark: SparkSession, path: str | list[str], multiline: bool = Fals
     """All columns as text under their header names; quotes are doubled inside quotes.
 
     Part files may order their columns differently: files are read by groups of equal headers.
-    A row whose number of fields is not that of its header is marked in `MALFORMED`. Only files
-    with free text need `multiline`, which reads each file in one task.
+    A row whose number of fields is not that of its header is marked in `MALFORMED`. Files with
+    free text need `multiline`: their quoted fields may hold line breaks, and a first pass over
+    them finds where records begin (see `csv_records`).
     """
+    files = [f for one in ([path] if isinstance(path, str) else path) for f in _part_files(spark, one)]
     groups: dict[str, list[str]] = {}
-    for one in [path] if isinstance(path, str) else path:
-        for file in _part_files(spark, one):
-            groups.setdefault(_first_line(spark, file), []).append(file)
+    with ThreadPoolExecutor(_OPEN_AT_ONCE) as pool:
+        for file, header in zip(files, pool.map(lambda f: _first_line(spark, f), files), strict=True):
+            groups.setdefault(header, []).append(file)
     frames = []
-    for header, files in groups.items():
+    for header, members in groups.items():
         names = next(csv.reader([header]), [])
-        if not names:
-            continue
-        fields = [T.StructField(name, T.StringType()) for name in [*names, MALFORMED]]
-        frames.append(
-            spark.read.csv(
-                files, schema=T.StructType(fields), header=True, enforceSchema=True, quote='"', escape='"',
-                multiLine=multiline, encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED,
-            )
-        )
+        if names:
+            frames.append((_read_records if multiline else _read_lines)(spark, members, names))
     if not frames:
         return spark.createDataFrame([], T.StructType([T.StructField(MALFORMED, T.StringType())]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(with_position, frames))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _read_lines(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
+    fields = [T.StructField(name, T.StringType()) for name in [*names, MALFORMED]]
+    return with_position(
+        spark.read.csv(
+            files, schema=T.StructType(fields), header=True, enforceSchema=True, quote='"', escape='"',
+            encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED,
+        )
+    )
+
+
+def _read_records(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
+    found = csv_records.records(spark, files)
+    parsed = found.select(csv_records.fields(F.col("text"), names, MALFORMED).alias("fields"), F.struct("file", "block", "row").alias(POSITION))
+    return parsed.select("fields.*", POSITION)
 
 
 def with_position(raw: DataFrame) -> DataFrame:
