@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeloom.functions.columns import month_label, month_number
 from tradeloom.schemas import TABLES
+from tradeloom.sources import snapshots
+from tradeloom.sources.snapshots import FATE, LOADED
 from tradeloom.tables import Tables
 
 ORDER_MONTH = "order_month"
@@ -24,8 +27,26 @@ def table_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
+def stored_schema(name: str) -> T.StructType:
+    """The columns of a stored table: the declared ones and, of orders, the month."""
+    month = [T.StructField(ORDER_MONTH, T.StringType())] if name == "orders" else []
+    return T.StructType([*TABLES[name].schema.fields, *month])
+
+
+def is_stored(spark: SparkSession, folder: str, name: str) -> bool:
+    path = table_path(folder, name)
+    return snapshots.current(spark, path) is not None or snapshots.is_plain(spark, path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(folder, name))
+    """The current version of a stored table, or a plain folder of Parquet files."""
+    path = table_path(folder, name)
+    seen = snapshots.current(spark, path)
+    if seen is None:
+        if not snapshots.is_plain(spark, path):
+            raise FileNotFoundError(f"no table {path}")
+        return spark.read.parquet(path)
+    return snapshots.read(spark, path, seen, stored_schema(name))
 
 
 def load(spark: SparkSession, folder: str) -> Tables:
@@ -34,22 +55,37 @@ def load(spark: SparkSession, folder: str) -> Tables:
     )
 
 
-def write_table(df: DataFrame, folder: str, name: str, mode: str) -> None:
-    """The one layout of a stored table: orders in one folder per purchase month.
+def with_month(df: DataFrame) -> DataFrame:
+    month = month_label(month_number(F.col("order_purchase_timestamp")))
+    return df.withColumn(ORDER_MONTH, month)
+
+
+def write_load(df: DataFrame, path: str, name: str) -> None:
+    """The files of one load, in a folder per fate and, of orders, per purchase month.
 
     The rebalance gives each month few files and splits a month that is too large for one.
     """
+    split = [FATE]
     if name == "orders":
-        month = month_label(month_number(F.col("order_purchase_timestamp")))
-        df = df.withColumn(ORDER_MONTH, month).hint("rebalance", ORDER_MONTH)
-        df.write.mode(mode).partitionBy(ORDER_MONTH).parquet(table_path(folder, name))
-    else:
-        df.write.mode(mode).parquet(table_path(folder, name))
+        split = [FATE, ORDER_MONTH]
+        df = with_month(df).hint("rebalance", *split)
+    df.write.partitionBy(*split).parquet(path)
+
+
+def replace_table(df: DataFrame, folder: str, name: str) -> snapshots.Snapshot:
+    """Store `df` as the whole table; readers see the old rows until all new ones are written."""
+    spark, table = df.sparkSession, table_path(folder, name)
+    seen = snapshots.current(spark, table)
+    path = snapshots.new_load(table, seen)
+    write_load(df.withColumn(FATE, F.lit(LOADED)), path, name)
+    load = snapshots.described(spark, path, stored_schema(name), TABLES[name].key[0])
+    return snapshots.publish(spark, table, seen, (load,))
 
 
 def save(t: Tables, folder: str) -> None:
     for name, spec in TABLES.items():
-        write_table(t[name].select(spec.columns), folder, name, "overwrite")
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema]
+        replace_table(t[name].select(*columns), folder, name)
 
 
 def save_bucketed(t: Tables, prefix: str, buckets: int) -> None:

@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from tradeloom.operators.scratch import discard, scratch_path
 from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, spread_join
 from tradeloom.schemas import TABLES, TableSpec
-from tradeloom.sources import csv_records
-from tradeloom.sources.files import find, read_table, table_path, write_table
+from tradeloom.sources import csv_records, snapshots
+from tradeloom.sources.files import find, is_stored, read_table, stored_schema, table_path, write_load
+from tradeloom.sources.snapshots import FATE, LOADED
 
 _CONCURRENT = 4
 _OPEN_AT_ONCE = 32
@@ -256,50 +257,75 @@ def _load_staged(spark: SparkSession, staged: DataFrame, target: str, spec: Tabl
     sound = F.col(MALFORMED).isNull()
     has_key = sound & reduce(and_, (F.col(c).isNotNull() for c in spec.key))
     rejects = [F.count_if(has_key & F.array_contains(REJECTED, c)).alias(f"reject_{c}") for c in spec.columns]
+    own_key = F.when(has_key, F.col(spec.key[0]))
     counts = staged.agg(
         F.count("*").alias("read"),
         F.count_if(~sound).alias("malformed"),
         F.count_if(sound & ~has_key).alias("without_key"),
+        F.min(own_key).alias("least"),
+        F.max(own_key).alias("greatest"),
         *rejects,
     ).first()
     rejected = {c: counts[f"reject_{c}"] for c in spec.columns if counts[f"reject_{c}"]}
     keyed = counts["read"] - counts["malformed"] - counts["without_key"]
 
-    # The checked rows are written once, each with what became of it.
     first = first_per_key(staged.where(has_key), spec.key, F.col(POSITION)).select(spec.columns)
-    fate = first.withColumn("_fate", F.lit("loaded"))
+    fate = first.withColumn(FATE, F.lit(LOADED))
     if spec.parent is not None:
         column, parent = spec.parent
         parents = spark.createDataFrame([], TABLES[parent].schema)
-        if find(spark, table_path(target, parent)):
+        if is_stored(spark, target, parent):
             parents = read_table(spark, target, parent)
         marked = _marked(first, parents, column, spec.key[0], find_hot_keys(staged, column))
         lost = F.col("_known").isNull() & F.col(column).isNotNull()
-        fate = marked.select(*spec.columns, F.when(lost, "orphan").otherwise("loaded").alias("_fate"))
-    if find(spark, table_path(target, spec.name)):
+        fate = marked.select(*spec.columns, F.when(lost, "orphan").otherwise(LOADED).alias(FATE))
+    table = table_path(target, spec.name)
+    seen = snapshots.current(spark, table)
+    stored = stored_keys(spark, target, spec, (counts["least"], counts["greatest"]))
+    if stored is not None:
         # Stored keys are reduced by the new ones first, so a small file moves few of them.
-        new = fate.select(*spec.key)
-        stored = read_table(spark, target, spec.name).select(*spec.key).join(new, list(spec.key), "left_semi")
-        there = stored.distinct().withColumn("_there", F.lit(True))
-        seen = F.when((F.col("_fate") == "loaded") & F.col("_there").isNotNull(), "stored").otherwise(F.col("_fate"))
-        fate = fate.join(there, list(spec.key), "left").select(*spec.columns, seen.alias("_fate"))
-    path = scratch_path(spark, f"checked_{spec.name}")
-    fate.write.parquet(path)
-    try:
-        checked = spark.read.parquet(path)
-        fates = {r["_fate"]: r["count"] for r in checked.groupBy("_fate").count().collect()}
-        rows = checked.where("_fate = 'loaded'").select(spec.columns)
-        if fates.get("loaded") or not find(spark, table_path(target, spec.name)):
-            write_table(rows, target, spec.name, "append")
-    finally:
+        there = stored.join(fate.select(*spec.key), list(spec.key), "left_semi").distinct().withColumn("_there", F.lit(True))
+        met = F.when((F.col(FATE) == LOADED) & F.col("_there").isNotNull(), "stored").otherwise(F.col(FATE))
+        fate = fate.join(there, list(spec.key), "left").select(*spec.columns, met.alias(FATE))
+
+    # The checked rows are written once, each with what became of it, and counted from the files'
+    # footers. What is not loaded keeps no values and goes before the load is published.
+    loaded = F.col(FATE) == LOADED
+    lean = fate.select(*(F.when(loaded, F.col(c)).alias(c) for c in spec.columns), FATE)
+    path = snapshots.new_load(table, seen)
+    write_load(lean, path, spec.name)
+    written_rows = snapshots.read_load(spark, path, stored_schema(spec.name))
+    fates = {r[FATE]: r["count"] for r in written_rows.groupBy(FATE).count().collect()}
+    for other in fates:
+        if other != LOADED:
+            discard(spark, f"{path}/{FATE}={other}")
+    if fates.get(LOADED) or stored is None:
+        load = snapshots.described(spark, path, stored_schema(spec.name), spec.key[0])
+        snapshots.publish(spark, table, seen, (*(seen.loads if seen else ()), load))
+    else:
         discard(spark, path)
     return LoadStatus(
         spec.name, "loaded", counts["read"], counts["malformed"], counts["without_key"],
-        keyed - sum(fates.values()), fates.get("orphan", 0), fates.get("stored", 0), fates.get("loaded", 0),
+        keyed - sum(fates.values()), fates.get("orphan", 0), fates.get("stored", 0), fates.get(LOADED, 0),
         sum(rejected.values()), ",".join(f"{c}:{n}" for c, n in rejected.items()),
     )
 
 
+def stored_keys(spark: SparkSession, target: str, spec: TableSpec, between: tuple[str | None, str | None]) -> DataFrame | None:
+    """Stored keys that can meet new ones of this range, None if there is no such table yet.
+
+    Loads whose key range lies elsewhere are not read, nor are row groups inside the others.
+    """
+    table = table_path(target, spec.name)
+    seen = snapshots.current(spark, table)
+    if seen is None:
+        if snapshots.is_plain(spark, table):
+            raise ValueError(f"{table} has no versions; store its rows with files.replace_table elsewhere first")
+        return None
+    keys = snapshots.read(spark, table, seen, spec.schema, between).select(*spec.key)
+    return keys.where(F.col(spec.key[0]).between(*between)) if between[0] is not None else keys.limit(0)
+
+
 def load_folder(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Load every known file; one table's failure leaves the others alone.
 
