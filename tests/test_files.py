@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import glob
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, as_set, rows
 from tests.test_skew import plan, skewed
-from tradeloom.plans import revenue, star
+from tradeloom.operators.scratch import _own_folder, clear_scratch
+from tradeloom.plans import catalog, customers, revenue, sellers, star
 from tradeloom.sources import files, orderlines
 from tradeloom.sources.report_files import run_all_reports, write_report
 from tradeloom.tables import Tables
@@ -47,15 +50,69 @@ def test_run_all_reports(spark, tmp_path):
     found = rows(run_all_reports(orderlines.load(spark, SMALL), str(tmp_path)))
     assert len(found) == 30 and {r["status"] for r in found} == {"written"}
     for r in found:
-        parts = glob.glob(f"{tmp_path}/{r['file']}/part-*.csv")
-        assert len(parts) == 1
-        with open(parts[0], encoding="utf-8") as lines:
+        with open(f"{tmp_path}/{r['file']}", encoding="utf-8") as lines:
             assert sum(1 for _ in lines) == r["row_count"] + 1
-    first = glob.glob(f"{tmp_path}/02_exploration_q2.csv/part-*.csv")[0]
-    with open(first, encoding="utf-8") as lines:
+    assert sorted(n for n in os.listdir(tmp_path) if not n.endswith(".crc")) == sorted(r["file"] for r in found)
+    with open(f"{tmp_path}/02_exploration_q2.csv", encoding="utf-8") as lines:
         assert lines.read().splitlines()[1].startswith("1995-01-01 ")
 
 
+def test_a_run_computes_shared_frames_once_and_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    made = []
+    for module, name in ((customers, "rfm_base"), (sellers, "_seller_metrics"), (revenue, "_paid_orders")):
+        original = getattr(module, name)
+
+        def counted(t, *columns, original=original, name=name, **options):
+            made.append(name)
+            return original(t, *columns, **options)
+
+        monkeypatch.setattr(module, name, counted)
+    clear_scratch(spark)
+    t = orderlines.load(spark, SMALL)
+    run_all_reports(t, str(tmp_path))
+    assert sorted(made) == ["_paid_orders", "_seller_metrics", "rfm_base"]
+    assert not [p for p in glob.glob(f"{_own_folder(spark)}/*")]
+    assert not t._shared and not t._facts.get("rfm_base")
+
+
+def test_declared_readers_are_the_real_ones(spark, monkeypatch):
+    t = orderlines.load(spark, SMALL)
+    reports = [r for group in catalog.RUN.values() for r in group]
+    asked = {}
+    original = Tables.shared
+
+    def noted(self, name, make, always=False):
+        asked.setdefault(name, set()).add(current[-1])
+        current.append(name)
+        try:
+            return original(self, name, make, always)
+        finally:
+            current.pop()
+
+    monkeypatch.setattr(Tables, "shared", noted)
+    for report in reports:
+        current = [report.__name__]
+        t._facts.pop("rfm_base", None)
+        t._shared.clear()
+        report(t)
+    assert asked == {name: set(readers) for name, readers in catalog.READERS.items()}
+
+
+def test_a_report_file_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "r.csv")
+    two = spark.createDataFrame([(1, "a"), (2, 'b "q", c')], "k int, v string")
+    assert write_report(two, path) == 2
+    with open(path, encoding="utf-8") as file:
+        assert file.read().splitlines()[0] == "k,v"
+    broken = two.withColumn("k", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        write_report(broken, path)
+    assert spark.read.csv(path, header=True).count() == 2  # the old one is still there
+    assert write_report(two.limit(1), path) == 1 and spark.read.csv(path, header=True).count() == 1
+    assert write_report(two.where("k > 5"), path) == 0
+    assert [n for n in os.listdir(tmp_path) if not n.endswith(".crc")] == []
+
+
 def test_a_failing_report_does_not_stop_the_run(spark, tmp_path):
     t = orderlines.load(spark, SMALL)
     frames = {name: t[name] for name in t.names() if name != "order_reviews"}

@@ -146,6 +146,30 @@ def test_first_row_of_a_key_in_file_order(spark, tmp_path):
     }
 
 
+def test_only_rows_of_repeated_keys_are_chosen_from(spark, monkeypatch):
+    rows_ = [(i % 700, i // 700, f"v{i % 11}") for i in range(800)] + [(None, 1, "n"), (None, 0, "n"), (5, 9, None)] + [(3, 7, "hot")] * 400
+    df = spark.createDataFrame(rows_, "k int, p int, v string").repartition(5)
+    for order in (None, df["p"]):
+        got = {r["k"]: (r["p"], r["v"]) for r in ingest.first_per_key(df, ("k",), order).collect()}
+        ranked = sorted(rows_, key=lambda r: (r[1], r[2] is not None, r[2] or ""))
+        assert got == {r[0]: r[1:] for r in reversed(ranked)}
+    seen = []
+    monkeypatch.setattr(ingest, "_chosen", lambda some, *_: seen.append(some.count()) or some.limit(0))
+    ingest.first_per_key(df, ("k",)).count()
+    assert seen == [100 * 2 + 2 + 1 + 400]  # 3 and 5 are among the hundred repeated ones
+    unique = df.dropDuplicates(["k"])
+    assert ingest.first_per_key(unique, ("k",)) is unique
+
+
+def test_first_rows_without_a_broadcast(spark, forced):
+    rows_ = [(i % 300 if i % 3 else 7, i, f"v{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows_, "k int, p int, v string")
+    first: dict = {}
+    for k, p, v in rows_:
+        first.setdefault(k, (p, v))
+    assert {r["k"]: (r["p"], r["v"]) for r in ingest.first_per_key(df, ("k",), df["p"]).collect()} == first
+
+
 def test_bulk_load_goes_by_position(spark, tmp_path):
     (tmp_path / "p.csv").write_text(PAYMENTS.replace("order_id,payment_seq", "a,b"))
     found = ingest.bulk_load(spark, str(tmp_path / "p.csv"), TABLES["order_payments"])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from tests.conftest import SMALL, rows
+from tests.conftest import SMALL, as_set, rows
+from tests.test_skew import plan
 from tradeloom.plans import (
     catalog,
     cohorts,
@@ -16,7 +17,7 @@ from tradeloom.plans import (
     sellers,
     star,
 )
-from tradeloom.sources import orderlines
+from tradeloom.sources import files, orderlines
 
 
 def test_growth_is_against_the_previous_row_but_bi_growth_against_the_calendar(shop):
@@ -168,6 +169,45 @@ def test_segments(spark, scores, name):
     assert (row.s, row.c) == (name, "".join(map(str, scores)))
 
 
+def test_months_of_cohorts_over_word_borders_and_many_years(shop, spark):
+    """Months on both sides of a bitmap word, people without a name, and a date far off."""
+    bought = {"p1": ["2000-01", "2004-12", "2005-01", "2005-02"], "p2": ["2004-11", "2005-05"], None: ["2003-03", "2003-03", "2012-07"]}
+    for person, months in bought.items():
+        for i, month in enumerate(months):
+            shop.order(f"{person}{i}", f"{month}-05 10:00:00", person=person)
+    wanted: set = set()
+    for person, months in bought.items():
+        first = min(months)
+        index = lambda m: 12 * (int(m[:4]) - int(first[:4])) + int(m[5:]) - int(first[5:])
+        wanted |= {(person, first, m, index(m)) for m in months}
+    shop.order("u1", None, person="p1")
+    shop.order("u2", None, person="u")
+    wanted |= {("p1", "2000-01", None, None), ("u", None, None, None)}
+    near = shop.tables()
+    activity = {tuple(r) for r in cohorts.cohort_activity(near).collect()}
+    assert activity == wanted and near._facts["order_months"] == (2000 * 12, 2012 * 12 + 6)
+    retention = as_set(cohorts.cohort_retention(near))
+    shop.order("far", "9999-01-05 10:00:00", person="far", status="canceled")
+    wide = shop.tables()
+    assert {tuple(r) for r in cohorts.cohort_activity(wide).collect()} == wanted
+    assert as_set(cohorts.cohort_retention(wide)) == retention
+    assert as_set(cohorts.cohort_size(wide)) == as_set(cohorts.cohort_size(near))
+
+
+def test_cohorts_shuffle_little(spark, tmp_path):
+    t = orderlines.load(spark, SMALL)
+    files.save(t, str(tmp_path))
+    stored = files.load(spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for report, most in ((cohorts.cohort_activity, 3), (cohorts.cohort_retention, 4), (cohorts.avg_retention_by_month, 5)):
+            text = plan(report(stored))
+            hashed = text.count("Exchange hashpartitioning")
+            assert hashed <= most and text.count("SortMergeJoin") == 1 and "SortAggregate" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mean_retention_skips_cohorts_without_a_return(shop):
     for order, month, person in (
         ("a", "2020-01", "p1"),

@@ -119,11 +119,13 @@ def keys_at_ranks(
         for search, edges in zip(wide, probes):
             _narrow(search, [(edge, next(counts)) for edge in edges])
 
-    left = keyed.where(reduce(or_, (inside(s) for s in searches))).collect()
+    parts = [F.col(f"{k}.{p}").alias(f"{k}{p}") for k in names for p in "fvt"]
+    left = keyed.where(reduce(or_, (inside(s) for s in searches))).select(*parts).toArrow()
     found: list[list[tuple]] = [[] for _ in orders]
     for i, keys in enumerate(found):
         own = [s for s in searches if s.order == i]
-        rows = sorted((tuple(r[i]) for r in left), key=_python_order)
+        columns = [left.column(3 * i + p).to_pylist() for p in range(3)]
+        rows = sorted(zip(*columns, strict=True), key=_python_order)
         for s in own:
             keys.append([k for k in rows if s.covers(k)][s.rank - s.below - 1])
     return found

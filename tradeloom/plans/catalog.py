@@ -87,6 +87,14 @@ KEY_ANSWERS: tuple[Report, ...] = (
 
 RUN: dict[str, tuple[Report, ...]] = REPORT_FILES | {"key_answers": KEY_ANSWERS}
 
+# What the reports of a run share: frame -> its readers, other shared frames included. A frame
+# with several readers is computed once and goes after the last one.
+READERS: dict[str, tuple[str, ...]] = {
+    "paid_orders": ("monthly_revenue_mom", "quarterly_revenue", "revenue_by_state", "rfm_base"),
+    "rfm_base": ("rfm_segment_summary", "top_champions", "key_champion_count"),
+    "seller_metrics": ("seller_scorecard", "seller_tier_summary", "seller_top_bottom"),
+}
+
 CALLS: dict[str, Report] = {
     "monthly_revenue_report": lambda t: revenue.monthly_revenue_report(t, *CALL_MONTHS),
     "category_performance": lambda t: sellers.category_performance(t, CALL_TOP),

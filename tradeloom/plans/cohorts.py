@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import DELIVERED, month_label, month_number, percent
+from tradeloom.operators import bitmaps
 from tradeloom.tables import Tables
 
 LAST_INDEX = 6
@@ -29,31 +30,51 @@ def first_purchase(t: Tables) -> DataFrame:
     )
 
 
-def _active_months(t: Tables) -> DataFrame:
-    """Distinct (person, month_no) of delivered orders.
+#: Months of data up to which a person's months are a bitmap (40 years); dirty dates may exceed it.
+_MOST_WORDS = 8
 
-    Whole rows are grouped both times, so plain hash aggregates do it, and a person with very
-    many orders collapses on the map side.
+
+def _base_and_words(t: Tables) -> tuple[int, int]:
+    """First month of the orders, and the words that a bitmap of their months needs."""
+    first, last = t.once("order_months", _month_range)
+    return first, (last - first) // bitmaps.WORD + 1
+
+
+def _month_range(t: Tables) -> tuple[int, int]:
+    month = month_number(F.col("order_purchase_timestamp"))
+    return tuple(m or 0 for m in t["orders"].agg(F.min(month), F.max(month)).first())
+
+
+def _month_sets(t: Tables, base: int, words: int) -> DataFrame:
+    """(person, bitmap of active months, first, undated) of everyone with a delivered order.
+
+    Orders are sets of months per customer id before they meet their person, and a set of one
+    row per person after it: three exchanges, and a person with very many orders collapses on the
+    map side both times.
     """
-    return (
-        _delivered_months(t)
-        .distinct()
-        .join(_people(t), "customer_id")
-        .select("person", "month_no")
-        .distinct()
-    )
+    undated = F.bool_or(F.col("month_no").isNull()).alias("undated")
+    per_customer = _delivered_months(t).groupBy("customer_id").agg(undated, *bitmaps.collected(f"month_no - {base}", words))
+    sets = per_customer.join(_people(t), "customer_id").groupBy("person").agg(F.bool_or("undated").alias("undated"), *bitmaps.merged(words))
+    return sets.withColumn("first", bitmaps.lowest(words))
 
 
-def _with_first(t: Tables) -> DataFrame:
-    """(person, month_no, first): the months and the first one, in the partitioning of the person."""
-    months = _active_months(t).repartition("person")
-    first = months.groupBy("person").agg(F.min("month_no").alias("first"))
-    return months.join(first.withColumnRenamed("person", "_person"), F.col("person").eqNullSafe(F.col("_person")))
+def _listed_months(t: Tables) -> DataFrame:
+    """(person, month_no, first) of distinct months, for dates over more years than a bitmap holds."""
+    months = _delivered_months(t).distinct().join(_people(t), "customer_id").select("person", "month_no").distinct()
+    return months.withColumn("first", F.min("month_no").over(Window.partitionBy("person")))
 
 
 def cohort_activity(t: Tables) -> DataFrame:
-    """One row per person and active month."""
-    return _with_first(t).select(
+    """One row per person and active month; an order without a date counts as a month of its own."""
+    base, words = _base_and_words(t)
+    if words <= _MOST_WORDS:
+        months = bitmaps.members(words)
+        months = F.when(F.col("undated"), F.array_append(months, F.lit(None))).otherwise(months)
+        active = _month_sets(t, base, words).select("person", (F.col("first") + base).alias("first"), F.explode(months).alias("p"))
+        rows = active.select("person", "first", (F.col("p") + base).alias("month_no"))
+    else:
+        rows = _listed_months(t)
+    return rows.select(
         F.col("person").alias("customer_id"),
         month_label(F.col("first")).alias("cohort_month"),
         month_label(F.col("month_no")).alias("order_month"),
@@ -62,14 +83,19 @@ def cohort_activity(t: Tables) -> DataFrame:
 
 
 def _cohort_counts(t: Tables) -> DataFrame:
-    """(first, month_index, active, size) per cohort and index; people are rows by now."""
-    counts = (
-        _with_first(t)
-        .groupBy("first", (F.col("month_no") - F.col("first")).alias("month_index"))
-        .agg(F.count("*").alias("active"))
-    )
-    starters = F.max(F.when(F.col("month_index") == 0, F.col("active")))
-    return counts.withColumn("size", starters.over(Window.partitionBy("first")))
+    """(first, month_index, active, size) per cohort and index up to LAST_INDEX that has anyone."""
+    base, words = _base_and_words(t)
+    indexes = range(LAST_INDEX + 1)
+    if words <= _MOST_WORDS:
+        people = _month_sets(t, base, words).select("first", bitmaps.following("first", words, LAST_INDEX + 1).alias("months"))
+        active = [F.expr(f"count_if(months & {1 << i} != 0)") for i in indexes]
+        first = F.col("first") + base
+    else:
+        people, first = _listed_months(t), F.col("first")
+        active = [F.expr(f"count_if(month_no = first + {i})") for i in indexes]
+    counts = people.groupBy(first.alias("first")).agg(*(a.alias(f"a{i}") for i, a in enumerate(active)))
+    stacked = F.expr(f"stack({len(indexes)}, {', '.join(f'{i}, a{i}' for i in indexes)}) AS (month_index, active)")
+    return counts.select("first", F.col("a0").alias("size"), stacked).where("active > 0")
 
 
 def cohort_size(t: Tables) -> DataFrame:
@@ -84,7 +110,6 @@ def cohort_size(t: Tables) -> DataFrame:
 def cohort_retention(t: Tables) -> DataFrame:
     return (
         _cohort_counts(t)
-        .where(F.col("month_index") <= LAST_INDEX)
         .select(
             month_label(F.col("first")).alias("cohort_month"),
             F.col("size").alias("cohort_customers"),
@@ -101,7 +126,7 @@ def avg_retention_by_month(t: Tables) -> DataFrame:
     share = (F.col("active") * 100.0 / F.col("size")).cast("decimal(20,10)")
     return (
         _cohort_counts(t)
-        .where(F.col("month_index").between(1, LAST_INDEX))
+        .where(F.col("month_index") > 0)
         .groupBy("month_index")
         .agg(F.round(F.avg(share), 2).alias("avg_retention_pct"))
         .orderBy("month_index")

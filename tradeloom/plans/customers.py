@@ -68,7 +68,7 @@ def rfm_scores(t: Tables) -> DataFrame:
 
     The scores come from exact tile edges, at every size, with no task that sees all people.
     """
-    return global_ntile(t.shared("rfm_base", rfm_base), TILES, SCORES)
+    return t.once("rfm_base", lambda t: global_ntile(t.shared("rfm_base", rfm_base, always=True), TILES, SCORES))
 
 
 def _accepts(bounds: dict[str, tuple[int, int]]) -> Column:

@@ -28,6 +28,16 @@ def paid_orders(t: Tables, *columns: str, where: Column | None = None) -> DataFr
     Payments are reduced to one row per order before the join, so counting orders is
     counting rows and no report needs a distinct count.
     """
+    if where is None:
+        paid = t.shared("paid_orders", lambda t: _paid_orders(t, *_PAID_COLUMNS))
+        return paid.select("order_id", *columns, "paid", "payments")
+    return _paid_orders(t, *columns, where=where)
+
+
+_PAID_COLUMNS = ("customer_id", "order_purchase_timestamp")
+
+
+def _paid_orders(t: Tables, *columns: str, where: Column | None = None) -> DataFrame:
     wanted = F.col("order_status") == DELIVERED
     if where is not None:
         wanted = wanted & where

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradeloom.operators.scratch import discard, scratch_path
-from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, spread_join
+from tradeloom.operators.scratch import discard, scratch_path, written
+from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, lookup_join, spread_join
 from tradeloom.schemas import TABLES, TableSpec
 from tradeloom.sources import csv_records, snapshots
 from tradeloom.sources.files import find, is_stored, read_table, stored_schema, table_path, write_load
@@ -30,6 +30,7 @@ _OPEN_AT_ONCE = 32
 POSITION = "_position"
 REJECTED = "_rejected"
 MALFORMED = "_malformed"
+_HASH, _REPEATED = "_key_hash", "_repeated"
 _LOG = logging.getLogger(__name__)
 
 
@@ -149,11 +150,24 @@ def typed(df: DataFrame, spec: TableSpec) -> DataFrame:
 def first_per_key(df: DataFrame, key: tuple[str, ...], order: Column | None = None) -> DataFrame:
     """The first row of each key by `order`, or the least row if there is no order.
 
-    An aggregate rather than a numbering window: copies of a key collapse on the map side,
-    so a key with very many copies is no burden on one task.
+    Rows are not moved to find out that their key is theirs alone: hashes of the keys are counted,
+    and only rows of a repeated hash are chosen from (two keys of one hash cost a choice, nothing
+    more). That choice is an aggregate rather than a numbering window: copies of a key collapse
+    on the map side, so a key with very many copies is no burden on one task.
     """
-    rest = [c for c in df.columns if c not in key]
-    row = F.struct(*rest)
+    hashed = df.withColumn(_HASH, F.xxhash64(*key))
+    counts = hashed.groupBy(_HASH).agg(F.count("*").alias("rows"))
+    repeated = counts.where("rows > 1").select(_HASH, F.lit(True).alias(_REPEATED))
+    repeated = written(repeated, "repeated_keys")
+    if repeated.isEmpty():
+        return df
+    marked = lookup_join(hashed, repeated, _HASH, lambda: find_hot_keys(hashed, _HASH), [c for c in df.columns if c not in key], "left")
+    alone = marked.where(F.col(_REPEATED).isNull()).select(df.columns)
+    return alone.unionByName(_chosen(marked.where(_REPEATED).select(df.columns), key, order))
+
+
+def _chosen(df: DataFrame, key: tuple[str, ...], order: Column | None) -> DataFrame:
+    row = F.struct(*(c for c in df.columns if c not in key))
     first = F.min(row) if order is None else F.min_by(row, order)
     grouped = df.groupBy(*key).agg(first.alias("row"))
     return grouped.select(*(F.col(c) if c in key else F.col(f"row.{c}") for c in df.columns))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-
-from threading import Lock
+from collections import Counter
+from collections.abc import Callable, Iterable, Mapping
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.operators.scratch import written
+from tradeloom.operators.scratch import discard, scratch_path
 from tradeloom.operators.skew import HotKeys, find_hot_keys
 
 
@@ -20,8 +20,11 @@ class Tables:
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
         self._hot: dict[tuple[str, str], HotKeys] = {}
-        self._shared: dict[str, DataFrame] = {}
-        self._lock = Lock()
+        self._facts: dict[str, object] = {}
+        self._shared: dict[str, tuple[DataFrame, str]] = {}
+        self._readers: Counter[str] = Counter()
+        self._locks: dict[str, RLock] = {}
+        self._lock = RLock()
 
     @classmethod
     def of(cls, spark: SparkSession, **frames: DataFrame) -> Tables:
@@ -44,9 +47,45 @@ class Tables:
             self._hot[table, key] = find_hot_keys(self[table], key)
         return self._hot[table, key]
 
-    def shared(self, name: str, make: Callable[[Tables], DataFrame]) -> DataFrame:
-        """A frame that several reports read: computed once and written to scratch."""
+    def _lock_of(self, name: str) -> RLock:
         with self._lock:
+            return self._locks.setdefault(name, RLock())
+
+    def once(self, name: str, find: Callable[[Tables], object]):
+        """What is found out about the tables by a job, looked up once."""
+        with self._lock_of(name):
+            if name not in self._facts:
+                self._facts[name] = find(self)
+            return self._facts[name]
+
+    def shared(self, name: str, make: Callable[[Tables], DataFrame], always: bool = False) -> DataFrame:
+        """A frame that several reports read.
+
+        With several readers in a run (`expect`), or `always`, it is computed once and written to
+        scratch. Every name has its own lock, so a report waits only for what it reads. A single
+        report otherwise gets the plan.
+        """
+        if not always and self._readers[name] < 2:
+            return make(self)
+        with self._lock_of(name):
             if name not in self._shared:
-                self._shared[name] = written(make(self), name)
-            return self._shared[name]
+                path = scratch_path(self.spark, name)
+                made = make(self)
+                made.write.parquet(path)
+                self._shared[name] = self.spark.read.schema(made.schema).parquet(path), path
+            return self._shared[name][0]
+
+    def expect(self, readers: Iterable[str]) -> None:
+        """Begin a run in which the shared frames have these readers, one mention each."""
+        self._readers = Counter(readers)
+
+    def read_by_one(self, names: Iterable[str]) -> None:
+        """A reader of these frames is done; after its last reader a frame's files are deleted."""
+        for name in names:
+            with self._lock_of(name):
+                self._readers[name] -= 1
+                if self._readers[name] <= 0:
+                    self._facts.pop(name, None)
+                    _, path = self._shared.pop(name, (None, None))
+                    if path:
+                        discard(self.spark, path)
