@@ -200,6 +200,18 @@ def _customers() -> dict[str, str]:
             " FROM x_segments",
             *_RFM,
         ),
+        "customer_pareto": statement(
+            f"""
+SELECT customer_id, {money("c")} AS monetary, place, revenue_rank, revenue_level, {money("run")} AS running_revenue,
+       share AS cumulative_pct, CASE WHEN share <= 80 THEN 'TOP 80%' ELSE 'TAIL 20%' END AS pareto_segment
+FROM (SELECT *, {percent("run", "(SELECT sum(c) FROM x_rfm)")} AS share
+      FROM (SELECT *, row_number() OVER (ORDER BY c DESC NULLS LAST, customer_id) AS place,
+                   rank() OVER (ORDER BY c DESC NULLS LAST) AS revenue_rank,
+                   dense_rank() OVER (ORDER BY c DESC NULLS LAST) AS revenue_level,
+                   sum(c) OVER (ORDER BY c DESC NULLS LAST, customer_id ROWS UNBOUNDED PRECEDING) AS run
+            FROM x_rfm))""",
+            *_RFM,
+        ),
         "rfm_segment_summary": statement(
             f"""
 SELECT customer_segment, count(*) AS customer_count,

@@ -70,6 +70,7 @@ SHARED: tuple[Report, ...] = (
     customers.rfm_base,
     customers.rfm_scores,
     customers.rfm_segments,
+    customers.customer_pareto,
     cohorts.first_purchase,
     cohorts.cohort_activity,
     cohorts.cohort_size,

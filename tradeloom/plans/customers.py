@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import money_mean, money_percent, percent, ratio
 from tradeloom.operators.ordering import Order, global_ntile
-from tradeloom.plans.revenue import paid_orders
+from tradeloom.operators.prefix import ranked
+from tradeloom.plans.revenue import paid_orders, pareto_segment
 from tradeloom.tables import Tables
 
 TILES = 5
@@ -152,3 +153,22 @@ def customer_segment_report(t: Tables, segment_name: str) -> DataFrame:
         .drop("r_score", "f_score", "m_score", "total_score")
         .orderBy(F.desc("monetary"), "customer_id")
     )
+
+
+def customer_pareto(t: Tables) -> DataFrame:
+    """Every person's place by revenue and running share of it; who crosses the limit is in the tail.
+
+    As `category_shares`, at a grain that has no bound: ranges of people are numbered and summed
+    apart and shifted by what comes before them.
+    """
+    people = t.shared("rfm_base", rfm_base, always=True)
+    placed = ranked(people, Order("monetary", "customer_id", descending=True), "monetary")
+    return placed.select(
+        "customer_id",
+        "monetary",
+        F.col("row_number").alias("place"),
+        F.col("rank").alias("revenue_rank"),
+        F.col("dense_rank").alias("revenue_level"),
+        F.col("running_sum").alias("running_revenue"),
+        money_percent(F.col("running_sum"), F.col("total_sum")).alias("cumulative_pct"),
+    ).withColumn("pareto_segment", pareto_segment())

@@ -90,6 +90,10 @@ def category_revenue(t: Tables) -> DataFrame:
     )
 
 
+def pareto_segment() -> Column:
+    return F.when(F.col("cumulative_pct") <= PARETO_LIMIT, "TOP 80%").otherwise("TAIL 20%")
+
+
 def category_shares(t: Tables) -> DataFrame:
     """Running share of revenue of every category; the one that crosses the limit is in the tail."""
     by_revenue = Window.orderBy(F.desc("revenue"))
@@ -107,10 +111,7 @@ def category_shares(t: Tables) -> DataFrame:
             "revenue",
             cumulative.alias("cumulative_pct"),
         )
-        .withColumn(
-            "pareto_segment",
-            F.when(F.col("cumulative_pct") <= PARETO_LIMIT, "TOP 80%").otherwise("TAIL 20%"),
-        )
+        .withColumn("pareto_segment", pareto_segment())
         .orderBy("revenue_rank", "category")
     )
 
