@@ -37,6 +37,25 @@ def _grouped(source: str, group: str) -> tuple[str, str]:
     )
 
 
+_CELLS = """x_cells AS (
+  SELECT f.*, category, state, order_count, strftime(order_date, '%Y-%m') AS order_month
+  FROM x_fact f JOIN x_counts USING (customer_id) JOIN x_labels USING (product_id)
+  JOIN (SELECT DISTINCT person AS customer_id, state FROM x_customers) USING (customer_id))"""
+
+
+def _measures(context: str, by: dict[str, str], where: str = "true") -> str:
+    """All measures of a context straight from the facts."""
+    named = (f"{by.get(d, 'NULL::VARCHAR')} AS {d}" for d in ("order_month", "customer_state", "category"))
+    group = f"GROUP BY {', '.join(by.values())}" if by else ""
+    return f"""
+SELECT '{context}' AS context, {', '.join(named)}, {money("sum(price_c)")} AS total_revenue,
+       count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS people,
+       {mean_money("sum(price_c)", "count(DISTINCT order_id)")} AS avg_order_value,
+       {rounded("count(DISTINCT customer_id) FILTER (order_count > 1)", "count(DISTINCT customer_id)", 4)} AS retention_rate,
+       {rounded("sum(is_late)", "count(*)", 4)} AS late_rate
+FROM x_cells WHERE {where} {group}"""
+
+
 def expected(reports: dict[str, str]) -> dict[str, str]:
     revenue = f"{money('sum(price_c)')}"
     per_order = mean_money("sum(price_c)", "count(DISTINCT order_id)")
@@ -107,6 +126,22 @@ SELECT {rounded("count(*) FILTER (order_count > 1)", "count(*)", 4)} AS retentio
             _SALES,
             _COUNTS,
         ),
+        "bi_measures": statement(
+            " UNION ALL ".join(
+                (
+                    _measures("overall", {}),
+                    _measures("by category", {"category": "category"}),
+                    _measures(
+                        "one category",
+                        {"customer_state": "state", "order_month": "order_month"},
+                        f"category = '{catalog.CALL_CATEGORY}'",
+                    ),
+                )
+            ),
+            _SALES,
+            _COUNTS,
+            _CELLS,
+        ),
         "bi_late_rate": statement(f"SELECT {late} AS late_rate FROM x_fact", _SALES),
         "page_executive": statement(
             f"""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tradeloom.plans import (
     cohorts,
+    cube,
     customers,
     delivery,
     exploration,
@@ -148,6 +149,7 @@ DRILL: dict[str, Report] = {
     "category_drill_sellers": lambda t: pages.category_sellers(t, CALL_CATEGORY),
     "category_drill_rating": lambda t: pages.category_rating(t, CALL_CATEGORY),
     "category_drill_delivery": lambda t: pages.category_delivery(t, CALL_CATEGORY),
+    "bi_measures": lambda t: cube.bi_measures(t, CALL_CATEGORY),
 }
 
 # The operators behind the scores and ranks, under their own names.
