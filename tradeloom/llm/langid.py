@@ -3,7 +3,7 @@
 Features are hashed character 1- to 3-grams, letters lower-cased, with everything that is not a
 letter as a blank, weighted by term frequency times inverse document frequency; document
 frequencies come from all training rows. The weights are learnt from a bounded sample of the
-training rows (`sample`, chosen by hash) by follow-the-regularised-leader with elastic-net
+training rows (`sample`, chosen by hash, with about 200 rows of each language at least) by follow-the-regularised-leader with elastic-net
 penalties, which leaves most of them zero. A temperature is then fitted on a part of the sample
 that the weights have not seen, so that the score is a calibrated probability.
 
@@ -26,6 +26,8 @@ from tradeloom.llm.tasks import add_columns, map_batches, written
 
 BUCKETS = 1 << 15
 SAMPLE = 4_000  # labelled rows to learn the weights from, about
+_LEAST = 200  # of them per language, about
+_GRAIN = 1 << 62
 _BLANK = 0x20
 _SCALE = 100.0  # of term frequencies, which are shares of a text's grams
 
@@ -206,16 +208,27 @@ def calibrate(logits: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def shares_of(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """Of _GRAIN, the share of each language's rows that is learnt from.
+
+    One rate for all, but `_LEAST` rows of a language with fewer at that rate, or all it has.
+    """
+    total = sum(sizes.values())
+    return {lang: min(_GRAIN, max(sample * _GRAIN // total, _LEAST * _GRAIN // n)) for lang, n in sizes.items()}
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of (doc_id, text, lang) rows; None if there are none."""
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
     total, held = document_frequencies(rows)
     if not total:
         return None
-    grain = 1 << 20
-    share = min(grain, sample * grain // total)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     rank = F.xxhash64("doc_id", "text")
-    picked = rows.select(rank.alias("rank"), "lang", "text").where(F.pmod("rank", F.lit(grain)) < share)
+    limit = F.lit(0).cast("long")
+    for lang, share in shares_of(sizes, sample).items():
+        limit = F.when(F.col("lang") == lang, F.lit(share)).otherwise(limit)
+    picked = rows.select(rank.alias("rank"), "lang", "text").where(F.pmod("rank", F.lit(_GRAIN)) < limit)
     found = examples(written(picked, "lang_sample"))  # about `sample` rows
     if not found.num_rows:
         return None
