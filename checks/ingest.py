@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.base import month, statement
 from tradeloom.operators.scratch import scratch_path
-from tradeloom.plans import catalog
+from tradeloom.plans import catalog, star
 from tradeloom.plans.exploration import table_row_counts
 from tradeloom.plans.revenue import monthly_revenue_mom
 from tradeloom.schemas import TABLES, TableSpec
@@ -18,6 +20,10 @@ from tradeloom.sources.report_files import run_all_reports, write_report
 from tradeloom.tables import Tables
 
 
+#: The month whose orders come in two parts.
+REFRESHED = "1996-03"
+
+
 def file_path(folder: str, spec: TableSpec) -> str:
     return f"{folder}/{spec.file_glob.replace('*', 'shop_')}"
 
@@ -129,7 +135,8 @@ def create_tables(t: Tables) -> DataFrame:
     """All eight tables written with their layout; the orders read back."""
     folder = scratch_path(t.spark, "tables")
     files.save(t, folder)
-    return files.load(t.spark, folder)["orders"]
+    stored, ids = files.load(t.spark, folder)["orders"], t["orders"].schema
+    return stored.withColumns({c: F.col(c).cast(ids[c].dataType) for c in ("order_id", "customer_id")})
 
 
 def ingest_append(t: Tables) -> DataFrame:
@@ -143,6 +150,42 @@ def ingest_append(t: Tables) -> DataFrame:
     return files.load(t.spark, target)["orders"].select(TABLES["orders"].columns)
 
 
+def star_refresh(t: Tables) -> DataFrame:
+    """A star without the second half of the orders of a month, refreshed when these have come."""
+    tables, folder = scratch_path(t.spark, "tables"), scratch_path(t.spark, "star")
+    typed = {n: t[n].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[n].schema)) for n in TABLES}
+    late = (F.date_format("order_purchase_timestamp", "yyyy-MM") == REFRESHED) & (F.col("order_id").cast("long") % 2 == 0)
+    files.save(Tables.of(t.spark, **(typed | {"orders": typed["orders"].where(~late)})), tables)
+    star.write_star(files.load(t.spark, tables), folder)
+    files.replace_table(typed["orders"], tables, "orders")
+    star.refresh_star(t.spark, tables, folder, [REFRESHED])
+    ids = [F.col(c).cast("long").alias(c) for c in ("order_id", "customer_id", "product_id", "seller_id")]
+    fact = star.read_star(t.spark, folder)["fact_sales"]
+    return fact.select(*ids, "revenue", "order_date", "order_count", "is_late")
+
+
+def create_tables_content(t: Tables) -> DataFrame:
+    """Rows and content of all eight tables, written with their layout and read back."""
+    folder = scratch_path(t.spark, "tables")
+    files.save(t, folder)
+    stored = files.load(t.spark, folder)
+    counted = []
+    for name, spec in TABLES.items():
+        texts = [F.coalesce(_plain(f), F.lit("")) for f in spec.schema]
+        number = F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 8), 16, 10).cast("long")
+        content = stored[name].agg(F.count("*").alias("row_count"), F.sum(number).alias("content"))
+        counted.append(content.select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _plain(field: T.StructField):
+    if isinstance(field.dataType, T.DecimalType):
+        return (F.col(field.name) * 100).cast("long").cast("string")
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return F.date_format(field.name, "yyyy-MM-dd HH:mm:ss")
+    return F.col(field.name).cast("string")
+
+
 def ingest_parts(t: Tables) -> DataFrame:
     """Seller files with other column orders, and one whose rows all have a field too many."""
     spec = TABLES["sellers"]
@@ -190,6 +233,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         load_verification,
         bulk_load_csv,
         create_tables,
+        create_tables_content,
+        star_refresh,
     )
 } | {"write_report": write_report_csv, "run_all_reports": run_all}
 
@@ -213,6 +258,31 @@ _COUNTED = {
 }
 
 
+def _or_empty(text: str) -> str:
+    return f"coalesce(({text})::VARCHAR, '')"
+
+
+_MADE = "o_orderdate + to_days((25 + o_orderkey % 15)::INT)"
+# Every column of the eight tables as text: whole cents, and times to the second.
+_CONTENT = {
+    "customers": ("x_customers", ["customer_id", "person", "zip", "city", "state"]),
+    "sellers": ("x_sellers", ["seller_id", "zip", "city", "state"]),
+    "products": ("x_products", ["product_id", "native", "name_length", "description_length", "photos", "p_size * 100", "p_size", "p_size", "p_size"]),
+    "product_category_translation": ("x_translation", ["native", "english"]),
+    "orders": ("x_orders", ["order_id", "customer_id", "order_status"] + [f"strftime({c}, '%Y-%m-%d %H:%M:%S')" for c in ("bought_at", "approved_at", "carrier_at", "arrived_at", "due_at")]),
+    "order_items": ("x_items", ["order_id", "item_no", "product_id", "seller_id", "strftime(ship_by, '%Y-%m-%d %H:%M:%S')", "price_c", "freight_c"]),
+    "order_payments": ("x_payments", ["order_id", "seq", "kind", "installments", "paid_c"]),
+    "order_reviews": (
+        f"x_reviews JOIN (SELECT o_orderkey AS order_id, {_MADE} AS made FROM orders) USING (order_id)",
+        [
+            "review_id", "order_id", "score", "CASE WHEN order_id % 4 = 0 THEN 'Order ' || order_id END",
+            "CASE WHEN order_id % 7 = 0 THEN 'It was \"fine\",' || chr(10) || 'number ' || order_id END",
+            "strftime(made, '%Y-%m-%d %H:%M:%S')", "strftime(made + to_days(1) + to_hours((order_id % 24)::INT), '%Y-%m-%d %H:%M:%S')",
+        ],
+    ),
+}
+
+
 def _loaded(name: str) -> str:
     view, key = _COUNTED[name]
     return f"""SELECT '{name}' AS table_name, 'loaded' AS status, count(*) AS rows_read,
@@ -319,6 +389,12 @@ FROM x_items QUALIFY row_number() OVER (PARTITION BY order_id, item_no
         "orphan_check_rejected": statement(f"{orphaned} = 0"),
         "create_tables": statement(f"""
 SELECT order_id, customer_id, order_status, {times}, {month("bought_at")} AS order_month FROM x_orders"""),
+        "create_tables_content": statement(
+            "\nUNION ALL\n".join(
+                f"SELECT '{name}' AS table_name, count(*) AS row_count, sum(('0x' || substr(md5(concat_ws('|', {', '.join(map(_or_empty, columns))})), 1, 8))::BIGINT)::BIGINT AS content FROM {source}"
+                for name, (source, columns) in _CONTENT.items()
+            )
+        ),
         "write_report": reports["monthly_revenue_mom"],
         "run_all_reports": written,
     }

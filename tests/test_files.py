@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from tests.conftest import SMALL, as_set, rows
 from tests.test_skew import plan, skewed
 from tradeloom.operators.scratch import _own_folder, clear_scratch
 from tradeloom.plans import catalog, customers, revenue, sellers, star
-from tradeloom.sources import files, orderlines
+from tradeloom.schemas import TABLES
+from tradeloom.sources import files, orderlines, snapshots
 from tradeloom.sources.report_files import run_all_reports, write_report
 from tradeloom.tables import Tables
 
@@ -127,10 +129,72 @@ def test_an_empty_report_is_not_written(spark, tmp_path):
     assert not (tmp_path / "none.csv").exists()
 
 
+def _typed(t):
+    """The test tables with the declared column types, as a load would store them."""
+    def cast(name):
+        return t[name].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].schema))
+
+    return Tables.of(t.spark, **{name: cast(name) for name in TABLES})
+
+
 def test_write_star(spark, tmp_path):
     t = orderlines.load(spark, SMALL)
     star.write_star(t, str(tmp_path))
-    fact = spark.read.parquet(f"{tmp_path}/fact_sales")
-    assert fact.count() == t["order_items"].count()
+    read = star.read_star(spark, str(tmp_path))
+    assert as_set(read["fact_sales"]) == as_set(star.fact_sales(t))
     for name in ("dim_customer", "dim_product", "dim_seller", "dim_date"):
-        assert spark.read.parquet(f"{tmp_path}/{name}").count() > 0
+        assert read[name].count() > 0
+
+
+def test_a_month_is_refreshed_alone(spark, tmp_path):
+    """Loads of three periods; in one month half of the orders come later, in another all are new."""
+    t = _typed(orderlines.load(spark, SMALL))
+    tables, out, full = (str(tmp_path / n) for n in ("tables", "star", "full"))
+    month = F.date_format("order_purchase_timestamp", "yyyy-MM")
+    odd = F.col("order_id").cast("long") % 2 == 1
+    late = ((month == "1996-03") & odd) | (month == "1996-04")
+    lines = t["order_items"].join(t["orders"].select("order_id", late.alias("late")), "order_id").where("late").drop("late")
+    frames = {n: t[n] for n in TABLES}
+    files.save(Tables.of(spark, **(frames | {"orders": t["orders"].where(~late), "order_items": t["order_items"].join(lines, "order_id", "left_anti").select(TABLES["order_items"].columns)})), tables)
+    star.write_star(files.load(spark, tables), out)
+    before = {n: _modified(f"{out}/fact_lines", n) for n in ("1996-02", "1996-03", "1996-05")}
+    files.replace_table(t["orders"], tables, "orders")
+    files.replace_table(t["order_items"], tables, "order_items")
+    star.refresh_star(spark, tables, out, ["1996-03", "1996-04"])
+    after = {n: _modified(f"{out}/fact_lines", n) for n in before}
+    assert after["1996-02"] == before["1996-02"] and after["1996-05"] == before["1996-05"] and after["1996-03"] != before["1996-03"]
+    star.write_star(files.load(spark, tables), full)
+    got, wanted = star.read_star(spark, out), star.read_star(spark, full)
+    for name in wanted:
+        assert as_set(got[name]) == as_set(wanted[name]), name
+    # A month without orders any more disappears.
+    files.replace_table(t["orders"].where(month != "1996-04"), tables, "orders")
+    star.refresh_star(spark, tables, out, ["1996-04"])
+    star.write_star(files.load(spark, tables), full)
+    assert as_set(star.read_star(spark, out)["fact_sales"]) == as_set(star.read_star(spark, full)["fact_sales"])
+
+
+def _modified(folder, month):
+    return sorted(glob.glob(f"{folder}/order_month={month}/part-*"))
+
+
+def test_a_refresh_reads_only_the_lines_of_its_loads(spark, tmp_path):
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "star")
+    t = _typed(orderlines.load(spark, SMALL))
+    files.save(t, tables)
+    # Lines as three loads by order id; ids of the refreshed month lie in the second.
+    table = files.table_path(tables, "order_items")
+    month = "1996-03"
+    ids = [r[0] for r in t["orders"].where(F.date_format("order_purchase_timestamp", "yyyy-MM") == month).select("order_id").collect()]
+    least, greatest = min(ids), max(ids)
+    loads, key = [], F.col("order_id")
+    for part in (key < least, key.between(least, greatest), key > greatest):
+        path = snapshots.new_load(table, snapshots.current(spark, table))
+        files.write_load(t["order_items"].where(part).withColumn(snapshots.FATE, F.lit(snapshots.LOADED)), path, "order_items")
+        loads.append(snapshots.described(spark, path, files.stored_schema("order_items"), "order_id"))
+    snapshots.publish(spark, table, snapshots.current(spark, table), tuple(loads))
+    star.write_star(files.load(spark, tables), out)
+    some = star.refresh_star(spark, tables, out, [month])
+    assert all(loads[1].folder in f for f in some["order_items"].inputFiles())
+    assert re.search(rf"PartitionFilters: \[[^]]*order_month#\d+ = {month}\)", plan(some["orders"]))
+    assert as_set(star.read_star(spark, out)["fact_sales"]) == as_set(star.fact_sales(t))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import (
@@ -13,16 +13,18 @@ from tradeloom.functions.columns import (
     month_number,
     ratio,
 )
-from tradeloom.operators.scratch import written
+from tradeloom.operators.scratch import discard, written
 from tradeloom.operators.sizing import within
 from tradeloom.operators.skew import (
     NO_HOT_KEYS,
     SALT,
+    find_hot_keys,
     hot_keys_from_counts,
     lookup_join,
     spread_join,
 )
 from tradeloom.plans.exploration import product_categories
+from tradeloom.sources import files
 from tradeloom.tables import Tables
 
 
@@ -127,14 +129,75 @@ def dim_date(t: Tables) -> DataFrame:
     )
 
 
+DIMENSIONS = (dim_customer, dim_product, dim_seller, dim_date)
+_FACTS, _PERSON_ORDERS = "fact_lines", "person_orders"
+
+
+def _write_months(t: Tables, folder: str) -> None:
+    """The facts of all orders of `t`, replacing the months that these have.
+
+    A person's number of orders changes with every month, so it is not part of the stored lines but
+    of a table of orders per person and month: a month can be replaced without touching others.
+    """
+    month = month_label(month_number(F.col("order_date")))
+    lines = sales(t).withColumn("order_month", month).hint("rebalance", "order_month")
+
+    def write(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("order_month").parquet(f"{folder}/{name}")
+
+    write(lines, _FACTS)
+    months = t["orders"].select(month_label(month_number(F.col("order_purchase_timestamp"))).alias("order_month"))
+    written_lines = _stored(t.spark, folder, _FACTS).join(F.broadcast(months.distinct()), "order_month", "left_semi")
+    per_order = written_lines.select("order_month", "customer_id", "order_id").distinct()
+    write(per_order.groupBy("order_month", "customer_id").agg(F.count("*").alias("orders")), _PERSON_ORDERS)
+
+
+def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(f"{folder}/{name}")
+
+
 def write_star(t: Tables, folder: str) -> None:
-    fact = fact_sales(t).withColumn("order_month", month_label(month_number(F.col("order_date"))))
-    fact = fact.hint("rebalance", "order_month")
-    fact.write.mode("overwrite").partitionBy("order_month").parquet(f"{folder}/fact_sales")
-    for dimension in (dim_customer, dim_product, dim_seller, dim_date):
+    """The whole star in `folder`, over whatever it holds."""
+    for name in (_FACTS, _PERSON_ORDERS):
+        discard(t.spark, f"{folder}/{name}")
+    _write_months(t, folder)
+    _write_dimensions(t, folder)
+
+
+def _write_dimensions(t: Tables, folder: str) -> None:
+    for dimension in DIMENSIONS:
         dimension(t).write.mode("overwrite").parquet(f"{folder}/{dimension.__name__}")
 
 
+def refresh_star(spark: SparkSession, tables: str, folder: str, months: list[str]) -> Tables:
+    """Bring some months ('YYYY-MM') of a stored star up to date with the stored tables.
+
+    Reads the orders of these months alone, and of the order lines the loads and row groups whose
+    key range can hold their ids. Returns the tables as they were read.
+    """
+    whole = files.load(spark, tables)
+    orders = whole["orders"].where(F.col(files.ORDER_MONTH).isin(months))
+    least, greatest = orders.agg(F.min("order_id"), F.max("order_id")).first()
+    lines = files.read_between(spark, tables, "order_items", least, greatest)
+    some = Tables.of(spark, orders=orders, order_items=lines, customers=whole["customers"])
+    _write_months(some, folder)
+    held = {r[0] for r in sales(some).select(month_label(month_number(F.col("order_date")))).distinct().collect()}
+    for month in set(months) - held:  # nothing is left of them
+        for name in (_FACTS, _PERSON_ORDERS):
+            discard(spark, f"{folder}/{name}/order_month={month}")
+    _write_dimensions(whole, folder)
+    return some
+
+
+def read_star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The facts, with every person's orders added up over the months, and the dimensions."""
+    lines = _stored(spark, folder, _FACTS).drop("order_month")
+    counts = _stored(spark, folder, _PERSON_ORDERS).groupBy("customer_id").agg(F.sum("orders").alias("order_count"))
+    fact = lookup_join(lines, counts, "customer_id", lambda: find_hot_keys(lines, "customer_id"), ["order_id", "product_id"])
+    columns = ("order_id", "customer_id", "product_id", "seller_id", "revenue", "order_date", "order_count", "is_late")
+    return {"fact_sales": fact.select(*columns)} | {d.__name__: spark.read.parquet(f"{folder}/{d.__name__}") for d in DIMENSIONS}
+
+
 # Measures. `by` is the filter context: the columns the measure is shown by.
 
 

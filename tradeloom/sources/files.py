@@ -49,6 +49,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return snapshots.read(spark, path, seen, stored_schema(name))
 
 
+def read_between(spark: SparkSession, folder: str, name: str, least: str | None, greatest: str | None) -> DataFrame:
+    """Rows whose first key column lies between two values; loads without such keys are not read."""
+    path, key = table_path(folder, name), TABLES[name].key[0]
+    seen = snapshots.current(spark, path)
+    if seen is None:
+        rows = read_table(spark, folder, name)
+    else:
+        rows = snapshots.read(spark, path, seen, stored_schema(name), (least, greatest))
+    return rows.where(F.lit(least is not None) & F.col(key).between(least, greatest))
+
+
 def load(spark: SparkSession, folder: str) -> Tables:
     return Tables(
         spark, {name: (lambda n=name: read_table(spark, folder, n)) for name in TABLES}
