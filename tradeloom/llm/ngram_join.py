@@ -498,7 +498,34 @@ def query(spark, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-ORACLE = None
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), p AS (
+  SELECT doc_id, w, least(3, len(w)) AS size, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS k FROM d WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + size - 1], ' ') AS gram FROM p
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS whole FROM s GROUP BY doc_id
+), r AS (
+  SELECT whole, min(doc_id) AS rep, min(n) AS n FROM n GROUP BY whole
+), t AS (
+  SELECT rep, r.n, gram FROM s JOIN n USING (doc_id) JOIN r USING (whole) WHERE doc_id = rep
+), links AS (
+  SELECT a.rep AS u, b.rep AS v
+  FROM t a JOIN t b ON a.gram = b.gram AND a.rep < b.rep AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 90 * (min(a.n) + min(b.n) - count(*))
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT rep AS u, rep AS v FROM r UNION SELECT reach.u, both_ways.v FROM reach JOIN both_ways ON reach.v = both_ways.u
+), c AS (
+  SELECT u AS rep, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (whole) LEFT JOIN c USING (rep)
+"""
 
 
 def brute_force(documents: list, width: int, similarity: Fraction) -> dict:

@@ -311,7 +311,25 @@ def query(spark, folder: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-ORACLE = None
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50
+), v AS (
+  SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS win FROM p
+), again AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY win) AS first FROM v) WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS pos FROM again
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
 
 
 def brute_force(documents: list, window: int = 50) -> dict:
