@@ -9,7 +9,7 @@ import zlib
 import pytest
 
 from tests.llm.conftest import LONG, frame
-from tradeloom.llm import ppm, toxicity
+from tradeloom.llm import langid, ppm, toxicity
 
 
 def test_rare_contexts_count(spark):
@@ -47,3 +47,39 @@ def test_rare_toxic_word_is_learnt(spark):
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=200)
     got = {r["doc_id"]: r["_score"] for r in toxicity.scored(docs, model).collect()}
     assert all(got[i] >= 0.5 for i in [*rare, 9000]) and sum(got[i] >= 0.5 for i in range(4000, 8000)) < 40
+
+
+def test_toxic_scores_do_not_depend_on_the_sample(spark):
+    """8,000 rows; of those with the word 42 % are toxic, of the others none."""
+    rng = random.Random(8)
+    plain = [f"{a}{b}" for a in "abcdefgh" for b in "jklmnopq"]
+    rows, labels = [], []
+    for i in range(8000):
+        word = rng.random() < 0.2
+        toxic = int(word and rng.random() < 0.42)
+        rows.append((i, " ".join(rng.choice(plain) for _ in range(10)) + (" vile" if word else "")))
+        labels.append((i, toxic))
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    means = []
+    for sample in (500, 2000, 20_000):
+        scores = toxicity.scored(docs, toxicity.train(docs, known, sample=sample)).collect()
+        own = [r["_score"] for r in scores if "vile" in rows[r["doc_id"]][1]]
+        means.append(sum(own) / len(own))
+    assert max(means) - min(means) < 0.06 and abs(means[-1] - 0.42) < 0.03
+
+
+def test_rare_language_is_learnt(spark):
+    """Three rows among 12,000, with a sample of 200."""
+    english, german = "the quick brown fox jumps over it", "über größere straßen läuft der fuchs"
+    rows = [(i, f"{english} {i % 97}", "en") for i in range(12_000)] + [(20_000 + i, f"{german} {i}", "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample=200)
+    got = {r["doc_id"]: r["_lang"] for r in langid.identify(docs.drop("lang"), model).collect()}
+    assert model.languages == ["de", "en"] and {got[20_000 + i] for i in range(3)} == {"de"}
+    assert sum(got[i] == "en" for i in range(12_000)) == 12_000
+
+
+def test_sample_rates_never_vanish():
+    shares = langid.shares_of({"en": 10**14, "de": 3, "fr": 10**9}, 4000)
+    assert shares["de"] == langid._GRAIN
+    assert all(shares[lang] * n // langid._GRAIN in range(150, 4100) for lang, n in (("en", 10**14), ("fr", 10**9)))

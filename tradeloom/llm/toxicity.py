@@ -3,7 +3,7 @@
 Words and word beginnings of 3 to 8 characters that toxic documents hold far more often than
 others are evidence; they are counted over all labelled documents that are not held out. The
 field is fitted to a bounded sample of these (about `sample` rows at most, three tenths of them
-toxic), chosen by hash. Evidence labels the tokens: in a toxic document a token with evidence is
+toxic), chosen by hash; rows of a thinned class weigh as much as the class does among all. Evidence labels the tokens: in a toxic document a token with evidence is
 toxic, every other token is not. The field has two states, a weight per grade of evidence, a bias and
 transitions, and is fitted to the labelled sequences by maximum likelihood.
 
@@ -89,7 +89,7 @@ def labelled_sample(docs: DataFrame, known: DataFrame, sizes: dict[int, int], sa
 
     Each class has a quota; a class that exceeds it is thinned by a hash of the doc_id.
     """
-    grain = 1 << 20
+    grain = 1 << 62
     quota = {1: sample * 3 // 10, 0: sample * 7 // 10}
     share = {t: min(grain, quota[t] * grain // max(n, 1)) for t, n in sizes.items()}
     limit = F.when(F.col("toxic") == 1, share.get(1, 0)).otherwise(share.get(0, 0))
@@ -123,8 +123,8 @@ class _Held:
 def evidence(rows: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature hashes and their grades (1, 2, ...), from all `rows`.
 
-    Beyond LEXICON features those stay that tell most: by the logarithm of the ratio times the
-    toxic documents.
+    Beyond LEXICON features those stay that tell most, by the logarithm of the ratio times the
+    toxic documents, an equal part of LEXICON from each bucket of hashes.
     """
 
     def run(batches):
@@ -305,8 +305,8 @@ class Field:
         return out, probability
 
 
-def _gold(seq: Sequences, toxic: np.ndarray) -> np.ndarray:
-    """Feature totals of the labelled paths: bias, enter, leave, stay and the grades."""
+def _gold(seq: Sequences, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted feature totals of the labelled paths: bias, enter, leave, stay and the grades."""
     totals = np.zeros(4 + len(_RATIOS))
     for i in np.flatnonzero(toxic):
         at, grade = seq.at[seq.bounds[i] : seq.bounds[i + 1]], seq.grade[seq.bounds[i] : seq.bounds[i + 1]]
@@ -314,18 +314,18 @@ def _gold(seq: Sequences, toxic: np.ndarray) -> np.ndarray:
             continue
         stay = int((np.diff(at) == 1).sum())
         runs = len(at) - stay
-        totals[:4] += (len(at), runs, runs - int(at[-1] == seq.n[i] - 1), stay)
-        totals[4:] += np.bincount(grade, minlength=len(_RATIOS) + 1)[1:]
+        totals[:4] += weight[i] * np.array([len(at), runs, runs - int(at[-1] == seq.n[i] - 1), stay])
+        totals[4:] += weight[i] * np.bincount(grade, minlength=len(_RATIOS) + 1)[1:]
     return totals
 
 
-def fit(seq: Sequences, toxic: np.ndarray, rounds: int = 60) -> Field:
+def fit(seq: Sequences, toxic: np.ndarray, weight: np.ndarray, rounds: int = 60) -> Field:
     """Maximum likelihood with a small quadratic penalty, by BFGS on central differences."""
-    gold, size = _gold(seq, toxic), max(len(seq.n), 1)
+    gold, size = _gold(seq, toxic, weight), max(weight.sum(), 1)
 
     def loss(w: np.ndarray) -> float:
         logz, _ = Field.of(w).run(seq, marginals=False)
-        return (logz.sum() - gold @ w) / size + 1e-3 * float(w @ w)
+        return (weight @ logz - gold @ w) / size + 1e-3 * float(w @ w)
 
     def slope(w: np.ndarray) -> np.ndarray:
         eye = np.eye(len(w)) * 1e-4
@@ -362,14 +362,14 @@ def summaries(field: Field, seq: Sequences) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([np.log1p(expected), some], 1), marginals
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Weights and bias of a lightly penalised logistic regression, by Newton's method."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        move = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        move = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * w)
         w = w + move
         if np.abs(move).max() < 1e-8:
             break
@@ -418,9 +418,12 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     rows = labelled_sample(docs, known, sizes, sample)
     if rows.select("toxic").distinct().count() < 2:
         return None
-    every = labelled(docs, known)
+    # Merged at every size: a plan that turned from broadcasting labels to moving texts as they grow
+    # would make the work grow faster than the input.
+    every = labelled(docs, known.hint("merge"))
     found = {r["toxic"]: r["count"] for r in every.groupBy("toxic").count().collect()}
     hashes, grades = evidence(every, found, bucket_count(docs, _BUCKET_BYTES))
+    shares = {t: n / sum(found.values()) for t, n in found.items()}
 
     def run(batches):
         lexicon = Lexicon(hashes, grades)
@@ -445,9 +448,12 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     bounds = np.r_[0, np.cumsum(at.value_lengths().to_numpy())].astype(np.int64)
     seq = Sequences(found["n"].to_numpy(), bounds, at.flatten().to_numpy().astype(np.int64), grade.flatten().to_numpy())
     toxic = found["toxic"].to_numpy()
-    field = fit(seq, toxic)
+    # A thinned class weighs as much as it does among all rows, so scores don't depend on `sample`.
+    drawn = np.bincount(toxic, minlength=2) / len(toxic)
+    weight = np.where(toxic == 1, shares[1] / drawn[1], shares[0] / drawn[0])
+    field = fit(seq, toxic, weight)
     x, _ = summaries(field, seq)
-    return Model(hashes, grades, field, logistic(x, toxic))
+    return Model(hashes, grades, field, logistic(x, toxic, weight))
 
 
 _SCORED = "_score double, _spans array<struct<start:int,end:int>>"
