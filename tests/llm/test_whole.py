@@ -5,11 +5,13 @@ from __future__ import annotations
 import pickle
 import random
 import zlib
+from fractions import Fraction
 
 import pytest
 
 from tests.llm.conftest import LONG, frame
-from tradeloom.llm import langid, ppm, toxicity
+from tradeloom.llm import langid, line_dedup, ngram_join, ppm, substring_dedup, toxicity
+from tradeloom.llm import text as tx
 
 
 def test_rare_contexts_count(spark):
@@ -83,3 +85,41 @@ def test_sample_rates_never_vanish():
     shares = langid.shares_of({"en": 10**14, "de": 3, "fr": 10**9}, 4000)
     assert shares["de"] == langid._GRAIN
     assert all(shares[lang] * n // langid._GRAIN in range(150, 4100) for lang, n in (("en", 10**14), ("fr", 10**9)))
+
+
+def doubling(n):
+    """Two strings of 2**n letters that collide under every polynomial modulo 2**64."""
+    one, two = "a", "b"
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_strings_that_collide_under_polynomials(spark):
+    a, b = doubling(11)
+    assert len(a) == 2048 and a != b
+    words = [a.encode(), b.encode()]
+    assert tx.word_hash(words[0]) != tx.word_hash(words[1])
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    linked = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, 3, Fraction(9, 10)).collect()}
+    assert linked == {1: 1, 2: 2, 3: 1}
+    passage = " ".join(f"w{i}" for i in range(49))
+    long = spark.createDataFrame([(1, f"{passage} {a}"), (2, f"{passage} {b}"), (3, f"{passage} {a}")], "doc_id long, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(long).collect()}
+    assert removed == {1: 0, 2: 0, 3: 50}
+
+
+def test_lines_that_collide_under_polynomials(spark, tmp_path):
+    a, b = doubling(11)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_known_words_that_collide_under_polynomials(spark):
+    a, b = doubling(11)
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][0]
+    out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    got = {r["doc_id"]: r["n_known"] for r in ppm.score(frame(spark, [(learnt, a), (out[0], b), (out[1], a)])).collect()}
+    # The end counts as a known token.
+    assert got[out[0]] == 1 and got[out[1]] == 2

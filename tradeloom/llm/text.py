@@ -8,6 +8,7 @@ sequence) they were made from.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ U64 = np.uint64
 BLOCK_BYTES = 2 << 20
 
 _ODD = 0x9E3779B97F4A7C15
+_LONG = 64  # bytes
 _MASK = (1 << 64) - 1
 
 
@@ -66,6 +68,19 @@ def _range_hashes(values: np.ndarray, powers: _Powers, starts, ends) -> np.ndarr
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def byte_range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes data[start:end] for every given range.
+
+    A polynomial modulo 2**64 tells short ranges apart; long ones can be made to collide under
+    every base (by a word of two letters and its complement that repeat a doubling pattern), so
+    they get a cryptographic hash.
+    """
+    made = _range_hashes(_BYTE_VALUE[data], _BYTE_POWERS, starts, ends)
+    for i in np.flatnonzero(ends - starts >= _LONG):
+        made[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return made
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for low, high in ranges:
@@ -139,7 +154,7 @@ class Words:
         self.counts = np.diff(self.bounds)
 
     def hashes(self) -> np.ndarray:
-        return _range_hashes(_BYTE_VALUE[self.bytes], _BYTE_POWERS, self.starts, self.ends)
+        return byte_range_hash(self.bytes, self.starts, self.ends)
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(self.block.n), self.counts)
@@ -165,8 +180,7 @@ def sequence_hash(words: list[bytes]) -> int:
 
 def word_hash(word: bytes) -> int:
     raw = np.frombuffer(word, np.uint8)
-    ends = np.array([len(raw)])
-    return int(_range_hashes(_BYTE_VALUE[raw], _BYTE_POWERS, np.zeros(1, np.int64), ends)[0])
+    return int(byte_range_hash(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
 
 
 def range_hash(hashes: np.ndarray, starts, ends) -> np.ndarray:
@@ -192,8 +206,3 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     skip = np.repeat(np.asarray(starts, np.int64) - (np.cumsum(lengths) - lengths), lengths)
     return skip + np.arange(total)
-
-
-def byte_range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes data[start:end] for every given range."""
-    return _range_hashes(_BYTE_VALUE[data], _BYTE_POWERS, starts, ends)
