@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL, as_set, rows
 from tests.test_skew import plan, skewed
 from tradeloom.operators.scratch import _own_folder, clear_scratch
-from tradeloom.plans import catalog, customers, revenue, sellers, star
+from tradeloom.plans import catalog, customers, exploration, revenue, sellers, star
 from tradeloom.schemas import TABLES
 from tradeloom.sources import files, orderlines, snapshots
 from tradeloom.sources.report_files import run_all_reports, write_report
@@ -27,6 +27,21 @@ def test_month_folders_are_pruned(spark, tmp_path):
     assert "EqualTo(order_status,delivered)" in plan(report)
 
 
+def test_row_counts_read_no_file(spark, tmp_path):
+    t = orderlines.load(spark, SMALL)
+    files.save(t, str(tmp_path / "stored"))
+    stored = files.load(spark, str(tmp_path / "stored"))
+    report = exploration.table_row_counts(stored)
+    assert as_set(report) == as_set(exploration.table_row_counts(t))
+    assert "FileScan" not in plan(report) and "BatchScan" not in plan(report)
+    for name in ("orders", "sellers"):
+        stored[name].write.parquet(str(tmp_path / "plain" / name))
+        count = files.footer_count(spark, str(tmp_path / "plain" / name))
+        assert "PushedAggregation: [COUNT(*)]" in plan(count)
+        assert files.count_rows(spark, str(tmp_path / "plain"), name) == t[name].count()
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     t = orderlines.load(spark, SMALL)
     files.save_bucketed(t, "b_", 4)

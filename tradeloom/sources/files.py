@@ -60,9 +60,26 @@ def read_between(spark: SparkSession, folder: str, name: str, least: str | None,
     return rows.where(F.lit(least is not None) & F.col(key).between(least, greatest))
 
 
+def count_rows(spark: SparkSession, folder: str, name: str) -> int:
+    """Rows of a stored table: of its version, or of a plain folder from the footers of its files."""
+    path = table_path(folder, name)
+    seen = snapshots.current(spark, path)
+    return seen.rows if seen is not None else footer_count(spark, path).first()["row_count"]
+
+
+def footer_count(spark: SparkSession, path: str) -> DataFrame:
+    """A count that Parquet footers answer, planned in a session of its own."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session.read.parquet(path).agg(F.count("*").alias("row_count"))
+
+
 def load(spark: SparkSession, folder: str) -> Tables:
     return Tables(
-        spark, {name: (lambda n=name: read_table(spark, folder, n)) for name in TABLES}
+        spark,
+        {name: (lambda n=name: read_table(spark, folder, n)) for name in TABLES},
+        {name: (lambda n=name: count_rows(spark, folder, n)) for name in TABLES},
     )
 
 

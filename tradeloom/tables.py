@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradeloom.operators.scratch import discard, scratch_path
 from tradeloom.operators.skew import HotKeys, find_hot_keys
@@ -15,8 +16,11 @@ from tradeloom.operators.skew import HotKeys, find_hot_keys
 class Tables:
     """Lazy name -> DataFrame mapping that also remembers which keys are hot."""
 
-    def __init__(self, spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]]):
+    def __init__(
+        self, spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], rows: Mapping[str, Callable[[], int]] | None = None
+    ):
         self.spark = spark
+        self._rows = dict(rows or {})
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
         self._hot: dict[tuple[str, str], HotKeys] = {}
@@ -41,6 +45,12 @@ class Tables:
     def names(self) -> list[str]:
         return list(self._loaders)
 
+    def row_count(self, table: str) -> DataFrame:
+        """One row with the table's number of rows: known from its metadata, or counted."""
+        if table in self._rows:
+            return self.spark.range(1).select(F.lit(self._rows[table]()).cast("long").alias("row_count"))
+        return self[table].agg(F.count("*").alias("row_count"))
+
     def hot(self, table: str, key: str) -> HotKeys:
         """Keys that hold an outsized share of a table's rows (looked up once)."""
         if (table, key) not in self._hot:
