@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tests.conftest import as_set
+from tradeloom.operators import ordering
 from tradeloom.operators.ordering import (
     Order,
     dense_rank_of,
@@ -15,6 +16,16 @@ from tradeloom.operators.ordering import (
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+class Passes:
+    """Counts the passes of a search."""
+
+    def __init__(self, monkeypatch):
+        self.made = []
+        for name in ("_counted", "_sampled"):
+            original = getattr(ordering, name)
+            monkeypatch.setattr(ordering, name, lambda *a, name=name, original=original: self.made.append(name) or original(*a))
+
+
 SCORES = {"up": Order("value", "id"), "down": Order("value", "id", descending=True)}
 
 
@@ -89,3 +100,44 @@ def test_dense_rank_of_equals_the_window(spark, descending):
     assert [(r.id, r.value, r["rank"]) for r in found.orderBy("id").collect()] == [
         (r.id, r.value, r["rank"]) for r in wanted.orderBy("id").collect()
     ]
+
+
+@pytest.mark.parametrize("kind", ["distinct", "hot", "few", "nulls"])
+def test_sketches_only_speed_up(spark, tmp_path, kind):
+    df = frame(spark, values(kind, 6000)) if kind != "few" else frame(spark, [i % 3 for i in range(6000)])
+    sketches = ordering.Sketches(list(SCORES.values()), 1024)
+    sketches.on(df).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    got = global_ntile(stored, 5, SCORES, sketches, sample_rows=300, collect_rows=300)
+    assert as_set(got) == as_set(local_ntile(df, 5, SCORES))
+
+
+def test_sketched_edges_take_two_passes(spark, tmp_path, monkeypatch):
+    """One pass counts and one collects, where most people have the same value as well."""
+    draw = random.Random(1)
+    rows = [(f"{draw.getrandbits(64):016x}", 1 if i % 20 else i, draw.randrange(10**6), draw.randrange(900)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id string, frequency int, cents int, days int")
+    df = df.select("id", "frequency", (F.col("cents") / 100).cast("decimal(12,2)").alias("money"), "days")
+    orders = [Order("frequency", "id"), Order("money", "id"), Order("days", "id", descending=True)]
+    sketches = ordering.Sketches(orders)
+    sketches.on(df).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    ranks, passes = tile_ranks(20_000, 5), Passes(monkeypatch)
+    wanted = keys_at_ranks(stored, orders, ranks, 20_000, collect_rows=10**6)
+    assert passes.made == []
+    assert keys_at_ranks(stored, orders, ranks, 20_000, collect_rows=400, sketches=sketches) == wanted
+    assert passes.made == ["_counted"]
+    passes.made.clear()
+    assert keys_at_ranks(stored, orders, ranks, 20_000, collect_rows=400) == wanted
+    assert len(passes.made) > 1
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_places_never_descend(spark, descending):
+    rows = [(i, v) for i in ("", "a", "ab", "abcdefgh", "é", "漢字", None) for v in (None, -5, 0, 3)]
+    for kind in ("int", "decimal(8,2)", "double"):
+        df = spark.createDataFrame(rows, "id string, v int").select("id", F.col("v").cast(kind).alias("v"))
+        order = Order("v", "id", descending)
+        found = df.orderBy(*(F.struct(*order.parts()),)).select(ordering.place(df, order).alias("p")).collect()
+        at = [r["p"] for r in found]
+        assert at == sorted(at)

@@ -12,9 +12,11 @@ from functools import reduce
 from math import ceil, sqrt
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+SKETCH_SIZE = 32_768  # places are known to about one in ten thousand
 SAMPLE_ROWS = 20_000
 COLLECT_ROWS = 20_000
 
@@ -38,9 +40,59 @@ class Order:
         return [value.isNotNull(), value, F.col(self.tie_break)]
 
 
+def place(df: DataFrame, order: Order) -> Column:
+    """A number that never descends along the order, so that sketches can tell where rows lie.
+
+    Whole units of the value, and below them the beginning of a text id; rows that it does not tell
+    apart share it, which costs a search for a rank more rows to look at.
+    """
+    kind, tie = df.schema[order.column].dataType, df.schema[order.tie_break].dataType
+    value, fraction = F.col(order.column), F.lit(0.0)
+    if isinstance(kind, T.DecimalType):
+        value = value * 10**kind.scale
+    value = value.cast("double")
+    if isinstance(tie, T.StringType) and not isinstance(kind, (T.DoubleType, T.FloatType)):
+        begins = F.rpad(F.hex(F.substring(F.col(order.tie_break).cast("binary"), 1, 6)), 12, "0")
+        fraction = F.coalesce(F.conv(begins, 16, 10).cast("double") / float(1 << 48), fraction)
+    end = F.lit(float("inf") if order.descending else float("-inf"))
+    return F.coalesce((-value if order.descending else value) + fraction, end)
+
+
+class Sketches:
+    """Quantile sketches of the places of some orders, made in the pass that writes a frame."""
+
+    def __init__(self, orders: list[Order], size: int = SKETCH_SIZE):
+        self.orders, self.size = orders, size
+        self._seen: Observation | None = None
+
+    def on(self, df: DataFrame) -> DataFrame:
+        self._seen = Observation()
+        sketched = (F.kll_sketch_agg_double(place(df, o), F.lit(self.size)).alias(f"s{i}") for i, o in enumerate(self.orders))
+        return df.observe(self._seen, *sketched)
+
+    def edges(self, df: DataFrame, total: int, ranks: list[int]) -> list[list[list[float]]] | None:
+        """Per order and rank, two places that most likely enclose it; None if nothing was sketched.
+
+        For the frame `on` was given, once it has been written.
+        """
+        if self._seen is None:
+            return None
+        margin = 4 / self.size
+        shares = [[min(1.0, max(0.0, r / total + side * margin)) for side in (-1, 1)] for r in ranks]
+        made = [self._seen.get[f"s{i}"] for i in range(len(self.orders))]
+        if None in made:
+            return None
+        asked = [F.kll_sketch_get_quantile_double(F.lit(bytearray(m)), F.lit(x)) for m in made for pair in shares for x in pair]
+        found = iter(df.sparkSession.range(1).select(*(a.alias(f"q{i}") for i, a in enumerate(asked))).first())
+        return [[[next(found), next(found)] for _ in ranks] for _ in self.orders]
+
+
 @dataclass
 class _Search:
-    """The rows in (low, high] of one order still hold the wanted rank; `below` rows precede them."""
+    """The rows in (low, high] of one order still hold the wanted rank; `below` rows precede them.
+
+    after, until  bounds of the same kind on the rows' places
+    """
 
     order: int
     rank: int
@@ -48,16 +100,24 @@ class _Search:
     below: int = 0
     low: tuple | None = None
     high: tuple | None = None
+    after: float | None = None
+    until: float | None = None
 
-    def condition(self, key: Column, literal) -> Column:
+    def condition(self, key: Column, literal, place: Column) -> Column:
         inside = F.lit(True)
+        if self.after is not None:
+            inside = inside & (place > self.after)
+        if self.until is not None:
+            inside = inside & (place <= self.until)
         if self.low is not None:
             inside = inside & (key > literal(self.low))
         if self.high is not None:
             inside = inside & (key <= literal(self.high))
         return inside
 
-    def covers(self, key: tuple) -> bool:
+    def covers(self, key: tuple, place: float) -> bool:
+        if (self.after is not None and place <= self.after) or (self.until is not None and place > self.until):
+            return False
         above = self.low is None or _python_order(key) > _python_order(self.low)
         return above and (self.high is None or _python_order(key) <= _python_order(self.high))
 
@@ -75,6 +135,7 @@ def keys_at_ranks(
     total: int,
     sample_rows: int = SAMPLE_ROWS,
     collect_rows: int = COLLECT_ROWS,
+    sketches: Sketches | None = None,
 ) -> list[list[tuple]]:
     """The exact sort keys at the given 1-based ranks of each order.
 
@@ -82,18 +143,26 @@ def keys_at_ranks(
     counts the rows up to them, which narrows the candidates by about sqrt(sample_rows). All
     ranks of all orders share the two passes of a round. Once few enough candidates are left
     they are sorted on the driver. The sample is chosen by a hash, so it steers only how fast
-    the search ends, never its result.
+    the search ends, never its result. With `sketches` of the orders the first round needs no
+    sample, and mostly no other round follows: one pass counts, one collects.
     """
-    names = [f"k{i}" for i in range(len(orders))]
+    names, places = [f"k{i}" for i in range(len(orders))], [f"p{i}" for i in range(len(orders))]
     keyed = df.select(
-        *(F.struct(*(c.alias(n) for c, n in zip(o.parts(), "fvt"))).alias(k) for o, k in zip(orders, names))
+        *(F.struct(*(c.alias(n) for c, n in zip(o.parts(), "fvt"))).alias(k) for o, k in zip(orders, names)),
+        *(place(df, o).alias(p) for o, p in zip(orders, places)),
     )
     types = {k: [field.dataType for field in keyed.schema[k].dataType] for k in names}
 
     def inside(s: _Search) -> Column:
-        return s.condition(F.col(names[s.order]), _literal(types[names[s.order]]))
+        return s.condition(F.col(names[s.order]), _literal(types[names[s.order]]), F.col(places[s.order]))
 
     searches = [_Search(i, rank, total) for i in range(len(orders)) for rank in ranks]
+    seeds = sketches.edges(df, total, ranks) if sketches is not None and total > collect_rows else None
+    if seeds:
+        own = [seeds[s.order][ranks.index(s.rank)] for s in searches]
+        counts = iter(_counted(keyed, [F.count_if(F.col(places[s.order]) <= x) for s, pair in zip(searches, own) for x in pair]))
+        for search, pair in zip(searches, own):
+            _narrow(search, [(x, next(counts)) for x in pair], "after", "until")
     attempt = 0
     while wide := [s for s in searches if s.rows > collect_rows]:
         attempt += 1
@@ -102,8 +171,7 @@ def keys_at_ranks(
         for s in wide:
             spread = F.xxhash64(names[s.order], F.lit(attempt))
             picks.append(inside(s) & (F.pmod(spread, F.lit(max(1, s.rows // sample_rows))) == 0))
-        sample = keyed.select(*names, F.array(*picks).alias("picks"))
-        sample = sample.where(F.array_contains("picks", True)).collect()
+        sample = _sampled(keyed.select(*names, F.array(*picks).alias("picks")))
         probes = []
         for i, s in enumerate(wide):
             own = sorted((tuple(r[s.order]) for r in sample if r.picks[i]), key=_python_order)
@@ -115,22 +183,33 @@ def keys_at_ranks(
         ]
         if not counters:
             continue
-        counts = iter(keyed.agg(*(c.alias(f"c{i}") for i, c in enumerate(counters))).first())
+        counts = iter(_counted(keyed, counters))
         for search, edges in zip(wide, probes):
             _narrow(search, [(edge, next(counts)) for edge in edges])
 
     parts = [F.col(f"{k}.{p}").alias(f"{k}{p}") for k in names for p in "fvt"]
-    left = keyed.where(reduce(or_, (inside(s) for s in searches))).select(*parts).toArrow()
+    left = keyed.where(reduce(or_, (inside(s) for s in searches))).select(*parts, *places).toArrow()
     found: list[list[tuple]] = [[] for _ in orders]
     for i, keys in enumerate(found):
         own = [s for s in searches if s.order == i]
         columns = [left.column(3 * i + p).to_pylist() for p in range(3)]
-        rows = sorted(zip(*columns, strict=True), key=_python_order)
+        at = left.column(3 * len(orders) + i).to_pylist()
+        rows = sorted(zip(zip(*columns, strict=True), at, strict=True), key=lambda r: _python_order(r[0]))
         for s in own:
-            keys.append([k for k in rows if s.covers(k)][s.rank - s.below - 1])
+            keys.append([k for k, x in rows if s.covers(k, x)][s.rank - s.below - 1])
     return found
 
 
+def _counted(keyed: DataFrame, counters: list[Column]) -> tuple:
+    """One pass that counts."""
+    return keyed.agg(*(c.alias(f"c{i}") for i, c in enumerate(counters))).first()
+
+
+def _sampled(picked: DataFrame) -> list:
+    """One pass that samples."""
+    return picked.where(F.array_contains("picks", True)).collect()
+
+
 def _literal(types: list):
     def of(values: tuple) -> Column:
         return F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(values, types, "fvt")))
@@ -149,14 +228,16 @@ def _probe(search: _Search, sample: list[tuple]) -> list[tuple]:
     return [sample[p] for p in sorted(positions) if 0 <= p < size]
 
 
-def _narrow(search: _Search, counted: list[tuple[tuple, int]]) -> None:
+def _narrow(search: _Search, counted: list[tuple], low: str = "low", high: str = "high") -> None:
     wanted = search.rank - search.below
     passed, end = 0, search.rows
     for edge, rows in counted:
         if rows < wanted:
-            search.low, passed = edge, rows
+            setattr(search, low, edge)
+            passed = rows
         else:
-            search.high, end = edge, rows
+            setattr(search, high, edge)
+            end = rows
             break
     search.below += passed
     search.rows = end - passed
@@ -169,7 +250,7 @@ def tile_ranks(total: int, tiles: int) -> list[int]:
 
 
 def global_ntile(
-    df: DataFrame, tiles: int, scores: dict[str, Order], **search_sizes: int
+    df: DataFrame, tiles: int, scores: dict[str, Order], sketches: Sketches | None = None, **search_sizes: int
 ) -> DataFrame:
     """Add NTILE columns by comparing each row with the exact tile edges: no shuffle.
 
@@ -181,7 +262,7 @@ def global_ntile(
     ranks = tile_ranks(total, tiles)
     wanted = sorted({r for r in ranks if r > 0})
     orders = list(scores.values())
-    edges = keys_at_ranks(df, orders, wanted, total, **search_sizes) if wanted else [[]] * len(orders)
+    edges = keys_at_ranks(df, orders, wanted, total, sketches=sketches, **search_sizes) if wanted else [[]] * len(orders)
     columns = []
     for name, order, keys in zip(scores, orders, edges):
         parts = order.parts()

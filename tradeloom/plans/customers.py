@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import money_mean, money_percent, percent, ratio
-from tradeloom.operators.ordering import Order, global_ntile
+from tradeloom.operators.ordering import Order, Sketches, global_ntile
 from tradeloom.operators.prefix import ranked
 from tradeloom.plans.revenue import paid_orders, pareto_segment
 from tradeloom.tables import Tables
@@ -69,7 +69,14 @@ def rfm_scores(t: Tables) -> DataFrame:
 
     The scores come from exact tile edges, at every size, with no task that sees all people.
     """
-    return t.once("rfm_base", lambda t: global_ntile(t.shared("rfm_base", rfm_base, always=True), TILES, SCORES))
+    return t.once("rfm_base", _scored)
+
+
+def _scored(t: Tables) -> DataFrame:
+    """The pass that writes the people also sketches where their values lie."""
+    sketches = Sketches(list(SCORES.values()))
+    people = t.shared("rfm_base", lambda t: sketches.on(rfm_base(t)), always=True)
+    return global_ntile(people, TILES, SCORES, sketches)
 
 
 def _accepts(bounds: dict[str, tuple[int, int]]) -> Column:
