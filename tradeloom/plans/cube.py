@@ -36,7 +36,7 @@ class Cube:
     rows: DataFrame
     dimensions: tuple[str, ...]
 
-    def measures(self, *by: str, where: Column | None = None) -> DataFrame:
+    def measures(self, *by: str, where: Column | str | None = None) -> DataFrame:
         """All measures per value of `by` over the cells that `where` keeps: two shuffles of cells."""
         rows = self.rows if where is None else self.rows.where(where)
         merged = rows.groupBy(*by, "kind", "word").agg(
