@@ -12,7 +12,7 @@ from functools import reduce
 from math import ceil, sqrt
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
