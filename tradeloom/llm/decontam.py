@@ -12,6 +12,8 @@ broadcast and passed over all documents; a larger benchmark takes more passes, n
 
 Null text has no words. Items or documents without words match nothing. A null `item_id` hits
 words but is not listed. Repeated items with one id count once; repeated documents each get a row.
+Texts of any length are searched whole. Without items nothing is hit; without documents there are
+no rows. `doc_id` is cast to long.
 """
 
 from __future__ import annotations

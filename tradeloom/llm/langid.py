@@ -8,7 +8,8 @@ penalties, which leaves most of them zero. A temperature is then fitted on a par
 that the weights have not seen, so that the score is a calibrated probability.
 
 A text that is null or has no letter is `und` with score 0. Without training rows every text is.
-Ties go to the language that sorts first. Repeated rows each get a row.
+Ties go to the language that sorts first. Repeated rows each get a row. Texts of any length are
+taken whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ step. The result is one compressed bitmap per document, not text.
 A line's key is the line without `[\\x20\\x09-\\x0D]` at its ends and with A-Z lower-cased; keys of
 fewer than `min_chars` code points are never dropped. Null and empty texts are one empty line.
 A null `doc_id` ranks below all others. Rows that repeat a doc_id are one document when holders
-are counted, and each gets its own result row.
+are counted, and each gets its own result row. Lines and texts of any length are taken whole. An
+empty table gives no rows. `doc_id` is cast to long.
 """
 
 from __future__ import annotations

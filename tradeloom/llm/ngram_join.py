@@ -19,7 +19,9 @@ bounded size, and a tile returns a forest of links, never all pairs. Links give
 sets count as one until the end.
 
 Shingles, sets and signatures are 64-bit hashes. Null and empty texts, and texts without words,
-have the empty set and link with nothing. A null `doc_id` ranks below all others.
+have the empty set and link with nothing. A null `doc_id` ranks below all others. Repeated rows each
+get a row and are linked if they have words. Texts of any length are taken whole. An empty table
+gives no rows. `doc_id` is cast to long.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ the most frequent words, a bounded list, are looked up where the text is; all ot
 buckets by hash, where they are counted and scored at once.
 
 Null texts are empty and have just the end symbol. Without training texts all scores are those
-of uniform models. Repeated rows each count and each get a row.
+of uniform models. Repeated rows each count and each get a row. Texts of any length are scored
+whole. An empty table gives no rows. `doc_id` is cast to long; other columns play no part.
 """
 
 from __future__ import annotations

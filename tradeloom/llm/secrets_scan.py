@@ -9,7 +9,8 @@ owner-specific live-looking credential. Base spans are always reported; opaque r
 reported when they look live and touch no base span.
 
 `source` is the repository; what stands before its first "/" is the owner. A null source counts
-as one unknown owner. Null and empty texts have no spans. Repeated rows each get a row.
+as one unknown owner. Null and empty texts have no spans. Repeated rows each get a row. Texts of
+any length are scanned whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

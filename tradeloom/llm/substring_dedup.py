@@ -1,22 +1,23 @@
-"""Removal of passages that repeat across documents, by prefix-partitioned suffix trees.
-
-The suffixes are those of the word sequences of all documents, and only nodes at depth `window`
-words matter: a node there that holds suffixes of two documents is a repeat.
-
-1. Prefixes. Among the `_PREFIX`-word prefixes that start inside a window, the one of least hash
-   stands for the window. Equal windows have equal prefixes, so a window can only repeat if its
-   prefix does. The prefixes of all documents are grouped; a document none of whose prefixes
-   occurs in another document is done.
-2. Subtrees. Of the other documents every suffix is extended to its full `window`-word prefix
-   and dealt by it to groups that fit in a task's memory (the longest prefix a split can need).
-   A task that sends suffixes keeps only those of the smallest document under each node and
-   settles the rest, so a passage that very many documents share reaches its group once per
-   task. Sorted by node and document, a group is the deep level of its subtree.
-3. Repeats. Suffixes of all but the smallest document of a node go; runs of them are merged to
+"""Removal of passages that repeat across documents, by groups of equal windows.
+
+A window is `window` consecutive words of one document. Windows are what the suffixes of the word
+sequences begin with, and two documents repeat each other where their suffixes share one. No
+suffix tree is built and prefixes do not vary in length: windows are grouped by the hash of all
+their words, which finds equal ones without sorting suffixes.
+
+1. Screen. Among the `_PREFIX`-word parts that start inside a window, the one of least hash stands
+   for the window. Equal windows have equal parts, so a window can only repeat if its part does.
+   The parts of all documents are grouped; a document none of whose parts occurs in another
+   document is done.
+2. Groups. Every window of the other documents is dealt by its hash to buckets, whose number grows
+   with the input. A task keeps only those of the smallest document per hash and settles the
+   rest, so a passage that very many documents share reaches its bucket once per task.
+3. Repeats. Windows of all but the smallest document of a hash go; runs of them are merged to
    maximal repeats per document, and their words are removed.
 
-Nodes are named by 64-bit hashes of their words. Null texts have no words; an empty text stays
-empty. A null `doc_id` ranks below all others. Rows with one doc_id do not repeat each other.
+Windows are told apart by 64-bit hashes. Null texts have no words; an empty text stays empty; texts
+of any length are cut whole. A null `doc_id` ranks below all others. Rows with one doc_id do not repeat
+each other, and each gets its own row. An empty table gives no rows. `doc_id` is cast to long.
 """
 
 from __future__ import annotations

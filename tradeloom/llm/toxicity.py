@@ -13,7 +13,9 @@ of the evidence alone. A document's score is a logistic function, fitted to the
 expected number of toxic tokens and of the probability that there is any.
 
 Tokens are runs of digits, letters and whatever lies beyond ASCII, A-Z lower-cased. Null and
-empty texts have no token. Without labelled documents of both classes every score is 0.
+empty texts have no token. Without labelled documents of both classes every score is 0. Texts of
+any length are scored whole; repeated rows each get a row and, if labelled, each count. A null doc_id
+has no label. An empty table gives no rows.
 """
 
 from __future__ import annotations
