@@ -3,6 +3,11 @@
 A stage is a function of the session, the documents its predecessor kept and the folder of the
 other tables. All but the last return documents with all their columns. Between stages the
 documents are written as Parquet to the shared folder and read again.
+
+Every stage takes null, empty and very long texts, null ids, repeated rows, empty tables and further
+columns, also of clashing names, as its operator's module states: texts without words are not toxic, link
+with nothing and leak nothing, equal ones are copies of each other, and a null id ranks below all others.
+An empty table passes through all stages as an empty one.
 """
 
 from __future__ import annotations
