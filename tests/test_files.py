@@ -86,7 +86,8 @@ def test_a_run_computes_shared_frames_once_and_leaves_no_scratch(spark, tmp_path
         monkeypatch.setattr(module, name, counted)
     clear_scratch(spark)
     t = orderlines.load(spark, SMALL)
-    run_all_reports(t, str(tmp_path))
+    found = rows(run_all_reports(t, str(tmp_path)))
+    assert [r for r in found if r["status"] != "written"] == []
     assert sorted(made) == ["_paid_orders", "_seller_metrics", "rfm_base"]
     assert not [p for p in glob.glob(f"{_own_folder(spark)}/*")]
     assert not t._shared and not t._facts.get("rfm_base")

@@ -21,7 +21,7 @@ class Passes:
 
     def __init__(self, monkeypatch):
         self.made = []
-        for name in ("_counted", "_sampled"):
+        for name in ("_counted", "_sampled", "_sketched"):
             original = getattr(ordering, name)
             monkeypatch.setattr(ordering, name, lambda *a, name=name, original=original: self.made.append(name) or original(*a))
 
@@ -102,34 +102,29 @@ def test_dense_rank_of_equals_the_window(spark, descending):
     ]
 
 
-@pytest.mark.parametrize("kind", ["distinct", "hot", "few", "nulls"])
-def test_sketches_only_speed_up(spark, tmp_path, kind):
-    df = frame(spark, values(kind, 6000)) if kind != "few" else frame(spark, [i % 3 for i in range(6000)])
-    sketches = ordering.Sketches(list(SCORES.values()), 1024)
-    sketches.on(df).write.parquet(str(tmp_path / "t"))
-    stored = spark.read.parquet(str(tmp_path / "t"))
-    got = global_ntile(stored, 5, SCORES, sketches, sample_rows=300, collect_rows=300)
+@pytest.mark.parametrize("kind", ["tied", "nulls", "spread"])
+@pytest.mark.parametrize("sketch_size", [None, 64])
+def test_sketches_only_speed_up(spark, kind, sketch_size):
+    df = frame(spark, values(kind, 3000)).cache()
+    got = global_ntile(df, 5, SCORES, sample_rows=300, collect_rows=200, sketch_size=sketch_size)
     assert as_set(got) == as_set(local_ntile(df, 5, SCORES))
 
 
-def test_sketched_edges_take_two_passes(spark, tmp_path, monkeypatch):
-    """One pass counts and one collects, where most people have the same value as well."""
+def test_sketched_edges_take_few_passes(spark, monkeypatch):
+    """One pass sketches, one counts and one collects, where most people have the same value as well."""
     draw = random.Random(1)
     rows = [(f"{draw.getrandbits(64):016x}", 1 if i % 20 else i, draw.randrange(10**6), draw.randrange(900)) for i in range(20_000)]
     df = spark.createDataFrame(rows, "id string, frequency int, cents int, days int")
-    df = df.select("id", "frequency", (F.col("cents") / 100).cast("decimal(12,2)").alias("money"), "days")
+    df = df.select("id", "frequency", (F.col("cents") / 100).cast("decimal(12,2)").alias("money"), "days").cache()
     orders = [Order("frequency", "id"), Order("money", "id"), Order("days", "id", descending=True)]
-    sketches = ordering.Sketches(orders)
-    sketches.on(df).write.parquet(str(tmp_path / "t"))
-    stored = spark.read.parquet(str(tmp_path / "t"))
     ranks, passes = tile_ranks(20_000, 5), Passes(monkeypatch)
-    wanted = keys_at_ranks(stored, orders, ranks, 20_000, collect_rows=10**6)
+    wanted = keys_at_ranks(df, orders, ranks, 20_000, collect_rows=10**6)
     assert passes.made == []
-    assert keys_at_ranks(stored, orders, ranks, 20_000, collect_rows=400, sketches=sketches) == wanted
-    assert passes.made == ["_counted"]
+    assert keys_at_ranks(df, orders, ranks, 20_000, collect_rows=400) == wanted
+    assert passes.made == ["_sketched", "_counted"]
     passes.made.clear()
-    assert keys_at_ranks(stored, orders, ranks, 20_000, collect_rows=400) == wanted
-    assert len(passes.made) > 1
+    assert keys_at_ranks(df, orders, ranks, 20_000, collect_rows=400, sketch_size=None) == wanted
+    assert len(passes.made) > 2
 
 
 @pytest.mark.parametrize("descending", [False, True])

@@ -12,7 +12,7 @@ from functools import reduce
 from math import ceil, sqrt
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,33 +58,12 @@ def place(df: DataFrame, order: Order) -> Column:
     return F.coalesce((-value if order.descending else value) + fraction, end)
 
 
-class Sketches:
-    """Quantile sketches of the places of some orders, made in the pass that writes a frame."""
-
-    def __init__(self, orders: list[Order], size: int = SKETCH_SIZE):
-        self.orders, self.size = orders, size
-        self._seen: Observation | None = None
-
-    def on(self, df: DataFrame) -> DataFrame:
-        self._seen = Observation()
-        sketched = (F.kll_sketch_agg_double(place(df, o), F.lit(self.size)).alias(f"s{i}") for i, o in enumerate(self.orders))
-        return df.observe(self._seen, *sketched)
-
-    def edges(self, df: DataFrame, total: int, ranks: list[int]) -> list[list[list[float]]] | None:
-        """Per order and rank, two places that most likely enclose it; None if nothing was sketched.
-
-        For the frame `on` was given, once it has been written.
-        """
-        if self._seen is None:
-            return None
-        margin = 4 / self.size
-        shares = [[min(1.0, max(0.0, r / total + side * margin)) for side in (-1, 1)] for r in ranks]
-        made = [self._seen.get[f"s{i}"] for i in range(len(self.orders))]
-        if None in made:
-            return None
-        asked = [F.kll_sketch_get_quantile_double(F.lit(bytearray(m)), F.lit(x)) for m in made for pair in shares for x in pair]
-        found = iter(df.sparkSession.range(1).select(*(a.alias(f"q{i}") for i, a in enumerate(asked))).first())
-        return [[[next(found), next(found)] for _ in ranks] for _ in self.orders]
+def _sketched(keyed: DataFrame, places: list[str], shares: list[float], size: int) -> list[list[float]]:
+    """One pass that sketches: per column of places, those at the given shares of the rows."""
+    made = keyed.agg(*(F.kll_sketch_agg_double(p, F.lit(size)).alias(p) for p in places))
+    asked = (F.kll_sketch_get_quantile_double(p, F.lit(x)).alias(f"{p}_{i}") for p in places for i, x in enumerate(shares))
+    found = iter(made.select(*asked).first())
+    return [[next(found) for _ in shares] for _ in places]
 
 
 @dataclass
@@ -135,7 +114,7 @@ def keys_at_ranks(
     total: int,
     sample_rows: int = SAMPLE_ROWS,
     collect_rows: int = COLLECT_ROWS,
-    sketches: Sketches | None = None,
+    sketch_size: int | None = SKETCH_SIZE,
 ) -> list[list[tuple]]:
     """The exact sort keys at the given 1-based ranks of each order.
 
@@ -143,8 +122,9 @@ def keys_at_ranks(
     counts the rows up to them, which narrows the candidates by about sqrt(sample_rows). All
     ranks of all orders share the two passes of a round. Once few enough candidates are left
     they are sorted on the driver. The sample is chosen by a hash, so it steers only how fast
-    the search ends, never its result. With `sketches` of the orders the first round needs no
-    sample, and mostly no other round follows: one pass counts, one collects.
+    the search ends, never its result. The first round takes its two keys from quantile sketches of
+    the places of the rows instead of a sample, and mostly no other round follows: one pass
+    sketches all orders, one counts, one collects.
     """
     names, places = [f"k{i}" for i in range(len(orders))], [f"p{i}" for i in range(len(orders))]
     keyed = df.select(
@@ -157,9 +137,11 @@ def keys_at_ranks(
         return s.condition(F.col(names[s.order]), _literal(types[names[s.order]]), F.col(places[s.order]))
 
     searches = [_Search(i, rank, total) for i in range(len(orders)) for rank in ranks]
-    seeds = sketches.edges(df, total, ranks) if sketches is not None and total > collect_rows else None
-    if seeds:
-        own = [seeds[s.order][ranks.index(s.rank)] for s in searches]
+    if sketch_size and total > collect_rows:
+        margin = 4 / sketch_size
+        shares = [min(1.0, max(0.0, r / total + side * margin)) for r in ranks for side in (-1, 1)]
+        seeds = _sketched(keyed, places, shares, sketch_size)
+        own = [seeds[s.order][2 * at : 2 * at + 2] for s in searches for at in [ranks.index(s.rank)]]
         counts = iter(_counted(keyed, [F.count_if(F.col(places[s.order]) <= x) for s, pair in zip(searches, own) for x in pair]))
         for search, pair in zip(searches, own):
             _narrow(search, [(x, next(counts)) for x in pair], "after", "until")
@@ -250,7 +232,7 @@ def tile_ranks(total: int, tiles: int) -> list[int]:
 
 
 def global_ntile(
-    df: DataFrame, tiles: int, scores: dict[str, Order], sketches: Sketches | None = None, **search_sizes: int
+    df: DataFrame, tiles: int, scores: dict[str, Order], **search_sizes: int | None
 ) -> DataFrame:
     """Add NTILE columns by comparing each row with the exact tile edges: no shuffle.
 
@@ -262,7 +244,7 @@ def global_ntile(
     ranks = tile_ranks(total, tiles)
     wanted = sorted({r for r in ranks if r > 0})
     orders = list(scores.values())
-    edges = keys_at_ranks(df, orders, wanted, total, sketches=sketches, **search_sizes) if wanted else [[]] * len(orders)
+    edges = keys_at_ranks(df, orders, wanted, total, **search_sizes) if wanted else [[]] * len(orders)
     columns = []
     for name, order, keys in zip(scores, orders, edges):
         parts = order.parts()
