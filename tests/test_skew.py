@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, all_limits_at_zero, as_set
+from tradeloom.operators.sizing import tasks_for
 from tradeloom.operators.skew import SALT, find_hot_keys, spread_join
-from tradeloom.plans import catalog, customers, sellers
+from tradeloom.plans import catalog, customers, sellers, star
 from tradeloom.sources import orderlines
 from tradeloom.tables import Tables
 
@@ -130,3 +133,42 @@ def test_lines_are_shuffled_once_per_order_key(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 4
     assert "Expand" not in text and "Window" not in text
+
+
+@pytest.fixture
+def small_tasks(spark):
+    """Tasks of so few bytes that the small tables need more of them than the session has."""
+    spark.conf.set("spark.tradeloom.taskBytes", "1000")
+    yield
+    spark.conf.unset("spark.tradeloom.taskBytes")
+
+
+def held_by_tasks(df) -> set[int]:
+    """How many tasks the shuffles by order have."""
+    return {int(n) for n in re.findall(r"hashpartitioning\(order_id#\d+L?, (\d+)\)", plan(df))}
+
+
+@pytest.mark.parametrize("report", [sellers.seller_metrics, sellers.category_metrics, star.fact_sales])
+def test_tasks_of_the_order_lines_grow_with_the_input(spark, small_tasks, report):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t = orderlines.load(spark, SMALL)
+    tasks = held_by_tasks(report(t))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    needed = tasks_for(t["order_items"])
+    assert needed > 2 * spark.sparkContext.defaultParallelism
+    # Both sides of the join of lines and orders have them, whatever the session's number.
+    assert max(tasks) >= needed
+    assert max(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["seller_metrics", "category_performance", "bi_measures"])
+def test_many_tasks_give_what_few_give(spark, name):
+    report = catalog.reports()[name]
+    few = as_set(report(skewed(spark)))
+    spark.conf.set("spark.tradeloom.taskBytes", "4000")
+    many = as_set(report(skewed(spark)))
+    with all_limits_at_zero(spark):
+        salted = as_set(report(skewed(spark)))
+    spark.conf.unset("spark.tradeloom.taskBytes")
+    assert many == few
+    assert salted == few

@@ -104,6 +104,7 @@ def lines_by_category(t: Tables, *columns: str) -> DataFrame:
         "product_id",
         lambda: t.hot("order_items", "product_id"),
         ["order_id", "order_item_id"],
+        sized=True,
     )
 
 
