@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from tradeloom.functions.columns import money_mean, month_label, month_number, ratio
 from tradeloom.operators.bitmaps import WORD
 from tradeloom.operators.scratch import written
+from tradeloom.operators.sizing import dealt, tasks_for, within
 from tradeloom.operators.skew import find_hot_keys, lookup_join
 from tradeloom.plans import star
 from tradeloom.tables import Tables
 
 DIMENSIONS = ("order_month", "customer_state", "category", "seller_state")
 _OF_ORDER, _OF_PERSON = ("order_month", "customer_state"), ("customer_state",)
-_ROWS_PER_BUCKET = 500_000
+_ROWS_PER_BUCKET = 200_000
 _SUMS = ("revenue", "lines", "late")
 _SETS = ("bits", "repeated")
 
@@ -57,11 +58,14 @@ class Cube:
 
 def _cells(t: Tables, dimensions: tuple[str, ...]) -> DataFrame:
     """Facts per order and cell, written: a hot order is one row per cell before it meets its person."""
-    fact = star.fact_sales(t)
+    fact, shuffled = star.fact_sales(t), False
     for dimension, key, column in ((star.dim_product, "product_id", "category"), (star.dim_seller, "seller_id", "seller_state")):
         if column in dimensions:
             side = dimension(t).select(key, column)
-            fact = lookup_join(fact, side, key, lambda k=key: t.hot("order_items", k), ["order_id"], "left")
+            shuffled |= not within(side, "spark.tradeloom.broadcastBytes")
+            fact = lookup_join(fact, side, key, lambda k=key: t.hot("order_items", k), ["order_id"], "left", sized=True)
+    if shuffled and not t.hot("order_items", "order_id"):
+        fact = dealt(fact, tasks_for(fact), "order_id")
     fact = fact.withColumn("order_month", month_label(month_number(F.col("order_date"))))
     fact = fact.withColumn("repeats", F.col("order_count") > 1)
     own = [d for d in dimensions if d != "customer_state"]
@@ -70,7 +74,7 @@ def _cells(t: Tables, dimensions: tuple[str, ...]) -> DataFrame:
     )
     if "customer_state" in dimensions:
         people = star.dim_customer(t).select("customer_id", "customer_state")
-        cells = lookup_join(cells, people, "customer_id", lambda: find_hot_keys(cells, "customer_id"), ["order_id"], "left")
+        cells = lookup_join(cells, people, "customer_id", lambda: find_hot_keys(cells, "customer_id"), ["order_id"], "left", sized=True)
     return written(cells, "cube_cells")
 
 
@@ -79,6 +83,8 @@ def _numbered(rows: DataFrame, key: str, first: list[str]) -> DataFrame:
     rows = rows.where(F.col(key).isNotNull())
     buckets = max(1, math.ceil(rows.count() / _ROWS_PER_BUCKET))
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    if buckets > rows.sparkSession.sparkContext.defaultParallelism:
+        bucketed = dealt(bucketed, buckets, "bucket")
     number = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*first, key)) - 1
     numbered = bucketed.withColumn("number", number)
     bit = F.expr(f"shiftleft(1L, CAST(number % {WORD} AS INT))")
@@ -91,13 +97,16 @@ def build(t: Tables, dimensions: tuple[str, ...] = DIMENSIONS) -> Cube:
     cells = _cells(t, dimensions)
     none = F.lit(0).cast("long")
     orders = _numbered(cells, "order_id", [d for d in _OF_ORDER if d in dimensions])
-    persons = cells.groupBy("customer_id", "repeats", *dimensions).agg(F.lit(1).alias("one"))
+    # A person with very many orders collapses before the shuffle; without one, tasks are sized.
+    tasks = None if find_hot_keys(cells, "customer_id") else tasks_for(cells)
+    persons = dealt(cells, tasks, "customer_id", *dimensions).groupBy("customer_id", "repeats", *dimensions).agg(F.lit(1).alias("one"))
     people = _numbered(written(persons, "cube_people"), "customer_id", [d for d in _OF_PERSON if d in dimensions])
     own = lambda kind: F.lit(kind).alias("kind")
     lines = cells.groupBy(*dimensions).agg(*(F.sum(c).alias(c) for c in _SUMS))
     parts = [lines.select(*dimensions, own("lines"), F.lit(None).cast("long").alias("word"), *_SUMS, none.alias("bits"), none.alias("repeated"))]
     for kind, rows, repeated in (("orders", orders, none), ("people", people, F.when(F.col("repeats"), F.col("bit")).otherwise(none))):
-        words = rows.groupBy(*dimensions, "word").agg(F.bit_or("bit").alias("bits"), F.bit_or(repeated).alias("repeated"))
+        # A word lies in one bucket: grouped by both, words are merged where they were numbered.
+        words = rows.groupBy(*dimensions, "bucket", "word").agg(F.bit_or("bit").alias("bits"), F.bit_or(repeated).alias("repeated"))
         empty = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in _SUMS]
         parts.append(words.select(*dimensions, own(kind), "word", *empty, *_SETS))
     return Cube(written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "cube"), dimensions)
