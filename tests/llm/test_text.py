@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tradeloom.llm import fuse, line_dedup
+from tradeloom.llm import fuse, line_dedup, ppm
 from tradeloom.llm import text as tx
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aZ9 \t\n.é漢🙂\x00", max_size=30)), max_size=8)
@@ -62,3 +63,22 @@ def test_fuse_filters_never_miss():
         assert made.maybe(keys).all()
         others = np.random.default_rng(n + 1).integers(0, 2**63, 20_000).astype(np.uint64)
         assert made.maybe(others).mean() < 0.01
+
+
+def test_memory_of_a_block(monkeypatch):
+    """Words, windows and grams of long batches: several such tasks share an executor with its heap."""
+    numbers = np.random.default_rng(5).integers(0, 9999, (800, 2000))
+    texts = pa.array([" ".join(map(str, row)) for row in numbers])
+    for powers in (tx._BYTE_POWERS, tx._WORD_POWERS):
+        monkeypatch.setattr(powers, "up", np.ones(1, tx.U64))
+        monkeypatch.setattr(powers, "down", np.ones(1, tx.U64))
+    tracemalloc.start()
+    try:
+        for block in tx.blocks(texts):
+            words = tx.Words(block, tx.WHITE, lower=False)
+            tx.windows(words.hashes(), words.bounds, 50)
+            np.sort(ppm.grams(*ppm.symbols(block), ppm.ORDER))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 90e6

@@ -43,7 +43,7 @@ from tradeloom.llm.tasks import (
 from tradeloom.llm.text import U64, mix
 
 _PREFIX = 25
-_CHUNK = 1_500_000  # suffixes a task sorts at once
+_CHUNK = 600_000  # suffixes a task sorts at once; some 200 bytes each
 _BUCKET_BYTES = 4 << 20  # input bytes per group of suffixes
 _NULL_ID = -(1 << 63)
 
@@ -189,6 +189,7 @@ def repeated_suffixes(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
         def flush():
             node, d, row, at = (np.concatenate([h[k] for h in held]) for k in range(4))
+            held.clear()
             order = np.lexsort((d, node))
             node, d, row, at = node[order], d[order], row[order], at[order]
             new = np.r_[True, node[1:] != node[:-1]]
@@ -203,7 +204,7 @@ def repeated_suffixes(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 yield packed_runs(
                     _buckets_of(target, buckets), owner,
                     [who, np.full(len(who), 0, np.int64) if decided else rank],
-                    [np.zeros(int(chosen.sum()), U64) if decided else node[chosen], at[chosen].astype(np.uint32)],
+                    [np.zeros(int(chosen.sum()), U64) if decided else node[chosen], at[chosen]],
                 ).append_column("decided", pa.array([decided] * len(np.unique(_buckets_of(target, buckets)))))
 
         for batch in batches:
@@ -213,7 +214,7 @@ def repeated_suffixes(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 starts, nodes = tx.windows(words.hashes(), words.bounds, window)
                 doc = np.searchsorted(words.bounds, starts, "right") - 1
                 own = block.first + doc
-                held.append((nodes, d[own], row[own], starts - words.bounds[doc]))
+                held.append((nodes, d[own], row[own], (starts - words.bounds[doc]).astype(np.uint32)))
                 size += len(nodes)
                 if size >= _CHUNK:
                     yield from flush()
