@@ -47,9 +47,9 @@ SYMBOLS = 257  # the end of a text, which also stands before it, and 256 bytes
 ORDER = 6
 ROOT = 2  # contexts up to this order are sent to all tasks
 _BITS = 9  # of a symbol in a code
-_CHUNK_BYTES = 16 << 20  # input bytes per chunk of texts whose grams are collapsed
+_CHUNK_BYTES = 10 << 20  # input bytes per chunk of texts whose grams are collapsed
 _HEAVY = 1 << 17  # words that are looked up in place
-_CHUNK = 2_000_000  # distinct entries a task holds
+_CHUNK = 1_000_000  # distinct entries a task holds
 _BUCKET_BYTES = 8 << 20  # input bytes per bucket of words
 
 
