@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tests.test_skew import plan
 from tradeloom import jobs
+from tradeloom.operators import bitmaps
 from tradeloom.schemas import TABLES
 from tradeloom.sources import files, ingest
 
@@ -170,6 +174,46 @@ def test_first_rows_without_a_broadcast(spark, forced):
     assert {r["k"]: (r["p"], r["v"]) for r in ingest.first_per_key(df, ("k",), df["p"]).collect()} == first
 
 
+def test_rows_of_single_keys_are_not_moved_beside_many_repeated_ones(spark, forced):
+    """With too many repeated keys for a lookup: one shuffle, of the rows that may be among them."""
+    df = spark.createDataFrame([(i % 900, i, f"v{i}") for i in range(1200)], "k int, p int, v string").repartition(3)
+    first = ingest.first_per_key(df, ("k",), df["p"])
+    assert plan(first).count("Exchange hashpartitioning") == 1
+    assert {r["k"]: (r["p"], r["v"]) for r in first.collect()} == {i: (i, f"v{i}") for i in range(900)}
+
+
+def test_very_many_copies_of_a_key_collapse_before_they_are_moved(spark, forced, monkeypatch):
+    monkeypatch.setattr(ingest, "_MANY_COPIES", 100)
+    df = spark.createDataFrame([(i % 50 if i % 2 else None, i) for i in range(1000)], "k int, p int").repartition(3)
+    spark.conf.set("spark.tradeloom.taskBytes", "100")
+    try:
+        first = ingest.first_per_key(df, ("k",), df["p"])
+        assert not re.search(r"hashpartitioning\(_key_hash#\d+L, \d+\), REPARTITION", plan(first))
+        assert {r["k"]: r["p"] for r in first.collect()} == {None: 0} | {i: i for i in range(50) if i % 2}
+    finally:
+        spark.conf.unset("spark.tradeloom.taskBytes")
+
+
+@pytest.mark.parametrize("count", [1, 3000])
+def test_a_bitmap_of_hashes_misses_none_of_them(spark, count):
+    rows_ = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    found = bitmaps.may_be_among(rows_, rows_.where(F.col("id") < count).select("h"), "h", count, "held")
+    held = {r["id"]: r["held"] for r in found.collect()}
+    assert len(held) == 20_000 and all(held[i] for i in range(count))
+    assert sum(held.values()) < count + 2_000
+
+
+def test_orders_are_not_moved_to_find_those_without_a_customer(spark, source, tmp_path, monkeypatch):
+    monkeypatch.delattr(ingest, "_marked")
+    found = {r["table_name"]: r for r in rows(ingest.load_folder(spark, source, str(tmp_path / "out")))}
+    assert (found["orders"]["rows_orphan"], found["orders"]["rows_loaded"]) == (1, 2)
+
+
+def test_orders_with_too_many_unknown_customers_for_a_lookup(spark, source, tmp_path, forced):
+    found = {r["table_name"]: r for r in rows(ingest.load_folder(spark, source, str(tmp_path / "out")))}
+    assert (found["orders"]["rows_orphan"], found["orders"]["rows_loaded"]) == (1, 2)
+
+
 def test_bulk_load_goes_by_position(spark, tmp_path):
     (tmp_path / "p.csv").write_text(PAYMENTS.replace("order_id,payment_seq", "a,b"))
     found = ingest.bulk_load(spark, str(tmp_path / "p.csv"), TABLES["order_payments"])

@@ -97,7 +97,7 @@ def write_load(df: DataFrame, path: str, name: str) -> None:
     if name == "orders":
         split = [FATE, ORDER_MONTH]
         df = with_month(df).hint("rebalance", *split)
-    df.write.partitionBy(*split).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*split).parquet(path)
 
 
 def replace_table(df: DataFrame, folder: str, name: str) -> snapshots.Snapshot:

@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradeloom.operators.bitmaps import may_be_among
 from tradeloom.operators.scratch import discard, scratch_path, written
-from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, lookup_join, spread_join
+from tradeloom.operators.sizing import dealt, tasks_for, within
+from tradeloom.operators.skew import SALT, HotKeys, find_hot_keys, spread_join
 from tradeloom.schemas import TABLES, TableSpec
 from tradeloom.sources import csv_records, snapshots
 from tradeloom.sources.files import find, is_stored, read_table, stored_schema, table_path, write_load
@@ -31,6 +33,7 @@ POSITION = "_position"
 REJECTED = "_rejected"
 MALFORMED = "_malformed"
 _HASH, _REPEATED = "_key_hash", "_repeated"
+_MANY_COPIES = 100_000  # of one key, which a task can hold
 _LOG = logging.getLogger(__name__)
 
 
@@ -151,26 +154,35 @@ def first_per_key(df: DataFrame, key: tuple[str, ...], order: Column | None = No
     """The first row of each key by `order`, or the least row if there is no order.
 
     Rows are not moved to find out that their key is theirs alone: hashes of the keys are counted,
-    and only rows of a repeated hash are chosen from (two keys of one hash cost a choice, nothing
-    more). That choice is an aggregate rather than a numbering window: copies of a key collapse
-    on the map side, so a key with very many copies is no burden on one task.
+    and only rows of a repeated hash are moved and chosen from (two keys of one hash cost a choice,
+    nothing more). With too many repeated hashes for a lookup a bitmap tells most rows that are not
+    among them; those it does not tell are moved for nothing. The choice is an aggregate rather than
+    a numbering window: copies of a key collapse on the map side where a key has very many.
     """
     hashed = df.withColumn(_HASH, F.xxhash64(*key))
     counts = hashed.groupBy(_HASH).agg(F.count("*").alias("rows"))
-    repeated = counts.where("rows > 1").select(_HASH, F.lit(True).alias(_REPEATED))
-    repeated = written(repeated, "repeated_keys")
-    if repeated.isEmpty():
+    repeated = written(counts.where("rows > 1"), "repeated_keys")
+    found = repeated.agg(F.count("*").alias("hashes"), F.max("rows").alias("most")).first()
+    if not found["hashes"]:
         return df
-    marked = lookup_join(hashed, repeated, _HASH, lambda: find_hot_keys(hashed, _HASH), [c for c in df.columns if c not in key], "left")
-    alone = marked.where(F.col(_REPEATED).isNull()).select(df.columns)
-    return alone.unionByName(_chosen(marked.where(_REPEATED).select(df.columns), key, order))
+    if within(repeated, "spark.tradeloom.broadcastBytes"):
+        known = F.broadcast(repeated.select(_HASH, F.lit(True).alias(_REPEATED)))
+        marked = hashed.join(known, _HASH, "left").withColumn(_REPEATED, F.col(_REPEATED).isNotNull())
+    else:
+        marked = may_be_among(hashed, repeated, _HASH, found["hashes"], _REPEATED)
+    alone = marked.where(~F.col(_REPEATED)).select(df.columns)
+    some = marked.where(_REPEATED).select(*df.columns, _HASH)
+    if found["most"] <= _MANY_COPIES:
+        some = dealt(some, tasks_for(some), _HASH)
+    return alone.unionByName(_chosen(some, key, order).select(df.columns))
 
 
 def _chosen(df: DataFrame, key: tuple[str, ...], order: Column | None) -> DataFrame:
-    row = F.struct(*(c for c in df.columns if c not in key))
+    """Grouped by the hash too, by which rows may have been dealt."""
+    row = F.struct(*(c for c in df.columns if c not in key and c != _HASH))
     first = F.min(row) if order is None else F.min_by(row, order)
-    grouped = df.groupBy(*key).agg(first.alias("row"))
-    return grouped.select(*(F.col(c) if c in key else F.col(f"row.{c}") for c in df.columns))
+    grouped = df.groupBy(_HASH, *key).agg(first.alias("row"))
+    return grouped.select(*(F.col(c) if c in key else F.col(f"row.{c}") for c in df.columns if c != _HASH))
 
 
 def _marked(
@@ -260,7 +272,7 @@ def load_table(spark: SparkSession, source: str, target: str, spec: TableSpec) -
         return LoadStatus(spec.name, "skipped: empty")
     # Parsed once; the counts and the checks below read the staged columns they need.
     path = scratch_path(spark, f"stage_{spec.name}")
-    stage(raw, spec).write.parquet(path)
+    stage(raw, spec).write.option("compression", "zstd").parquet(path)
     try:
         return _load_staged(spark, spark.read.parquet(path), target, spec)
     finally:
@@ -283,15 +295,23 @@ def _load_staged(spark: SparkSession, staged: DataFrame, target: str, spec: Tabl
     rejected = {c: counts[f"reject_{c}"] for c in spec.columns if counts[f"reject_{c}"]}
     keyed = counts["read"] - counts["malformed"] - counts["without_key"]
 
-    first = first_per_key(staged.where(has_key), spec.key, F.col(POSITION)).select(spec.columns)
+    keyed_rows = staged.where(has_key)
+    first = first_per_key(keyed_rows.select(*spec.columns, POSITION), spec.key, F.col(POSITION)).select(spec.columns)
     fate = first.withColumn(FATE, F.lit(LOADED))
     if spec.parent is not None:
         column, parent = spec.parent
         parents = spark.createDataFrame([], TABLES[parent].schema)
         if is_stored(spark, target, parent):
             parents = read_table(spark, target, parent)
-        marked = _marked(first, parents, column, spec.key[0], find_hot_keys(staged, column))
-        lost = F.col("_known").isNull() & F.col(column).isNotNull()
+        # Only ids are moved to find the lost ones, which are few in a sound file.
+        asked = keyed_rows.select(column).where(F.col(column).isNotNull()).distinct()
+        unknown = written(asked.join(parents.select(column).distinct(), column, "left_anti"), "unknown_parents")
+        if within(unknown, "spark.tradeloom.broadcastBytes"):
+            marked = first.join(F.broadcast(unknown.withColumn("_lost", F.lit(True))), column, "left")
+            lost = F.col("_lost").isNotNull()
+        else:
+            marked = _marked(first, parents, column, spec.key[0], find_hot_keys(staged, column))
+            lost = F.col("_known").isNull() & F.col(column).isNotNull()
         fate = marked.select(*spec.columns, F.when(lost, "orphan").otherwise(LOADED).alias(FATE))
     table = table_path(target, spec.name)
     seen = snapshots.current(spark, table)
