@@ -214,3 +214,27 @@ def test_a_refresh_reads_only_the_lines_of_its_loads(spark, tmp_path):
     assert all(loads[1].folder in f for f in some["order_items"].inputFiles())
     assert re.search(rf"PartitionFilters: \[[^]]*order_month#\d+ = {month}\)", plan(some["orders"]))
     assert as_set(star.read_star(spark, out)["fact_sales"]) == as_set(star.fact_sales(t))
+
+
+def test_a_refresh_joins_the_lines_of_its_months_once_without_moving_them(spark, tmp_path, monkeypatch):
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "star")
+    files.save(_typed(orderlines.load(spark, SMALL)), tables)
+    star.write_star(files.load(spark, tables), out)
+    joined, original = [], star._lines_with
+
+    def noted(t, *given):
+        joined.append(original(t, *given))
+        return joined[-1]
+
+    monkeypatch.setattr(star, "_lines_with", noted)
+    star.refresh_star(spark, tables, out, ["1996-03"])
+    assert len(joined) == 1 and "Exchange hashpartitioning" not in plan(joined[0])
+
+
+def test_a_refresh_of_many_orders_moves_the_lines(spark, tmp_path, forced):
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "star")
+    t = _typed(orderlines.load(spark, SMALL))
+    files.save(t, tables)
+    star.write_star(files.load(spark, tables), out)
+    star.refresh_star(spark, tables, out, ["1996-03"])
+    assert as_set(star.read_star(spark, out)["fact_sales"]) == as_set(star.fact_sales(t))

@@ -43,10 +43,13 @@ def _order_facts(t: Tables) -> DataFrame:
     return joined.select("order_id", F.col("person").alias("customer_id"), "order_date", "is_late")
 
 
-def _lines_with(t: Tables, orders: DataFrame) -> DataFrame:
+def _lines_with(t: Tables, orders: DataFrame, few: bool = False) -> DataFrame:
+    """Order lines with their orders' facts; `few` orders are broadcast and the lines not moved."""
     lines = t["order_items"].select(
         "order_id", "order_item_id", "product_id", "seller_id", F.col("price").alias("revenue")
     )
+    if few:
+        return lines.join(F.broadcast(orders), "order_id").drop("order_item_id")
     hot = t.hot("order_items", "order_id")
     joined = spread_join(lines, orders, "order_id", hot, ["order_item_id", "product_id"])
     return joined.drop(SALT, "order_item_id")
@@ -133,21 +136,21 @@ DIMENSIONS = (dim_customer, dim_product, dim_seller, dim_date)
 _FACTS, _PERSON_ORDERS = "fact_lines", "person_orders"
 
 
-def _write_months(t: Tables, folder: str) -> None:
-    """The facts of all orders of `t`, replacing the months that these have.
+def _write_months(spark: SparkSession, folder: str, sold: DataFrame, months: list[str] | None = None) -> None:
+    """The facts `sold`, replacing the months that these have: `months`, or all that are stored.
 
     A person's number of orders changes with every month, so it is not part of the stored lines but
     of a table of orders per person and month: a month can be replaced without touching others.
     """
     month = month_label(month_number(F.col("order_date")))
-    lines = sales(t).withColumn("order_month", month).hint("rebalance", "order_month")
+    lines = sold.withColumn("order_month", month).hint("rebalance", "order_month")
 
     def write(df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("order_month").parquet(f"{folder}/{name}")
 
     write(lines, _FACTS)
-    months = t["orders"].select(month_label(month_number(F.col("order_purchase_timestamp"))).alias("order_month"))
-    written_lines = _stored(t.spark, folder, _FACTS).join(F.broadcast(months.distinct()), "order_month", "left_semi")
+    own = F.col("order_month").isNotNull() if months is None else F.col("order_month").isin(months)
+    written_lines = _stored(spark, folder, _FACTS).where(own)
     per_order = written_lines.select("order_month", "customer_id", "order_id").distinct()
     write(per_order.groupBy("order_month", "customer_id").agg(F.count("*").alias("orders")), _PERSON_ORDERS)
 
@@ -160,7 +163,7 @@ def write_star(t: Tables, folder: str) -> None:
     """The whole star in `folder`, over whatever it holds."""
     for name in (_FACTS, _PERSON_ORDERS):
         discard(t.spark, f"{folder}/{name}")
-    _write_months(t, folder)
+    _write_months(t.spark, folder, sales(t))
     _write_dimensions(t, folder)
 
 
@@ -180,8 +183,12 @@ def refresh_star(spark: SparkSession, tables: str, folder: str, months: list[str
     least, greatest = orders.agg(F.min("order_id"), F.max("order_id")).first()
     lines = files.read_between(spark, tables, "order_items", least, greatest)
     some = Tables.of(spark, orders=orders, order_items=lines, customers=whole["customers"])
-    _write_months(some, folder)
-    held = {r[0] for r in sales(some).select(month_label(month_number(F.col("order_date")))).distinct().collect()}
+    # Few orders are held against the lines by a lookup; neither is found out or joined twice.
+    facts = written(_order_facts(some), "refreshed_orders")
+    few = within(facts, "spark.tradeloom.broadcastBytes")
+    sold = written(_lines_with(some, facts, few), "refreshed_lines")
+    held = {r[0] for r in sold.select(month_label(month_number(F.col("order_date")))).distinct().collect()}
+    _write_months(spark, folder, sold, sorted(held))
     for month in set(months) - held:  # nothing is left of them
         for name in (_FACTS, _PERSON_ORDERS):
             discard(spark, f"{folder}/{name}/order_month={month}")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeloom.functions.columns import month_label, month_number
-from tradeloom.schemas import TABLES
+from tradeloom.schemas import TABLES, TableSpec
 from tradeloom.sources import snapshots
 from tradeloom.sources.snapshots import FATE, LOADED
 from tradeloom.tables import Tables
 
+_CONCURRENT = 4
 ORDER_MONTH = "order_month"
 BUCKETED = ("orders", "order_items", "order_payments", "order_reviews")
 
@@ -111,9 +114,14 @@ def replace_table(df: DataFrame, folder: str, name: str) -> snapshots.Snapshot:
 
 
 def save(t: Tables, folder: str) -> None:
-    for name, spec in TABLES.items():
+    """Tables are independent jobs, so a few are stored at a time and share the executors."""
+
+    def store(spec: TableSpec) -> None:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema]
-        replace_table(t[name].select(*columns), folder, name)
+        replace_table(t[spec.name].select(*columns), folder, spec.name)
+
+    with ThreadPoolExecutor(_CONCURRENT) as pool:
+        list(pool.map(store, TABLES.values()))
 
 
 def save_bucketed(t: Tables, prefix: str, buckets: int) -> None:
