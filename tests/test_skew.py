@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL, all_limits_at_zero, as_set
 from tradeloom.operators.sizing import tasks_for
 from tradeloom.operators.skew import SALT, find_hot_keys, spread_join
-from tradeloom.plans import catalog, customers, sellers, star
+from tradeloom.plans import catalog, cohorts, customers, delivery, exploration, revenue, sellers, star
 from tradeloom.sources import orderlines
 from tradeloom.tables import Tables
 
@@ -172,3 +172,58 @@ def test_many_tasks_give_what_few_give(spark, name):
     spark.conf.unset("spark.tradeloom.taskBytes")
     assert many == few
     assert salted == few
+
+
+@pytest.mark.parametrize(
+    "report, key",
+    [
+        (exploration.top_categories_by_orders, "category#\\d+, order_id"),
+        (exploration.payment_overview, "order_id"),
+        (revenue.monthly_revenue_mom, "order_id"),
+        (revenue.revenue_by_state, "customer_id"),
+        (customers.rfm_base, "customer_id"),
+        (delivery.delivery_by_state, "customer_id"),
+        (delivery.late_vs_review, "order_id"),
+        (cohorts.cohort_retention, "customer_id"),
+    ],
+)
+def test_tasks_of_orders_and_customers_grow_with_the_input(spark, small_tasks, report, key):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t = orderlines.load(spark, SMALL)
+    tasks = [int(n) for n in re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", plan(report(t)))]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tasks
+    # Of each key, no shuffle is left to the session's number of tasks.
+    assert min(tasks) >= tasks_for(t["orders"]) > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_groups_of_large_inputs_are_made_after_their_shuffle(spark, small_tasks):
+    """No task groups all rows of a file split by order before they are dealt."""
+    text = plan(exploration.top_categories_by_orders(orderlines.load(spark, SMALL)))
+    dealt_by_order = r"Exchange hashpartitioning\(category#\d+, order_id#\d+L?, \d+\).*\n"
+    assert re.search(dealt_by_order, text)
+    assert not re.search(dealt_by_order + r"\W*(\*\(\d+\) )?HashAggregate", text)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "top_categories_by_orders",
+        "payment_overview",
+        "revenue_by_state",
+        "rfm_segment_summary",
+        "delivery_by_state",
+        "late_vs_review",
+        "cohort_retention",
+    ],
+)
+def test_many_tasks_of_orders_and_customers_give_what_few_give(spark, name):
+    report = catalog.reports()[name]
+    few = as_set(report(skewed(spark)))
+    spark.conf.set("spark.tradeloom.taskBytes", "4000")
+    many = as_set(report(skewed(spark)))
+    with all_limits_at_zero(spark):
+        salted = as_set(report(skewed(spark)))
+    spark.conf.unset("spark.tradeloom.taskBytes")
+    assert many == few
+    assert salted == few

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import DELIVERED, month_label, month_number, percent
 from tradeloom.operators import bitmaps
+from tradeloom.operators.rollup import with_customer
 from tradeloom.tables import Tables
 
 LAST_INDEX = 6
@@ -17,15 +18,18 @@ def _delivered_months(t: Tables) -> DataFrame:
     return t["orders"].where(F.col("order_status") == DELIVERED).select("customer_id", month)
 
 
+def _person() -> Column:
+    return F.col("customer_unique_id").alias("person")
+
+
 def _people(t: Tables) -> DataFrame:
-    return t["customers"].select("customer_id", F.col("customer_unique_id").alias("person"))
+    return t["customers"].select("customer_id", _person())
 
 
 def first_purchase(t: Tables) -> DataFrame:
-    per_customer = _delivered_months(t).groupBy("customer_id").agg(F.min("month_no").alias("first"))
+    per_customer = with_customer(t, _delivered_months(t), [_person()], F.min("month_no").alias("first"))
     return (
-        per_customer.join(_people(t), "customer_id")
-        .groupBy(F.col("person").alias("customer_id"))
+        per_customer.groupBy(F.col("person").alias("customer_id"))
         .agg(month_label(F.min("first")).alias("cohort_month"))
     )
 
@@ -53,8 +57,8 @@ def _month_sets(t: Tables, base: int, words: int) -> DataFrame:
     map side both times.
     """
     undated = F.bool_or(F.col("month_no").isNull()).alias("undated")
-    per_customer = _delivered_months(t).groupBy("customer_id").agg(undated, *bitmaps.collected(f"month_no - {base}", words))
-    sets = per_customer.join(_people(t), "customer_id").groupBy("person").agg(F.bool_or("undated").alias("undated"), *bitmaps.merged(words))
+    per_customer = with_customer(t, _delivered_months(t), [_person()], undated, *bitmaps.collected(f"month_no - {base}", words))
+    sets = per_customer.groupBy("person").agg(F.bool_or("undated").alias("undated"), *bitmaps.merged(words))
     return sets.withColumn("first", bitmaps.lowest(words))
 
 

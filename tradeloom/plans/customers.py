@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tradeloom.functions.columns import money_mean, money_percent, percent, ratio
 from tradeloom.operators.ordering import Order, global_ntile
 from tradeloom.operators.prefix import ranked
+from tradeloom.operators.rollup import with_customer
 from tradeloom.plans.revenue import paid_orders, pareto_segment
 from tradeloom.tables import Tables
 
@@ -43,19 +44,16 @@ def rfm_base(t: Tables) -> DataFrame:
     """
     purchase = F.col("order_purchase_timestamp")
     latest = t["orders"].agg(F.max(purchase)).scalar()
-    per_customer = (
-        paid_orders(t, "customer_id", "order_purchase_timestamp")
-        .groupBy("customer_id")
-        .agg(
-            F.max(purchase).alias("last_order"),
-            F.count("*").alias("orders"),
-            F.sum("paid").alias("paid"),
-        )
+    per_customer = with_customer(
+        t,
+        paid_orders(t, "customer_id", "order_purchase_timestamp"),
+        ["customer_unique_id"],
+        F.max(purchase).alias("last_order"),
+        F.count("*").alias("orders"),
+        F.sum("paid").alias("paid"),
     )
-    people = t["customers"].select("customer_id", "customer_unique_id")
     return (
-        per_customer.join(people, "customer_id")
-        .groupBy(F.col("customer_unique_id").alias("customer_id"))
+        per_customer.groupBy(F.col("customer_unique_id").alias("customer_id"))
         .agg(
             F.date_diff(latest, F.max("last_order")).alias("recency_days"),
             F.sum("orders").alias("frequency"),

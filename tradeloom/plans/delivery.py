@@ -14,7 +14,8 @@ from tradeloom.functions.columns import (
     percent,
     ratio,
 )
-from tradeloom.operators.rollup import reviews_per_order
+from tradeloom.operators.rollup import reviews_per_order, with_customer
+from tradeloom.operators.sizing import dealt, tasks_for
 from tradeloom.tables import Tables
 
 _PURCHASE = "order_purchase_timestamp"
@@ -78,20 +79,18 @@ def delivery_segments(t: Tables) -> DataFrame:
 def state_delivery(t: Tables) -> DataFrame:
     """All states, ranked by the unrounded mean; orders meet their state as customer totals."""
     days = F.date_diff(_ARRIVED, _PURCHASE)
-    per_customer = (
-        delivered_orders(t)
-        .groupBy("customer_id")
-        .agg(
-            F.count("*").alias("orders"),
-            F.sum(days).alias("days"),
-            F.count(days).alias("timed"),
-            count_where(is_late()).alias("late"),
-        )
+    per_customer = with_customer(
+        t,
+        delivered_orders(t),
+        ["customer_state"],
+        F.count("*").alias("orders"),
+        F.sum(days).alias("days"),
+        F.count(days).alias("timed"),
+        count_where(is_late()).alias("late"),
     )
     mean = F.try_divide(F.col("days").cast("double"), F.col("timed").cast("double"))
     return (
-        per_customer.join(t["customers"].select("customer_id", "customer_state"), "customer_id")
-        .groupBy(F.col("customer_state").alias("state"))
+        per_customer.groupBy(F.col("customer_state").alias("state"))
         .agg(*(F.sum(c).alias(c) for c in ("orders", "days", "timed", "late")))
         .select(
             "state",
@@ -128,10 +127,11 @@ def stage_breakdown(t: Tables) -> DataFrame:
 def late_vs_review(t: Tables) -> DataFrame:
     """Mean score of late and of on-time orders; `order_count` counts reviews."""
     status = F.when(is_late(), "Late").otherwise("On Time").alias("delivery_status")
+    orders = delivered_orders(t).select("order_id", status)
+    tasks = tasks_for(orders)
     return (
-        delivered_orders(t)
-        .select("order_id", status)
-        .join(reviews_per_order(t), "order_id")
+        dealt(orders, tasks, "order_id")
+        .join(reviews_per_order(t, tasks), "order_id")
         .groupBy("delivery_status")
         .agg(
             ratio(F.sum("score_sum"), F.sum("scores")).alias("avg_review_score"),

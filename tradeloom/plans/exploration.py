@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.columns import category_name, count_where, money_mean, percent
+from tradeloom.operators.rollup import payments_per_order, totals_per
+from tradeloom.operators.sizing import tasks_for
 from tradeloom.operators.skew import lookup_join
 from tradeloom.tables import Tables
 
@@ -65,15 +67,13 @@ def order_null_audit(t: Tables) -> DataFrame:
 def payment_overview(t: Tables) -> DataFrame:
     """Reduced to one row per order first, so the distinct count needs no second shuffle."""
     paid = F.col("payment_value")
-    per_order = (
-        t["order_payments"]
-        .groupBy("order_id")
-        .agg(
-            F.sum(paid).alias("total"),
-            F.count(paid).alias("rows"),
-            F.min(paid).alias("least"),
-            F.max(paid).alias("most"),
-        )
+    per_order = payments_per_order(
+        t,
+        tasks_for(t["order_payments"]),
+        F.sum(paid).alias("total"),
+        F.count(paid).alias("rows"),
+        F.min(paid).alias("least"),
+        F.max(paid).alias("most"),
     )
     return per_order.agg(
         F.sum("total").alias("total_revenue"),
@@ -109,9 +109,9 @@ def lines_by_category(t: Tables, *columns: str) -> DataFrame:
 
 
 def top_categories_by_orders(t: Tables, top: int = 10) -> DataFrame:
-    per_order = (
-        lines_by_category(t).groupBy("category", "order_id").agg(F.sum("price").alias("price"))
-    )
+    lines, keys = lines_by_category(t), ["category", "order_id"]
+    price = F.sum("price").alias("price")
+    per_order = totals_per(t, lines, ("order_items", "order_id"), keys, tasks_for(lines), price)
     return (
         per_order.groupBy("category")
         .agg(F.count("order_id").alias("order_count"), F.sum("price").alias("total_revenue"))

@@ -16,6 +16,8 @@ from tradeloom.functions.columns import (
     month_number,
     percent,
 )
+from tradeloom.operators.rollup import payments_per_order, with_customer
+from tradeloom.operators.sizing import dealt, tasks_for
 from tradeloom.sources.files import ORDER_MONTH
 from tradeloom.tables import Tables
 
@@ -42,15 +44,11 @@ def _paid_orders(t: Tables, *columns: str, where: Column | None = None) -> DataF
     if where is not None:
         wanted = wanted & where
     delivered = t["orders"].where(wanted).select("order_id", *columns)
-    payments = (
-        t["order_payments"]
-        .groupBy("order_id")
-        .agg(
-            F.sum("payment_value").alias("paid"),
-            F.count("payment_value").alias("payments"),
-        )
+    tasks = tasks_for(delivered.join(t["order_payments"].select("order_id"), "order_id"))
+    payments = payments_per_order(
+        t, tasks, F.sum("payment_value").alias("paid"), F.count("payment_value").alias("payments")
     )
-    return delivered.join(payments, "order_id")
+    return dealt(delivered, tasks, "order_id").join(payments, "order_id")
 
 
 def monthly_revenue_mom(t: Tables) -> DataFrame:
@@ -137,18 +135,16 @@ def quarterly_revenue(t: Tables) -> DataFrame:
 
 def state_revenue(t: Tables) -> DataFrame:
     """All states, ranked; orders are reduced to customers before meeting their state."""
-    per_customer = (
-        paid_orders(t, "customer_id")
-        .groupBy("customer_id")
-        .agg(
-            F.count("*").alias("orders"),
-            F.sum("paid").alias("paid"),
-            F.sum("payments").alias("payments"),
-        )
+    per_customer = with_customer(
+        t,
+        paid_orders(t, "customer_id"),
+        ["customer_state"],
+        F.count("*").alias("orders"),
+        F.sum("paid").alias("paid"),
+        F.sum("payments").alias("payments"),
     )
     return (
-        per_customer.join(t["customers"].select("customer_id", "customer_state"), "customer_id")
-        .groupBy(F.col("customer_state").alias("state"))
+        per_customer.groupBy(F.col("customer_state").alias("state"))
         .agg(
             F.sum("orders").alias("orders"),
             F.sum("paid").alias("revenue"),
