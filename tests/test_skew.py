@@ -161,6 +161,37 @@ def test_tasks_of_the_order_lines_grow_with_the_input(spark, small_tasks, report
     assert max(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few_lines(spark) -> Tables:
+    """Lines in memory, far fewer than the orders and reviews."""
+    t = orderlines.load(spark, SMALL)
+    lines = t["order_items"].where("order_id % 100 = 0")
+    items = spark.createDataFrame(lines.collect(), lines.schema)
+    return Tables.of(spark, **({name: t[name] for name in t.names()} | {"order_items": items}))
+
+
+@pytest.mark.parametrize("name", ["page_sellers_scatter"])
+def test_tasks_of_the_sellers_grow_with_the_orders(spark, monkeypatch, name):
+    """A task holds the orders and reviews of its keys even if few of them have lines."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.tradeloom.taskBytes", "2000")
+    shared, read = Tables.shared, []
+
+    def kept(self, name, make, always=False):
+        read.append(make(self))
+        return shared(self, name, make, always)
+
+    monkeypatch.setattr(Tables, "shared", kept)
+    t = few_lines(spark)
+    catalog.reports()[name](t)
+    tasks, needed, by_lines = held_by_tasks(read[0]), tasks_for(t["orders"], t["order_reviews"]), tasks_for(t["order_items"])
+    many = as_set(catalog.reports()[name](t))
+    spark.conf.unset("spark.tradeloom.taskBytes")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Lines, orders and reviews all go to as many tasks as they need together.
+    assert len(read) >= 1 and min(tasks) >= needed > 2 * (by_lines or 1)
+    assert many == as_set(catalog.reports()[name](few_lines(spark)))
+
+
 @pytest.mark.parametrize("name", ["seller_metrics", "category_performance", "bi_measures"])
 def test_many_tasks_give_what_few_give(spark, name):
     report = catalog.reports()[name]
