@@ -169,7 +169,13 @@ def few_lines(spark) -> Tables:
     return Tables.of(spark, **({name: t[name] for name in t.names()} | {"order_items": items}))
 
 
-@pytest.mark.parametrize("name", ["page_sellers_scatter"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "page_sellers_scatter",
+        "seller_tier_summary",
+    ],
+)
 def test_tasks_of_the_sellers_grow_with_the_orders(spark, monkeypatch, name):
     """A task holds the orders and reviews of its keys even if few of them have lines."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
