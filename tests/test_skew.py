@@ -175,6 +175,7 @@ def few_lines(spark) -> Tables:
         "page_sellers_scatter",
         "seller_tier_summary",
         "seller_top_bottom",
+        "global_dense_rank",
     ],
 )
 def test_tasks_of_the_sellers_grow_with_the_orders(spark, monkeypatch, name):
