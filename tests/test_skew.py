@@ -177,6 +177,7 @@ def few_lines(spark) -> Tables:
         "seller_top_bottom",
         "global_dense_rank",
         "seller_metrics",
+        "seller_scorecard",
     ],
 )
 def test_tasks_of_the_sellers_grow_with_the_orders(spark, monkeypatch, name):
