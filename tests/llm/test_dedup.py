@@ -113,6 +113,66 @@ def test_signatures_of_linked_sets_meet():
                 assert np.array_equal(a, b) or set(sig[who == 0]) & set(sig[who == 1])
 
 
+def test_chains_of_unlinked_sets_are_not_compared_all_with_all(spark, monkeypatch):
+    """Each document shares signatures with the next one, but none is linked."""
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [(i, " ".join(words[i * 75 : i * 75 + 300])) for i in range(200)] + [(900, " ".join(words[3:303]))]
+    compared, made = [], ngram_join._tile_links
+
+    def noted(members, *options, **more):
+        groups = members.select("root", "n").distinct().collect()
+        compared.append(sum(r["n"] ** 2 for r in groups))
+        return made(members, *options, **more)
+
+    monkeypatch.setattr(ngram_join, "_tile_links", noted)
+    found = ngram_join.jaccard_components(frame(spark, rows), 1, Fraction(4, 5)).collect()
+    linked = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found}
+    assert linked == {i: (300, 0 if i == 900 else i) for i, _ in rows}
+    assert max(compared) < 20 * len(rows)
+
+
+def test_large_groups_that_overlap_are_compared_once(spark):
+    """40 groups of 80 among the same 100 sets, and two small ones of which one is joined."""
+    rng = random.Random(7)
+    groups = [(g, *sorted(rng.sample(range(100), 80))) for g in range(1, 41)] + [(50, 1, 200, 201), (51, 300, 301, 302)]
+    pairs = spark.createDataFrame([(g, u, v) for g, u, *others in groups for v in others], "g long, u long, v long")
+    stars = spark.createDataFrame([(300, 301), (300, 302), (1, 2)], "u long, v long")
+    found = ngram_join.open_groups(pairs, stars).collect()
+    sets = {}
+    for r in found:
+        sets.setdefault((r["root"], r["n"]), []).append((r["set_id"], r["label"]))
+    assert sorted(n for _, n in sets) == [3, 100]
+    assert all(len(own) == len(set(own)) == n for (_, n), own in sets.items())
+    family = next(dict(own) for (_, n), own in sets.items() if n == 100)
+    assert family[1] == family[2] and len(set(family.values())) == 99
+    assert sorted(x for x, _ in sets[50, 3]) == [1, 200, 201]
+
+
+def test_signatures_of_unlike_sets_rarely_meet():
+    """Sets of 300 that have a tenth of their elements in common."""
+    rng, met = np.random.default_rng(3), 0
+    bands, none = ngram_join.Bands.of(Fraction(4, 5), 1000), np.zeros(0, np.uint64)
+    for _ in range(200):
+        common = rng.integers(0, 2**64, 30, np.uint64)
+        a, b = (np.sort(np.r_[common, rng.integers(0, 2**64, 270, np.uint64)]) for _ in "ab")
+        who, sig = ngram_join.signatures(np.r_[a, b], np.array([0, 300, 600]), bands, none)
+        met += bool(set(sig[who == 0].tolist()) & set(sig[who == 1].tolist()))
+    assert met < 15
+
+
+def test_histograms_tell_long_sets_apart():
+    rng = np.random.default_rng(5)
+    values = [np.sort(rng.integers(0, 2**64, n, np.uint64)) for n in (20_000, 20_000, 17_000, 16_000)]
+    values[3] = np.sort(np.r_[values[2][:15_500], values[3][:500]])  # 0.89 alike, with another number of ranges
+    bins = ngram_join.histograms(np.concatenate(values), np.r_[0, np.cumsum([len(v) for v in values])])
+    a, b = bins[0].astype(int), bins[1].astype(int)
+    assert np.abs(a - b).sum() > 40_000 / 9  # more than linked sets may differ
+    sets = ngram_join._Sets(Fraction(4, 5), np.array([len(v) for v in values]), list(bins), None)
+    assert sets.linked(0, np.array([1, 2, 3])).tolist() == []
+    assert sets.linked(2, np.array([0, 1, 3])).tolist() == [3]
+    assert sets.linked(3, np.array([0, 1, 2])).tolist() == [2]
+
+
 def test_jaccard_edges(spark):
     docs = frame(spark, edge_rows())
     found = ngram_join.jaccard_components(docs, 5, Fraction(4, 5))

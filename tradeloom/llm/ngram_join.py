@@ -12,8 +12,10 @@ share signatures, so the domain leaves them out: linked sets differ there by k a
 A set keeps this short cut only if what is left of it proves that a match will show; a set that
 is mostly boilerplate sends signatures over the whole domain too. Nothing is missed either way.
 
-Sets that share signatures form candidate groups. Inside a group all pairs are first held against
-a lower bound on their difference, from a small histogram of each set; what can still be linked
+The sets that share a signature form a candidate group. Groups are not merged, as unlike sets that
+meet by chance would soon chain most sets together. Pairs are first held against a lower bound on
+their difference, from a small histogram of each set: in each group the pairs with its least set, and
+then, in groups that this leaves in several components, the others. What can still be linked
 forms finer groups, whose pairs are compared exactly. Large groups are cut into square tiles of
 bounded size, and a tile returns a forest of links, never all pairs. Links give components; equal
 sets count as one until the end.
@@ -26,11 +28,13 @@ gives no rows. `doc_id` is cast to long.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +58,9 @@ _SLACK = 1.15  # first-level partitions, times the least number
 _TILE = 64  # sets on a side of a tile, while a group needs at most _SIDES of them
 _SIDES = 32
 _MOST = 4096  # sets on a side of a tile, in the largest groups
-_BINS = 128  # of the histogram that bounds differences from below
+_BINS = 128  # at least, of the histogram that bounds differences from below
+_PER_BIN = 8  # elements a bin, at most on average
+_PART = 1 << 22  # bins of pairs that are compared at once
 _BUCKET_BYTES = 4 << 20  # input bytes per signature bucket
 
 
@@ -97,6 +103,7 @@ class Bands:
     low: np.ndarray
     k: np.ndarray
     n1: np.ndarray
+    similarity: Fraction
 
     @staticmethod
     def of(similarity: Fraction, largest: int) -> Bands:
@@ -107,11 +114,17 @@ class Bands:
         high = np.array(low[1:]) - 1
         k = np.array([int(2 * int(u) * (1 - similarity) / (1 + similarity)) for u in high])
         n1 = np.ceil((k + 1) / 2 * _SLACK).astype(np.int64)
-        return Bands(np.array(low), k, n1)
+        return Bands(np.array(low), k, n1, similarity)
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
 
+    def apart(self, sizes: np.ndarray, scheme: np.ndarray) -> np.ndarray:
+        """In how many elements sets of these sizes differ at most from those they link with in a scheme."""
+        p, q = self.similarity.numerator, self.similarity.denominator
+        other = np.minimum(sizes * q // p, self.low[scheme + 1] - 1)
+        return (sizes + other) * (q - p) // (q + p)
+
 
 def signatures(
     values: np.ndarray, bounds: np.ndarray, bands: Bands, frequent: np.ndarray
@@ -129,25 +142,26 @@ def signatures(
     heads, sigs = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for step in (0, 1):
         scheme = bands.band(np.maximum(sizes, 1)) + step
-        useful = every[bands.k[scheme[every]] > 0]  # at k = 0 only equal sets link
+        useful = every[bands.apart(sizes, scheme)[every] > 0]  # otherwise only equal sets link
         if len(frequent):
-            who, sig, safe = _domain(values[rare], rare_bounds, scheme, useful, bands, 1, False)
+            who, sig, safe = _domain(values[rare], rare_bounds, sizes, scheme, useful, bands, 1, False)
             heads.append(who)
             sigs.append(sig)
             useful = useful[~safe[useful]]
-        who, sig, _ = _domain(values, bounds, scheme, useful, bands, 0, True)
+        who, sig, _ = _domain(values, bounds, sizes, scheme, useful, bands, 0, True)
         heads.append(who)
         sigs.append(sig)
     return np.concatenate(heads), np.concatenate(sigs)
 
 
-def _domain(values, bounds, scheme, useful, bands: Bands, tag: int, last: bool):
+def _domain(values, bounds, full, scheme, useful, bands: Bands, tag: int, last: bool):
     """Signatures of the `useful` sets over one domain, and which sets are safe there.
 
-    A first-level partition is informed if every pair of its parts holds an element. If more
-    informed partitions exist than linked sets could spoil (two differences each), one of them
-    gives a match on a pair that holds something: the set is safe without empty pairs. The
-    `last` domain sends the empty pairs of sets that are not safe.
+    full: sizes of the sets with all their elements. Linked sets spoil a first-level partition only by two differences, so of any `need` of them one
+    gives a match, on the pair of parts that one difference leaves alone. A set therefore sends only
+    pairs that hold as many elements as every pair of its `need` fullest partitions: of two linked sets
+    the one that asks for more finds its match, and the other one sends that pair too. The set is safe
+    if that is one element at least; the `last` domain sends the empty pairs of sets that are not.
     """
     sizes = np.diff(bounds)
     own = np.repeat(np.arange(len(sizes)), sizes)
@@ -163,17 +177,20 @@ def _domain(values, bounds, scheme, useful, bands: Bands, tag: int, last: bool):
     filled = np.bincount(base[own] + part, minlength=base[-1])
     ends = np.cumsum(filled)
     sums = (total[ends] - total[ends - filled]).reshape(-1, 3)
-    filled = filled.reshape(-1, 3) > 0
+    filled = filled.reshape(-1, 3)
     who = np.repeat(np.arange(len(sizes)), n1)
     place = tx.spans(np.zeros(len(n1), np.int64), n1)
     code = (scheme[who].astype(U64) << U64(40)) + (place.astype(U64) << U64(3)) + U64(4 * tag)
-    informed = np.bincount(who, weights=filled.sum(1) >= 2, minlength=len(sizes))
-    safe = 2 * informed >= bands.k[scheme] + 1
+    least = filled.sum(1) - filled.max(1)  # elements of each partition's emptiest pair
+    least = least[np.lexsort((-least, who))]
+    need = bands.apart(full, scheme) // 2 + 1
+    asked = np.zeros(len(sizes), np.int64)
+    asked[useful] = least[base[useful] // 3 + need[useful] - 1]
+    safe = asked > 0
+    least_sent = (asked if last else np.maximum(asked, 1))[who]
     heads, sigs = [], []
     for s, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        emit = filled[:, a] | filled[:, b]
-        if last:
-            emit |= ~safe[who]
+        emit = filled[:, a] + filled[:, b] >= least_sent
         mixed = sums[emit, a] + mix(sums[emit, b] + U64(s)) + mix(code[emit] + U64(s))
         heads.append(who[emit])
         sigs.append(mix(mixed))
@@ -191,10 +208,8 @@ def _from_six(raw: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pack(sigs: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+def _pack(sigs: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One row per bucket: set ids, how many signatures each has, and six bytes of each."""
-    if not len(sigs):
-        return None
     bucket = (sigs >> U64(48)).astype(np.int64) * buckets >> 16
     order = np.lexsort((ids, bucket))
     bucket, ids, sigs = bucket[order], ids[order], _six(sigs[order])
@@ -211,33 +226,34 @@ def _pack(sigs: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch | N
     return pa.record_batch(columns, names=["bucket", "a0", "a1", "a2"])
 
 
-def _stars(sigs: np.ndarray, ids: np.ndarray):
-    """Entries sorted by signature without repeats, the least id of each one's group, and its size."""
+def _groups(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, u, v): each other set v that has a signature in common with the least set u of those that send it.
+
+    The group tells which sets share the signature, and comes once; a group of two is 0.
+    """
     order = np.lexsort((ids, sigs))
     sigs, ids = sigs[order], ids[order]
     new = np.ones(len(sigs), bool)
     new[1:] = (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])
     sigs, ids = sigs[new], ids[new]
     head = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[head, len(sigs)])
-    return sigs, ids, np.repeat(ids[head], sizes), np.repeat(sizes, sizes)
-
-
-def _unique_pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
+    bounds = np.r_[head, len(ids)]
+    sizes = np.diff(bounds)
+    group = np.where(sizes > 2, set_ids(ids, bounds) | U64(1), U64(0))
+    first = np.zeros(len(head), bool)
+    first[np.unique(group, return_index=True)[1]] = True
+    keep = np.repeat((sizes > 1) & (first | (group == 0)), sizes)
+    keep[head] = False
+    group, u, v = np.repeat(group, sizes)[keep], np.repeat(ids[head], sizes)[keep], ids[keep]
+    order = np.lexsort((v, u, group))
+    group, u, v = group[order], u[order], v[order]
     new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-    return u[new], v[new]
-
+    new[1:] = (group[1:] != group[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return group[new], u[new], v[new]
 
-def candidate_pairs(docs: DataFrame, similarity: Fraction, width: int, frequent: np.ndarray) -> DataFrame:
-    """(u, v) set ids: each set that shares a signature, with the least set of its group.
 
-    A task first joins its own sets: of those that share a signature only the least one goes
-    on under it, and the others send a private signature for their pair, so a signature that
-    many sets share reaches its bucket once per task.
-    """
+def candidate_groups(docs: DataFrame, similarity: Fraction, width: int, frequent: np.ndarray) -> DataFrame:
+    """(g, u, v) as `_groups` makes them of the sets that share a signature."""
     buckets = bucket_count(docs, _BUCKET_BYTES)
     sent_frequent = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -245,16 +261,6 @@ def candidate_pairs(docs: DataFrame, similarity: Fraction, width: int, frequent:
         schemes = Bands.of(similarity, 64)
         seen: set[int] = set()
         ids, sigs, held = [], [], 0
-
-        def flush():
-            if not ids:
-                return None
-            s, i, least, _ = _stars(np.concatenate(sigs), np.concatenate(ids))
-            other = i != least
-            u, v = _unique_pairs(least[other], i[other])
-            pair = mix(u * U64(0x9E3779B97F4A7C15) + v)
-            return _pack(np.concatenate([s[~other], pair, pair]), np.concatenate([i[~other], u, v]), buckets)
-
         for batch in batches:
             for block in tx.blocks(batch.column(0)):
                 values, bounds = shingle_sets(block, width)
@@ -269,22 +275,17 @@ def candidate_pairs(docs: DataFrame, similarity: Fraction, width: int, frequent:
                 sigs.append(sig)
                 held += len(sig)
                 if held >= _CHUNK:
-                    made = flush()
-                    if made is not None:
-                        yield made
+                    yield _pack(np.concatenate(sigs), np.concatenate(ids), buckets)
                     ids, sigs, held = [], [], 0
-        made = flush()
-        if made is not None:
-            yield made
+        if held:
+            yield _pack(np.concatenate(sigs), np.concatenate(ids), buckets)
 
-    def meet(ids: np.ndarray, many: np.ndarray, raw: np.ndarray) -> pa.Table | None:
-        _, i, least, _ = _stars(_from_six(raw), np.repeat(ids, many))
-        other = i != least
-        u, v = _unique_pairs(least[other], i[other])
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+    def meet(ids: np.ndarray, many: np.ndarray, raw: np.ndarray) -> pa.Table:
+        made = _groups(_from_six(raw), np.repeat(ids, many))
+        return pa.table({name: x.view(np.int64) for name, x in zip("guv", made, strict=True)})
 
     sent = map_batches(docs, ["text"], run, packed_schema(3))
-    return by_bucket(sent, [U64, np.uint32, np.uint8], meet, "u long, v long")
+    return by_bucket(sent, [U64, np.uint32, np.uint8], meet, "g long, u long, v long")
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
@@ -331,31 +332,65 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(typed, ["doc_id", "text"], run, "kind int, doc_id long, id long, n long, bins binary")
 
 
-def histograms(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many elements of each set fall into each of _BINS ranges, 255 at most."""
-    sets = len(bounds) - 1
-    own = np.repeat(np.arange(sets), np.diff(bounds))
-    at = own * _BINS + (values >> U64(57)).astype(np.int64)
-    counts = np.bincount(at, minlength=sets * _BINS).reshape(sets, _BINS)
-    return np.minimum(counts, 255).astype(np.uint8)
+def histograms(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """How many elements of each set fall into each of some ranges of equal width, 255 at most.
+
+    There are _BINS ranges, doubled until they hold _PER_BIN elements on average at most: with more
+    elements a range, chance would make the histograms of unlike sets too similar.
+    """
+    sizes = np.diff(bounds)
+    finer = np.ceil(np.log2(np.maximum(sizes / (_BINS * _PER_BIN), 1))).astype(np.int64)
+    base = np.r_[0, np.cumsum(_BINS << finer)]
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    at = base[own] + (values >> (57 - finer[own]).astype(U64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=base[-1]), 255).astype(np.uint8)
+    return [counts[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def _coarser(bins: np.ndarray, ranges: int) -> np.ndarray:
+    """Rows of histograms as they would be with so many ranges."""
+    bins = bins.astype(np.int16)
+    return bins if bins.shape[1] == ranges else np.minimum(bins.reshape(len(bins), ranges, -1).sum(2), 255).astype(np.int16)
+
+
+def _may_link(similarity: Fraction, one: np.ndarray, other: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that differ in `apart` elements at least can be linked."""
+    p, q = similarity.numerator, similarity.denominator
+    return (p + q) * (one + other - apart) >= 2 * p * (one + other)
 
 
 class _Sets:
     """Some sets, by size and histogram alone or with their elements."""
 
-    def __init__(self, similarity: Fraction, sizes: np.ndarray, bins: np.ndarray, values: list | None):
-        self.p, self.q = similarity.numerator, similarity.denominator
-        self.sizes, self.bins, self.values = sizes, bins.astype(np.int16), values
+    def __init__(self, similarity: Fraction, sizes: np.ndarray, bins: list[np.ndarray], values: list | None):
+        self.similarity, self.sizes, self.values = similarity, sizes, values
+        self.ranges = np.array([len(b) for b in bins])
+        self.place = np.zeros(len(bins), np.int64)  # among the histograms of as many ranges
+        self.bins = {}
+        for n in np.unique(self.ranges).tolist():
+            own = np.flatnonzero(self.ranges == n)
+            self.place[own] = np.arange(len(own))
+            self.bins[n, n] = np.stack([bins[x] for x in own]).astype(np.int16)
+
+    def _histograms(self, n: int, ranges: int) -> np.ndarray:
+        if (n, ranges) not in self.bins:
+            self.bins[n, ranges] = _coarser(self.bins[n, n], ranges)
+        return self.bins[n, ranges]
+
+    def _apart(self, a: int, others: np.ndarray) -> np.ndarray:
+        """In how many elements the others differ from a, at least."""
+        apart, own = np.zeros(len(others), np.int64), int(self.ranges[a])
+        for n in np.unique(self.ranges[others]).tolist():
+            some, ranges = self.ranges[others] == n, min(n, own)
+            rows = self._histograms(n, ranges)[self.place[others[some]]]
+            apart[some] = np.abs(rows - self._histograms(own, ranges)[self.place[a]]).sum(1, dtype=np.int64)
+        return apart
 
     def linked(self, a: int, others: np.ndarray) -> np.ndarray:
         """Those of the others that can be linked with a, or that are if elements are given."""
-        both = self.sizes[a] + self.sizes[others]
-        least = 2 * self.p * both  # of (p + q) times twice the common elements
-        near = (self.p + self.q) * 2 * np.minimum(self.sizes[a], self.sizes[others]) >= least
-        others, both, least = others[near], both[near], least[near]
-        apart = np.abs(self.bins[others] - self.bins[a]).sum(1, dtype=np.int64)
-        near = (self.p + self.q) * (both - apart) >= least
-        others, least = others[near], least[near]
+        size = self.sizes[a]
+        others = others[_may_link(self.similarity, size, self.sizes[others], np.abs(self.sizes[others] - size))]
+        others = others[_may_link(self.similarity, size, self.sizes[others], self._apart(a, others))]
         if self.values is None or not len(others):
             return others
         own = self.values[a]
@@ -364,30 +399,93 @@ class _Sets:
         ends = np.cumsum(self.sizes[others])
         same = np.r_[0, np.cumsum(own[at] == pool)]
         common = same[ends] - same[ends - self.sizes[others]]
-        return others[(self.p + self.q) * 2 * common >= least]
-
-    def forest(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-        """Links that join whatever the links between the two sides join."""
-        group = np.arange(len(self.sizes))
-        links = []
-        for a in left.tolist():
-            found = self.linked(a, right[group[right] != group[a]])
-            joined, first = np.unique(group[found], return_index=True)
-            links += [(a, b) for b in found[first].tolist()]
-            group[np.isin(group, joined)] = group[a]
+        return others[_may_link(self.similarity, size, self.sizes[others], size + self.sizes[others] - 2 * common)]
+
+    def forest(self, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+        """Links that join whatever the links between the two sides join of the given groups."""
+        group, links, square = group.copy(), [], left is right
+        for i, a in enumerate(left.tolist()):
+            others = right[i + 1 :] if square else right
+            others = others[group[others] != group[a]]
+            if len(others):
+                found = self.linked(a, others)
+                joined, first = np.unique(group[found], return_index=True)
+                links += [(a, b) for b in found[first].tolist()]
+                group[np.isin(group, joined)] = group[a]
         return links
 
 
+def possible_links(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (u, v) whose sizes and histograms leave it open that they are linked.
+
+    sets: id, size and bins.
+    """
+    importable(pairs.sparkSession)
+    both = pairs
+    for side in "uv":
+        both = both.join(sets.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bins").alias(f"bins_{side}")), side)
+    both = both.select("u", "v", "size_u", "size_v", "bins_u", "bins_v")
+
+    def run(batches):
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in (2, 3)]
+            open_ = np.flatnonzero(_may_link(similarity, *sizes, np.abs(sizes[0] - sizes[1])))
+            ranges = [pc.binary_length(batch.column(c)).to_numpy()[open_] for c in (4, 5)]
+            keep = []
+            for n, m in np.unique(np.stack(ranges, 1), axis=0).tolist():
+                some, least = open_[(ranges[0] == n) & (ranges[1] == m)], min(n, m)
+                for part in np.array_split(some, math.ceil(len(some) * max(n, m) / _PART)):
+                    rows = [
+                        _coarser(np.frombuffer(b"".join(batch.column(c).take(pa.array(part)).to_pylist()), np.uint8).reshape(-1, k), least)
+                        for c, k in ((4, n), (5, m))
+                    ]
+                    apart = np.abs(rows[0] - rows[1]).sum(1, dtype=np.int64)
+                    keep.append(part[_may_link(similarity, sizes[0][part], sizes[1][part], apart)])
+            if keep:
+                yield batch.select([0, 1]).take(pa.array(np.concatenate(keep)))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def open_groups(groups: DataFrame, stars: DataFrame) -> DataFrame:
+    """(set_id, label, root, n): the groups whose sets the links `stars` leave in several components.
+
+    label: a set's component; what lies in one needs no comparison. n: sets of the group `root`.
+    Many signatures of a large family of similar sets make as many groups that differ little.
+    Large groups that overlap are taken as one where that makes fewer pairs to compare.
+    """
+    many = groups.where("g <> 0")
+    members = many.select("g", F.col("v").alias("set_id")).union(many.select("g", "u")).distinct()
+    joined = components(stars, "joined").select(F.col("node").alias("set_id"), F.col("root").alias("label"))
+    members = members.join(joined, "set_id", "left").select("g", "set_id", F.coalesce("label", "set_id").alias("label"))
+    members = written(members, "members")
+    sizes = members.groupBy("g").agg(
+        F.count("*").alias("n"), F.min("set_id").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    sizes = written(sizes.where("low <> high").select("g", "n", "first"), "open")
+    large = sizes.where(F.col("n") > _TILE)
+    edges = members.join(large, "g").select(F.col("first").alias("u"), F.col("set_id").alias("v"))
+    merged = written(components(edges, "families"), "families")
+    pairs = large.join(merged, F.col("first") == F.col("node")).select("g", "root", F.expr("n * n").alias("pairs"))
+    families = pairs.groupBy("root").agg(F.sum("pairs").alias("pairs"))
+    families = merged.groupBy("root").agg(F.count("*").alias("n")).join(families, "root").where("n * n <= pairs").select("root", "n")
+    taken = pairs.join(families, "root").select("g")
+    single = members.join(sizes.join(taken, "g", "left_anti"), "g").select("set_id", "label", F.col("g").alias("root"), "n")
+    whole = merged.join(families, "root").join(members.select("set_id", "label").distinct(), F.col("node") == F.col("set_id"))
+    return single.union(whole.select("set_id", "label", "root", "n"))
+
+
 def _tile_links(members: DataFrame, similarity: Fraction, buckets: int, exact: bool) -> DataFrame:
     """(u, v): a forest of links per tile.
 
-    members: set_id, root and group size n, and `bins` with `size`, or the elements as `values`.
+    members: set_id, root and group size n, and `bins` with `size` and `label`, or the elements as
+    `values`. Sets of one label count as joined.
     """
     importable(members.sparkSession)
     sides = F.greatest(F.least(F.ceil(F.col("n") / _TILE), F.lit(_SIDES)), F.ceil(F.col("n") / _MOST))
     sets = members.withColumn("sides", sides.cast("int"))
     sets = sets.withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("sides")).cast("int"))
-    payload = ["values"] if exact else ["bins", "size"]
+    payload = ["values"] if exact else ["bins", "size", "label"]
     tiled = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(
         "root", "set_id", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), *payload
     )
@@ -400,12 +498,13 @@ def _tile_links(members: DataFrame, similarity: Fraction, buckets: int, exact: b
             sizes = np.array([len(v) for v in values], np.int64)
             bins = histograms(np.concatenate(values), np.r_[0, np.cumsum(sizes)])
             return _Sets(similarity, sizes, bins, values)
-        bins = np.stack([np.frombuffer(blobs[int(x)].as_py(), np.uint8) for x in own])
+        bins = [np.frombuffer(blobs[int(x)].as_py(), np.uint8) for x in own]
         return _Sets(similarity, table.column("size").to_numpy()[own], bins, None)
 
     def compare(table: pa.Table) -> pa.Table:
         u, v = [], []
         roots, i, j, side, ids = (table.column(c).to_numpy() for c in ("root", "i", "j", "side", "set_id"))
+        label = ids if exact else table.column("label").to_numpy()
         order = np.lexsort((ids, j, i, roots))
         new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in (roots, i, j)], axis=0)]
         for own in np.split(order, np.flatnonzero(new)[1:]):
@@ -414,7 +513,8 @@ def _tile_links(members: DataFrame, similarity: Fraction, buckets: int, exact: b
             square = i[own[0]] == j[own[0]]
             left = place if square else place[side[own] == i[own]]
             right = place if square else place[side[own] == j[own]]
-            for a, b in load(table, own).forest(left, right):
+            group = np.unique(label[own], return_inverse=True)[1]
+            for a, b in load(table, own).forest(left, right, group):
                 u.append(ids[own[a]])
                 v.append(ids[own[b]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -461,13 +561,11 @@ def jaccard_components(docs: DataFrame, width: int, similarity: Fraction) -> Dat
     common = table.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(max(3.0, least)))
     frequent = np.sort(np.array([r["id"] for r in common.select("id").toLocalIterator()], np.int64).view(np.uint64))
     buckets = bucket_count(docs, _BUCKET_BYTES)
-    pairs = written(candidate_pairs(docs, similarity, width, frequent), "candidates")
-    bins = table.where("kind = 0 AND n > 0").groupBy("id").agg(
-        F.first("bins").alias("bins"), F.first("n").alias("size")
-    )
-    rough = _grouped(pairs, "groups").join(bins, F.col("node") == F.col("id"))
-    rough = rough.select(F.col("node").alias("set_id"), "root", "n", "bins", "size")
-    possible = written(_tile_links(rough, similarity, buckets, exact=False), "possible")
+    groups = written(candidate_groups(docs, similarity, width, frequent), "candidates")
+    sets = table.where("kind = 0 AND n > 0").groupBy("id").agg(F.first("bins").alias("bins"), F.first("n").alias("size"))
+    stars = written(possible_links(groups.select("u", "v").distinct(), sets, similarity), "stars")
+    rough = open_groups(groups, stars).join(sets, F.col("set_id") == F.col("id")).drop("id")
+    possible = written(stars.union(_tile_links(rough, similarity, buckets, exact=False)), "possible")
     fine = _grouped(possible, "finer").join(classes, F.col("node") == F.col("set_id"))
     members = fine.select(F.col("least").alias("doc_id"), "set_id", "root", "n")
     links = _tile_links(with_elements(docs, members, width), similarity, buckets, exact=True)
