@@ -93,6 +93,21 @@ def test_a_run_computes_shared_frames_once_and_leaves_no_scratch(spark, tmp_path
     assert not t._shared and not t._facts.get("rfm_base")
 
 
+def test_the_last_reader_gets_the_shared_frame(spark):
+    t, made = Tables.of(spark), []
+
+    def make(_):
+        made.append(1)
+        return spark.range(3)
+
+    t.expect(["few", "few"])
+    for _ in range(2):
+        assert t.shared("few", make).count() == 3
+        t.read_by_one(["few"])
+    assert made == [1] and not t._shared
+    assert t.shared("few", make).count() == 3 and made == [1, 1] and not t._shared
+
+
 def test_declared_readers_are_the_real_ones(spark, monkeypatch):
     t = orderlines.load(spark, SMALL)
     reports = [r for group in catalog.RUN.values() for r in group]
